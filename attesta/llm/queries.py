@@ -1,11 +1,13 @@
 """The queries of the corpus operators, and DuckDB SQL for those that SQL can express."""
 
 from attesta.llm.decontaminate import op5_decontamination
+from attesta.llm.language import op3_language_id
 from attesta.llm.packing import op8_cost_balanced_packing
+from attesta.llm.quality import op4_quality_classifier
 from attesta.llm.rans import op2_rans_tokens
 from attesta.llm.secrets import op9_secret_scan
 from attesta.llm.shards import OP1_SQL, op1_extendible_shards
 from attesta.llm.simhash import op6_simhash_groups
 
-QUERIES = {f.__name__: f for f in (op1_extendible_shards, op2_rans_tokens, op5_decontamination, op6_simhash_groups, op8_cost_balanced_packing, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_extendible_shards, op2_rans_tokens, op3_language_id, op4_quality_classifier, op5_decontamination, op6_simhash_groups, op8_cost_balanced_packing, op9_secret_scan)}
 SQL = {"op1_extendible_shards": OP1_SQL}
