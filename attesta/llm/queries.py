@@ -8,6 +8,7 @@ from attesta.llm.rans import op2_rans_tokens
 from attesta.llm.secrets import op9_secret_scan
 from attesta.llm.shards import OP1_SQL, op1_extendible_shards
 from attesta.llm.simhash import op6_simhash_groups
+from attesta.llm.warc import OP10_SQL, op10_arc_to_warc
 
-QUERIES = {f.__name__: f for f in (op1_extendible_shards, op2_rans_tokens, op3_language_id, op4_quality_classifier, op5_decontamination, op6_simhash_groups, op8_cost_balanced_packing, op9_secret_scan)}
-SQL = {"op1_extendible_shards": OP1_SQL}
+QUERIES = {f.__name__: f for f in (op1_extendible_shards, op2_rans_tokens, op3_language_id, op4_quality_classifier, op5_decontamination, op6_simhash_groups, op8_cost_balanced_packing, op9_secret_scan, op10_arc_to_warc)}
+SQL = {"op1_extendible_shards": OP1_SQL, "op10_arc_to_warc": OP10_SQL}
