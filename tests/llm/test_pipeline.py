@@ -1,0 +1,63 @@
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from attesta.llm import quality
+from tests.llm.cases import ODD
+from tests.llm.test_decontaminate import brute as contaminated
+from tests.llm.test_secrets import ASSIGN
+from tests.llm.test_secrets import brute as secret_counts
+from tests.llm.test_simhash import brute_groups, brute_print
+from tests.llm.test_tokens import check_packing
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf_dir):
+    docs, out = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
+    for _, stage in corpus_pipeline.STAGES:
+        out.append(docs)
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), stage(spark, docs, sf_dir).schema)
+    return [*out, docs]
+
+
+def test_stages_match_brute_force(spark, sf_dir, stages):
+    rows = [{r[0]: r for r in s.collect()} for s in stages[:-1]]
+    assert all(s.columns == COLUMNS for s in stages[:-1])
+    model = quality.train(stages[0], spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    good = {i for i, r in rows[0].items() if model.scores([r.text])[0] >= 0.5}
+    assert rows[1].keys() == good and 0 < len(good) < len(rows[0])
+    ids = sorted(rows[1])
+    groups = brute_groups(ids, [brute_print(rows[1][i].text) for i in ids])
+    assert rows[2].keys() == set(groups)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    ids = sorted(rows[2])
+    dirty = [c[4] for c in contaminated([rows[2][i].text for i in ids], items)]
+    assert rows[3].keys() == {i for i, d in zip(ids, dirty, strict=True) if not d} and any(dirty)
+    assert rows[4].keys() == rows[3].keys()
+    for i, r in rows[4].items():
+        before = rows[3][i]
+        found = secret_counts(before.text)
+        assert sum(secret_counts(r.text)[:3]) == 0
+        if not any(found[:3]):
+            assert r.n_chars == before.n_chars if r.text == before.text else "[secret]" in r.text
+        else:
+            assert r.text != before.text and r.n_chars == len(r.text)
+    check_packing(stages[5].collect(), {i: r.text for i, r in rows[4].items()})
+    assert ASSIGN.groups == 2
+
+
+def test_run(spark, sf_dir, stages):
+    got = corpus_pipeline.run(spark, sf_dir)
+    assert got.columns == stages[5].columns and got.count() > 0
+    assert got.select(F.sum("length")).first() == stages[5].select(F.sum("length")).first()
+
+
+def test_odd_rows(spark, sf_dir):
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(ODD)] + [(None, "the end of it all", "en", "s", 3)] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir).collect()
+        assert name == "quality" or out
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+    assert sum(r.doc_id is None for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()) == 2
