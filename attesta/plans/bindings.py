@@ -69,12 +69,12 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    four = "lateral view inline(array(struct('v1' as verifier, 'fact' as premise, 31 as salt), struct('v1', 'record', 37), struct('v2', 'fact', 41), struct('v2', 'record', 43))) t as verifier, premise, salt"
+    four = "lateral view inline(array(struct('v1', 'fact', 31), struct('v1', 'record', 37), struct('v2', 'fact', 41), struct('v2', 'record', 43))) t as verifier, premise, salt"
     return spark.sql(_SENTENCES.format(lineitem="{lineitem}", four=four), lineitem=table(spark, sf_dir, "lineitem"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    five = "lateral view inline(array(struct('R1' as rater_id, 1 as n), struct('R2', 2), struct('R3', 3), struct('R4', 4), struct('R5', 5))) t as rater_id, n"
+    five = "lateral view inline(array(struct('R1', 1), struct('R2', 2), struct('R3', 3), struct('R4', 4), struct('R5', 5))) t as rater_id, n"
     return spark.sql(_RATINGS.format(lineitem="{lineitem}", five=five), lineitem=table(spark, sf_dir, "lineitem"))
 
 
