@@ -1,4 +1,4 @@
 """Registered queries over the driver's tables."""
 
-from attesta.plans import q_indicators, q_ranking  # noqa: F401
+from attesta.plans import q_indicators, q_ranking, q_ratings  # noqa: F401
 from attesta.plans.registry import QUERIES, SQL  # noqa: F401
