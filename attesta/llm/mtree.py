@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from attesta.llm.common import need, table, written
 
-PAGE, FANOUT = 64, 32
+#: A page of vectors is scored in one product, so it is as large as a core's cache takes.
+PAGE, FANOUT = 256, 32
 SHARD_ROWS, ROUTES, QUERY_ROWS = 4096, 256, 1024
 #: Distances are square roots of exact integers; bounds give way by so much, relatively.
 SLACK = 1e-7
@@ -149,15 +150,19 @@ class Tree:
             low, node, gap = heapq.heappop(heap)
             if low > bound * (1 + SLACK) + SLACK:
                 break
-            own_rows = np.arange(self.first[node], self.first[node] + self.count[node])
+            begin, end = int(self.first[node]), int(self.first[node] + self.count[node])
             limit = bound * (1 + SLACK) + SLACK
             if self.leaf[node]:
-                rows = own_rows[np.abs(gap - self.point_parent[own_rows]) <= limit]
-                scores = self.points[rows] @ q
-                work += len(rows)
+                near = np.abs(gap - self.point_parent[begin:end]) <= limit
+                hits = int(np.count_nonzero(near))
+                if not hits:
+                    continue
+                rows = None if hits > (end - begin) // 2 else np.flatnonzero(near) + begin
+                scores = (self.points[begin:end] if rows is None else self.points[rows]) @ q
+                work += len(scores)
                 floor = max(best[0][0] if len(best) == k else -np.inf, least)
-                for i in np.flatnonzero(scores >= floor):
-                    entry = (float(scores[i]), -int(self.ids[rows[i]]))
+                for i in np.flatnonzero(scores >= floor).tolist():
+                    entry = (float(scores[i]), -int(self.ids[begin + i if rows is None else rows[i]]))
                     if -entry[1] == own:
                         continue
                     if len(best) < k:
@@ -167,7 +172,7 @@ class Tree:
                 if len(best) == k:
                     bound = min(bound, float(np.sqrt(max(base - 2 * best[0][0], 0))))
                 continue
-            rows = own_rows[np.abs(gap - self.parent[own_rows]) - self.radius[own_rows] <= limit]
+            rows = np.flatnonzero(np.abs(gap - self.parent[begin:end]) - self.radius[begin:end] <= limit) + begin
             gaps = apart(self.center[rows])
             work += len(rows)
             for i, g in zip(rows.tolist(), gaps.tolist(), strict=True):
