@@ -18,6 +18,8 @@ UNKNOWN = "und"
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 MIN_COUNT, SMOOTH, LONGEST = 3, 0.5, 4
 CHUNK_CHARS = 2 << 20
+#: Smaller while fitting, which the driver does.
+FIT_CHARS = 1 << 19
 
 _LETTER = np.fromiter((0xD800 <= i < 0xE000 or chr(i).isalpha() for i in range(1 << 16)), bool, 1 << 16)
 
@@ -82,13 +84,27 @@ def _find(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return place, table_[place] == keys
 
 
-def _log_share(keys: np.ndarray, lang: np.ndarray, weight: np.ndarray, n_lang: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys met at least MIN_COUNT times and their smoothed log frequency in each language."""
-    names, at = np.unique(keys, return_inverse=True)
-    counts = np.bincount(at * n_lang + lang, weight, len(names) * n_lang).reshape(len(names), n_lang)
-    kept = counts.sum(axis=1) >= MIN_COUNT
-    total = counts.sum(axis=0) + SMOOTH * max(len(names), 1)
-    return names[kept], np.log((counts[kept] + SMOOTH) / total).astype(np.float32)
+class Counts:
+    """Counts of keys by language, merged chunk by chunk, so that memory follows the distinct keys."""
+
+    def __init__(self, n_lang: int):
+        self.n_lang = n_lang
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros((0, n_lang))
+
+    def add(self, keys: np.ndarray, lang: np.ndarray, weight: np.ndarray) -> None:
+        new, at = np.unique(keys, return_inverse=True)
+        part = np.bincount(at * self.n_lang + lang, weight, len(new) * self.n_lang).reshape(len(new), self.n_lang)
+        both, place = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+        merged = np.zeros((len(both), self.n_lang))
+        merged[place[: len(self.keys)]] += self.counts
+        merged[place[len(self.keys) :]] += part
+        self.keys, self.counts = both, merged
+
+    def log_share(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys met at least MIN_COUNT times and their smoothed log frequency in each language."""
+        kept = self.counts.sum(axis=1) >= MIN_COUNT
+        total = self.counts.sum(axis=0) + SMOOTH * max(len(self.keys), 1)
+        return self.keys[kept], np.log((self.counts[kept] + SMOOTH) / total).astype(np.float32)
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
@@ -96,23 +112,18 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
     number = {x: i for i, x in enumerate(names)}
     of = np.array([number[x] for x in langs], np.int64)
-    keys, owners, grams = [], [], {n: ([], [], []) for n in range(1, LONGEST + 1)}
-    for i, j in chunks([len(t) for t in texts], CHUNK_CHARS):
+    n_lang = max(len(names), 1)
+    words, grams = Counts(n_lang), {n: Counts(n_lang) for n in range(1, LONGEST + 1)}
+    for i, j in chunks([len(t) for t in texts], FIT_CHARS):
         letters = Letters(texts[i:j])
         lang = of[i:j][letters.text]
-        keys.append(letters.hash)
-        owners.append(lang)
+        words.add(letters.hash, lang, np.ones(len(lang)))
         pair = letters.hash ^ (lang.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         _, example, count = np.unique(pair, return_index=True, return_counts=True)
-        for n, (g, w, o) in grams.items():
+        for n, found in grams.items():
             gram, size = letters.grams(example, n)
-            g.append(gram)
-            o.append(np.repeat(lang[example], size))
-            w.append(np.repeat(count, size))
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    words, scores = _log_share(join(keys).astype(np.uint64), join(owners), np.ones(sum(map(len, owners))), max(len(names), 1))
-    tables = {n: _log_share(join(g).astype(np.uint64), join(o), join(w), max(len(names), 1)) for n, (g, w, o) in grams.items()}
-    return Model(names, words, scores, tables)
+            found.add(gram, np.repeat(lang[example], size), np.repeat(count, size))
+    return Model(names, *words.log_share(), {n: c.log_share() for n, c in grams.items()})
 
 
 def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
