@@ -15,14 +15,11 @@ from attesta.functions.columns import ratio
 from attesta.functions.hashing import draw, uniform
 from attesta.operators.ranking import auroc_of_counts, score_counts
 
-#: Clusters above which numbering takes two passes instead of one window.
-NUMBER_IN_PARTS = 100_000
-
-
 def dense_index(df: DataFrame, key: str, into: str = "idx") -> DataFrame:
     """Distinct keys numbered from 0 in ascending order; ranges of keys are numbered apart and then shifted."""
     keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    parted = keys.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, which no later plan changes
+    parted = keys.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id())
     inner = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
     sizes = inner.groupBy("_p").agg(F.max("_n").alias("_c"))
     shift = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_s"))

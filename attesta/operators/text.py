@@ -40,6 +40,8 @@ def cited_sentences(text) -> Column:
     Text after the last mark is dropped. Tags are distinct, those after the sentence first.
     """
     whole = F.regexp_replace(stripped(F.coalesce(col(text), F.lit(""))), r"(?U)(?<=\d)\.(?=\d)", POINT)
+    # nothing ends after the last mark or bracket: without that tail a search never runs to the end of a text in vain
+    whole = F.regexp_extract(whole, r"(?s)^(.*[.!?\]])", 1)
     pattern = r"(?U)([^.!?]*[.!?])\s*((?:\[[^\]]+\]\s*)*)"
     back = lambda c: F.replace(c, F.lit(POINT), F.lit("."))
     pairs = F.arrays_zip(F.regexp_extract_all(whole, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(whole, F.lit(pattern), F.lit(2)).alias("t"))

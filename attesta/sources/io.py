@@ -18,7 +18,10 @@ truncated_in_thinking boolean, error string, facts_shown_to_generator array<stri
 sentences array<struct<text:string,cited:array<string>>>,
 verification array<struct<text:string,status:string,nli:struct<entailment:double,neutral:double,contradiction:double>,detail:string>>,
 summary struct<n_sentences:bigint,faithfulness_rate:double,hallucination_rate:double,hedge_violation_rate:double,structural_violation_rate:double,conditional_faithfulness_rate:double,conditional_hallucination_rate:double,n_content_eligible:bigint,breakdown:map<string,bigint>>"""
-STIMULUS = "item_id: string, display_id: string, internal_item_id: string, skill: string, steps: array<struct<step: bigint, correct: boolean, hint_count: double, response_time_ratio: double>>, skill_cum_accuracy: double, sentences: array<struct<id: string, en: string, ko: string>>"
+STIMULUS = [
+    ("item_id", "string"), ("display_id", "string"), ("internal_item_id", "string"), ("skill", "string"),
+    ("steps", "array<struct<step:bigint,correct:boolean,hint_count:double,response_time_ratio:double>>"), ("skill_cum_accuracy", "double"), ("sentences", "array<struct<id:string,en:string,ko:string>>"),
+]
 
 
 def require_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -116,9 +119,10 @@ def read_stimuli(spark: SparkSession, path: str, id_map: DataFrame | None = None
     """Items of a JSON file under any of its wrappers; the first id that is there; ``id_map`` (internal_item_id,
     display_id) renames internal ids."""
     wrappers = ("items", "stimuli", "data", "calibration", "practice")
-    schema = ", ".join(f"{w} array<struct<{STIMULUS}>>" for w in wrappers)
-    raw = spark.read.json(path, multiLine=True, schema=f"{schema}, {STIMULUS}")
-    wrapped = F.coalesce(*[F.col(w) for w in wrappers], F.array(F.struct(*[F.col(f) for f in ("item_id", "display_id", "internal_item_id", "skill", "steps", "skill_cum_accuracy", "sentences")])))
+    item = "struct<" + ",".join(f"{n}:{t}" for n, t in STIMULUS) + ">"
+    schema = ", ".join([*(f"{w} array<{item}>" for w in wrappers), *(f"{n} {t}" for n, t in STIMULUS)])
+    raw = spark.read.json(path, multiLine=True, schema=schema)
+    wrapped = F.coalesce(*[F.col(w) for w in wrappers], F.array(F.struct(*[F.col(n) for n, _ in STIMULUS])))
     items = raw.select(F.inline(wrapped))
     out = items.withColumn("item_id", F.coalesce("display_id", "item_id", "internal_item_id")).drop("display_id", "internal_item_id")
     if id_map is not None:
