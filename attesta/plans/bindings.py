@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from attesta.sources.io import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 _EVENTS = """
 select event_id as row_id, user_id as student_id, event_type as skill,
        cast(case when event_id % 3 = 0 then 0 else 1 end as int) as correct,
@@ -83,4 +89,4 @@ def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(_NARRATIVES.format(documents="{documents}"), documents=table(spark, sf_dir, "documents"))
+    return spark.sql(_NARRATIVES.format(documents="{documents}"), documents=documents(spark, sf_dir))

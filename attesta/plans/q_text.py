@@ -40,7 +40,7 @@ n as (select narrative_id, i, regexp_replace({STRIP("'1. ' || x || ' [slipping]'
 c as (select narrative_id, i, {STRIP("regexp_replace(x, '\\s*\\[[^\\]]+\\]\\s*', ' ', 'g')")} as text from n)
 select narrative_id, (row_number() over (partition by narrative_id order by i) - 1)::int as pos, text, 'slipping' as cited from c where text <> ''""")
 def d2(spark, d):
-    docs = b.table(spark, d, "documents")
+    docs = b.documents(spark, d)
     text = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("1. "), x, F.lit(" [slipping]"))), "\n")
     out = tx.split_numbered_lines(docs.select(F.col("doc_id").alias("narrative_id"), text.alias("t")), "t")
     return tx.explode_sentences(out, "narrative_id").withColumn("cited", F.array_join("cited", ";"))
@@ -49,13 +49,13 @@ def d2(spark, d):
 @query("d3_strip_echoed_bullets", "select doc_id, replace(text, 'The ', chr(10) || 'The ') as text from documents")
 def d3(spark, d):
     marked = F.replace(F.col("text"), F.lit("The "), F.lit("\n - [slipping] status=HIGH. echoed\nThe "))
-    return b.table(spark, d, "documents").select("doc_id", tx.strip_echoed_bullets(marked).alias("text"))
+    return b.documents(spark, d).select("doc_id", tx.strip_echoed_bullets(marked).alias("text"))
 
 
 @query("d4_strip_thinking", f"select doc_id, {STRIP('text')} as text, false as truncated_in_thinking from documents where doc_id % 2 = 0 union all select doc_id, '' as text, true as truncated_in_thinking from documents where doc_id % 2 = 1")
 def d4(spark, d):
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>a\nb</think>"), F.col("text"))).otherwise(F.concat(F.col("text"), F.lit("<think>never ends")))
-    return tx.strip_thinking(b.table(spark, d, "documents").select("doc_id", t.alias("text")), "text")
+    return tx.strip_thinking(b.documents(spark, d).select("doc_id", t.alias("text")), "text")
 
 
 LEAK = "|".join(f"(?:{p})" for p in fixed.LEAKED["en"])
@@ -97,7 +97,7 @@ FIXED = f"{SENT}, fx as (select *, list_transform(flatten(list_transform(tags, l
 
 @query("d8_correct_citations", f"with {FIXED} select narrative_id, pos::int as pos, array_to_string(list_sort(list_distinct(f)), ';') as cited from fx")
 def d8(spark, d):
-    out = tx.correct_citations(sents(spark, d).select("narrative_id", "pos", "cited"), fixed.INDICATORS, ["narrative_id", "pos"])
+    out = tx.correct_citations(sents(spark, d).select("narrative_id", "pos", "cited"), fixed.INDICATORS)
     return out.withColumn("cited", F.array_join(F.array_sort("cited"), ";"))
 
 
@@ -114,13 +114,13 @@ HEDGED = "case doc_id % 4 when 0 then ' It was a guess.' when 1 then ' It CLEARL
 @query("d10_hedge_violation", f"with t as (select doc_id, text || {HEDGED} as t from documents) select doc_id, regexp_matches(t, {q(DEFI)}) and not regexp_matches(t, {q(HEDG)}) as violates from t")
 def d10(spark, d):
     t = F.concat(F.col("text"), F.expr(HEDGED))
-    return b.table(spark, d, "documents").select("doc_id", tx.hedge_violation(t).alias("violates"))
+    return b.documents(spark, d).select("doc_id", tx.hedge_violation(t).alias("violates"))
 
 
 @query("d11_translation_suspect", "select doc_id, doc_id % 3 <> 1 as suspect from documents")
 def d11(spark, d):
     t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("학생 "), F.regexp_replace("text", r"[A-Za-zÀ-ɏ]+", "가"))).otherwise(F.lit(" "))
-    return b.table(spark, d, "documents").select("doc_id", tx.translation_suspect(t).alias("suspect"))
+    return b.documents(spark, d).select("doc_id", tx.translation_suspect(t).alias("suspect"))
 
 
 CITE_TEXT = "case doc_id % 5 when 0 then '[''slipping'', ''' || source || ''']' when 1 then 'slipping; not a tag | high' when 2 then 'nan' when 3 then 'a1,_b,2c' else '' end"
@@ -129,14 +129,14 @@ CITE_TEXT = "case doc_id % 5 when 0 then '[''slipping'', ''' || source || ''']'
 @query("d12_parse_citation_field", "select doc_id, case doc_id % 5 when 0 then 'slipping;' || source when 1 then 'slipping' when 3 then 'a1;_b' else '' end as citations, case doc_id % 5 when 1 then 'not a tag' when 3 then '2c' else '' end as invalid_citations from documents")
 def d12(spark, d):
     text = F.expr("case doc_id % 5 when 0 then concat('[\\'slipping\\', \\'', source, '\\']') when 1 then 'slipping; not a tag | high' when 2 then 'nan' when 3 then 'a1,_b,2c' else '' end")
-    out = tx.parse_citation_field(b.table(spark, d, "documents").select("doc_id", text.alias("t")), "t")
+    out = tx.parse_citation_field(b.documents(spark, d).select("doc_id", text.alias("t")), "t")
     return out.select("doc_id", F.array_join("citations", ";").alias("citations"), F.array_join("invalid_citations", ";").alias("invalid_citations"))
 
 
 @query("d13_clean_indicator_token", "select doc_id, 'slipping;' || regexp_extract(source, '^([a-zA-Z_]+)', 1) || ';lucky_guess' as cleaned, 2 as n_messy from documents")
 def d13(spark, d):
     c = F.array(F.lit(" slipping"), F.concat("source", F.lit(" x")), F.lit("9z"), F.lit("lucky_guess]"))
-    out = tx.clean_indicator_token(b.table(spark, d, "documents").select("doc_id", c.alias("c")), "c")
+    out = tx.clean_indicator_token(b.documents(spark, d).select("doc_id", c.alias("c")), "c")
     return out.select("doc_id", F.array_join("cleaned", ";").alias("cleaned"), "n_messy")
 
 
@@ -189,7 +189,7 @@ def d17(spark, d):
 
 @query("d18_mask_donor_skill", "select doc_id, case when doc_id % 2 = 0 then replace(text, 'the', 'that skill') else text end as text from documents")
 def d18(spark, d):
-    docs = b.table(spark, d, "documents").select("doc_id", "text", F.lit("the").alias("donor_skill"), F.when(F.col("doc_id") % 2 == 0, "of").otherwise("the").alias("host_skill"))
+    docs = b.documents(spark, d).select("doc_id", "text", F.lit("the").alias("donor_skill"), F.when(F.col("doc_id") % 2 == 0, "of").otherwise("the").alias("host_skill"))
     return tx.mask_donor_skill(docs, "text").select("doc_id", "text")
 
 

@@ -182,3 +182,12 @@ def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: l
     if form == "csv":
         writer = writer.option("header", True).option("escape", '"')
     writer.format(form).save(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows hashed by keys over all slots, where the scan gives fewer partitions than there are slots; else as it is.
+
+    For costly work on each row of a small file: a large table's scan has partitions enough and isn't moved.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots, *keys) if df.rdd.getNumPartitions() < slots else df

@@ -156,7 +156,7 @@ def test_citation_repair(spark):
     valid = ["overconfidence", "slipping", "lucky_guess"]
     tags = ["Slipping", "lucky_gues", "over confidence", "xyz", "slipping, lucky-guess，SLIP", ""]
     df = spark.createDataFrame([(i, [t, "slipping"]) for i, t in enumerate(tags)] + [(99, [])], "i int, cited array<string>")
-    got = {r.i: r.cited for r in tx.correct_citations(df, valid, ["i"]).collect()}
+    got = {r.i: r.cited for r in tx.correct_citations(df, valid).collect()}
     for i, t in enumerate(tags):
         parts = [p.strip() for p in re.split("[,，、]", t) if p.strip()]
         fixed = [p if p in valid else (difflib.get_close_matches(p.lower(), valid, 1, 0.75) or [p])[0] for p in parts]
