@@ -53,18 +53,22 @@ def cluster_weights(df: DataFrame, cluster: str, reps: int, seed, method: str =
     return drawn.join(index, "idx").select("rep", cluster, "w")
 
 
-def percentile_ci(df: DataFrame, group: list[str], value: str, ci: float = 0.95) -> DataFrame:
-    """ci_lo and ci_hi: linearly interpolated quantiles."""
+def percentile_ci(df: DataFrame, group: list[str], value: str, ci: float = 0.95, **more) -> DataFrame:
+    """ci_lo and ci_hi: linearly interpolated quantiles; ``more`` names further aggregates of the same pass."""
     lo = (1 - ci) / 2
-    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(lo), F.lit(1 - lo))).alias("_q"))
-    return q.select(*group, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"))
+    q = df.groupBy(*group).agg(F.percentile(value, F.array(F.lit(lo), F.lit(1 - lo))).alias("_q"), *[v.alias(k) for k, v in more.items()])
+    return q.select(*group, F.col("_q")[0].alias("ci_lo"), F.col("_q")[1].alias("ci_hi"), *more)
+
+
+def _two_sided(value: str):
+    """The p-value as an aggregate, null without any difference."""
+    b, low, high = F.count(value), F.count_if(F.col(value) <= 0), F.count_if(F.col(value) >= 0)
+    return F.when(b > 0, F.least(F.lit(1.0), 2 * (F.least(low, high) + 1) / (b + 1)))
 
 
 def two_sided_p(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """min(1, 2 min(#{<= 0} + 1, #{>= 0} + 1) / (B + 1)) of bootstrapped differences."""
-    c = df.filter(F.col(value).isNotNull()).groupBy(*group).agg(F.count(F.lit(1)).alias("_b"), F.count_if(F.col(value) <= 0).alias("_l"), F.count_if(F.col(value) >= 0).alias("_g"))
-    p = F.least(F.lit(1.0), 2 * (F.least("_l", "_g") + 1) / (F.col("_b") + 1))
-    return c.select(*group, p.alias("p_value"))
+    return df.filter(F.col(value).isNotNull()).groupBy(*group).agg(_two_sided(value).alias("p_value"))
 
 
 def holm(df: DataFrame, family: list[str], p: str, into: str = "p_holm") -> DataFrame:
@@ -95,9 +99,8 @@ def cluster_auroc_ci(df: DataFrame, group: list[str], cluster: str, label: str,
     point = auroc_of_counts(counts.groupBy(*group, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), group, score)
     size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("n_clusters"))
     found = _replicates(counts, group, cluster, weights, score)
-    spread = percentile_ci(found, group, "auroc", ci)
-    used = found.groupBy(*group).agg((F.lit(reps) - F.count("auroc")).alias("n_skipped"))
-    return _join(_join(_join(point, size, group), spread, group), used, group)
+    spread = percentile_ci(found, group, "auroc", ci, n_skipped=F.lit(reps) - F.count("auroc"))
+    return _join(_join(point, size, group), spread, group)
 
 
 def _join(a: DataFrame, b: DataFrame, group: list[str], how: str = "left") -> DataFrame:
@@ -118,7 +121,7 @@ def cluster_paired_diff(df: DataFrame, group: list[str], cluster: str, label: st
     found = sides(_replicates(counts, [*group, "side"], cluster, weights, "score")).withColumn("delta", F.col("a") - F.col("b"))
     size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     point = point.select(*group, F.col("a").alias("auroc_a"), F.col("b").alias("auroc_b"), (F.col("a") - F.col("b")).alias("delta"))
-    return _join(_join(_join(point, size, group), percentile_ci(found, group, "delta", ci), group), two_sided_p(found, group, "delta"), group)
+    return _join(_join(point, size, group), percentile_ci(found, group, "delta", ci, p_value=_two_sided("delta")), group)
 
 
 def cluster_mean_ci(df: DataFrame, group: list[str], cluster: str, value: str, reps: int = 10_000, seed=42, ci: float = 0.95, weights: DataFrame | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ THRESHOLDS = sorted({round(0.05 * i, 2) for i in range(1, 20)} | {0.5})
 RANGES = 256
 
 
-def _prefix(df: DataFrame, group: list[str], score: str, values: list[str]) -> DataFrame:
-    """``df``, one row a score in each group, with below_<v>: sums of the values over lower scores."""
+def _ranged(df: DataFrame, group: list[str], score: str) -> DataFrame:
+    """``df`` with _r, the range of its group's scores that a score falls into."""
     span = df.groupBy(*group).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")) if group else None
     if span is None:
         bounds = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
@@ -27,7 +27,12 @@ def _prefix(df: DataFrame, group: list[str], score: str, values: list[str]) -> D
     else:
         placed = df.join(span, group)
     width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    placed = placed.withColumn("_r", F.coalesce(F.least(F.floor((F.col(score) - F.col("_lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")).drop("_lo", "_hi")
+    return placed.withColumn("_r", F.coalesce(F.least(F.floor((F.col(score) - F.col("_lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")).drop("_lo", "_hi")
+
+
+def _prefix(df: DataFrame, group: list[str], score: str, values: list[str]) -> DataFrame:
+    """``df``, one row a score in each group, with below_<v>: sums of the values over lower scores."""
+    placed = _ranged(df, group, score)
     totals = placed.groupBy(*group, "_r").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
     over = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, "_r", *[F.coalesce(F.sum(f"_t_{v}").over(over), F.lit(0)).alias(f"_b_{v}") for v in values])
@@ -47,9 +52,13 @@ def score_counts(df: DataFrame, group: list[str], label: str, score: str, weight
 
 def auroc_of_counts(counts: DataFrame, group: list[str], score: str = "score") -> DataFrame:
     """(group, auroc, n_pos, n_neg) of (group, score, pos, neg); ties count half, null where a class is missing."""
-    ranked = _prefix(counts, group, score, ["neg"])
-    wins = F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / 2.0))
-    out = ranked.groupBy(*group).agg(wins.alias("_w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    inside = Window.partitionBy(*group, "_r").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = _ranged(counts, group, score).withColumn("_below", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
+    wins = F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0))
+    parts = ranked.groupBy(*group, "_r").agg(wins.alias("_w"), F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    parts = parts.withColumn("_c", F.coalesce(F.sum("_n").over(lower), F.lit(0)).cast("double"))
+    out = parts.groupBy(*group).agg(F.sum(F.col("_w") + F.col("_p") * F.col("_c")).alias("_w"), F.sum("_p").alias("n_pos"), F.sum("_n").alias("n_neg"))
     return out.select(*group, ratio("_w", F.col("n_pos") * F.col("n_neg")).alias("auroc"), "n_pos", "n_neg")
 
 
