@@ -295,13 +295,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` that are the first of their group; rows with a null id are all kept.
+    """One row of ``docs`` for each group: the one of smallest id, nulls last, then of its place.
 
-    Of rows that repeat an id, one stays.
+    Groups are of rows, so repeated and null ids neither lose a text of its own nor keep a copy.
     """
-    kept = near_groups(docs.filter(F.col(id_col).isNotNull()), id_col, text_col, bits).filter(F.col(id_col) == F.col("component_id")).select(id_col)
-    firsts = docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
-    return firsts.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "rows")
+    groups = near_groups(rows, "_row", text_col, bits).select("_row", "component_id")
+    ids = rows.select("_row", F.col(id_col).alias("id")).join(groups, "_row")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
+    return rows.join(ids.groupBy("component_id").agg(first).select("first._row"), "_row", "left_semi").select(docs.columns)
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

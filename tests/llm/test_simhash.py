@@ -73,6 +73,13 @@ def test_odd_rows(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_survivors_are_rows(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = documents(spark, [a, b, b, a, c, c, a], [1, 1, 0, None, None, None, 2])
+    got = sorted((str(r.doc_id), r.text[0]) for r in simhash.drop_near_copies(docs).collect())
+    assert got == [("0", "b"), ("1", "a"), ("None", "c")]
+
+
 @pytest.mark.parametrize("block", [3, 2048])
 def test_links_in_blocks(spark, block):
     rng = np.random.default_rng(5)
