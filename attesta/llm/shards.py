@@ -22,10 +22,11 @@ def key_hash(column):
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def _sized(docs: DataFrame, key: str, text_col: str) -> DataFrame:
+def _sized(docs: DataFrame, key: str, text_col: str, place: str | None = None) -> DataFrame:
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    row = F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id()), 64 - ROW_BITS)
-    return docs.select(F.col(key).alias("key"), key_hash(key).alias("h"), row.alias("r"), size.alias("size"))
+    row = F.shiftrightunsigned(F.xxhash64(F.col(place) if place else F.monotonically_increasing_id()), 64 - ROW_BITS)
+    kept = [F.col(place).alias("place")] if place else []
+    return docs.select(F.col(key).alias("key"), key_hash(key).alias("h"), row.alias("r"), size.alias("size"), *kept)
 
 
 def directory(sized: DataFrame, limit: int) -> DataFrame:
@@ -82,7 +83,13 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
     is a shard of its own bucket with fits = false; an empty table gives no rows; other columns are ignored.
     """
     need(docs, key, text_col)
-    sized = written(_sized(docs, key, text_col), "sized")
+    return _assigned(docs, key, text_col, limit).withColumnRenamed("key", key)
+
+
+def _assigned(docs: DataFrame, key: str, text_col: str, limit: int, place: str | None = None) -> DataFrame:
+    """:func:`assign_shards` with the key as ``key``, and the rows' column ``place`` as ``place`` if given."""
+    sized = written(_sized(docs, key, text_col, place), "sized")
+    kept = ["place"] if place else []
     found = directory(sized, limit)
     depths = [r.depth for r in found.select("depth").distinct().orderBy("depth").collect()]  # 101 at most
     prefix = F.explode(F.array(*[F.struct(_prefix(d).alias("prefix"), F.lit(d).alias("depth")) for d in depths])) if len(depths) > 1 else None
@@ -91,16 +98,21 @@ def assign_shards(docs: DataFrame, key: str = "doc_id", text_col: str = "text",
         rows = sized.withColumn("p", F.struct(_prefix(depth).alias("prefix"), F.lit(depth).alias("depth")))
     else:
         rows = sized.withColumn("p", prefix)
-    rows = rows.select("key", "p.prefix", "p.depth").join(found, ["prefix", "depth"])
-    return rows.select(F.col("key").alias(key), F.col("prefix").alias("shard"), "depth", F.col("rows").alias("shard_rows"), F.col("size").alias("shard_bytes"), "fits")
+    rows = rows.select("key", *kept, "p.prefix", "p.depth").join(found, ["prefix", "depth"])
+    return rows.select("key", *kept, F.col("prefix").alias("shard"), "depth", F.col("rows").alias("shard_rows"), F.col("size").alias("shard_bytes"), "fits")
 
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
-    """Writes ``docs`` (unique keys) with a folder ``shard=b<prefix>`` for each shard; returns the assignment."""
-    of = written(assign_shards(docs, key, text_col, limit), "assigned")
-    named = of.select(key, F.concat(F.lit("b"), "shard").alias("shard"))
-    docs.join(named, key).write.partitionBy("shard").parquet(path)
-    return of
+    """Writes each row of ``docs`` once, with a folder ``shard=b<prefix>`` for each shard; returns the assignment.
+
+    Rows meet their shards by their place, which is written once, so null and repeated keys are rows as any other.
+    """
+    need(docs, key, text_col)
+    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "rows")
+    of = written(_assigned(rows, key, text_col, limit, "_row"), "assigned")
+    named = of.select(F.col("place").alias("_row"), F.concat(F.lit("b"), "shard").alias("shard"))
+    rows.join(named, "_row").drop("_row").write.partitionBy("shard").parquet(path)
+    return of.drop("place").withColumnRenamed("key", key)
 
 
 def op1_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

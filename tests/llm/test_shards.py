@@ -43,3 +43,16 @@ def test_written_shards(spark, sf_dir, tmp_path):
     of = shards.write_shards(docs, f"file://{tmp_path}/out", limit=50000)
     back = spark.read.parquet(f"file://{tmp_path}/out")
     assert back.count() == docs.count() and back.select("shard").distinct().count() == of.select("shard").distinct().count()
+
+
+def test_null_and_hot_keys_are_written_once(spark, tmp_path):
+    texts = [f"text {i:05d}" for i in range(90)]
+    docs = documents(spark, texts, [7] * 30 + [None] * 30 + list(range(100, 130)))
+    of = shards.write_shards(docs, f"file://{tmp_path}/out", limit=100)
+    back = spark.read.parquet(f"file://{tmp_path}/out").collect()
+    assert sorted(r.text for r in back) == texts and of.count() == 90
+    sizes = {}
+    for r in back:
+        sizes[r.shard] = sizes.get(r.shard, 0) + len(r.text)
+    assert max(sizes.values()) <= 100
+    assert sizes == {f"b{r.shard}": r.shard_bytes for r in of.collect()}
