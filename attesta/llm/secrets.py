@@ -20,8 +20,10 @@ HEX = r"[0-9a-f]{16,}"
 #: Candidate strings of the entropy scan, by character class: pattern, window, least bits per character.
 CLASSES = {
     "entropy_hex": (r"(?<![0-9A-Za-z])[0-9A-F]{20,}(?![0-9A-Za-z])", 20, 3.0),
-    "entropy_base64": (r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{24,}={0,2}", 24, 3.9),
+    "entropy_base64": (r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}", 24, 3.9),
 }
+#: Characters that a whole candidate must have.
+HAS = {"entropy_hex": (), "entropy_base64": ("[0-9]", "[A-Z]", "[a-z]")}
 #: Candidates that are no secrets: examples, placeholders, one repeated pair, identifiers in dashed groups.
 ALLOW = r"(?i)example|placeholder|changeme|xxxx|^(.{1,4})\1+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[a-z]+([-_/][a-z]+)+$"
 
@@ -88,12 +90,15 @@ def _spans(found: Column, kind: str) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), m["end"].alias("end")))
 
 
-def _secret(window: int, least: float):
-    """Whether a candidate is off the allow list, clear of the base spans and of high entropy."""
+def _secret(window: int, least: float, has: tuple[str, ...]):
+    """Whether a candidate has the characters ``has``, is off the allow list, in no base span and of high entropy."""
 
     def use(m):
-        free = ~F.exists("_s_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return ~m["match"].rlike(ALLOW) & free & (entropy_peak(m["match"], window) >= least)
+        free = ~F.exists("_s_base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"]))
+        fits = F.lit(True)
+        for part in has:
+            fits &= m["match"].rlike(part)
+        return fits & ~m["match"].rlike(ALLOW) & free & (entropy_peak(m["match"], window) >= least)
 
     return use
 
@@ -102,7 +107,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets")
     """Adds ``into``: array<struct<start, kind, end>>, by start, then kind as in KINDS; other columns stay.
 
     Base spans (assign, access, hex) are always kept. An entropy span is a candidate string with a window whose
-    entropy reaches its class's threshold, unless it is on the allow list or overlaps a base span. Defined cases:
+    entropy reaches its class's threshold, unless it is on the allow list or a base span contains it whole. Defined cases:
     a null text counts as empty and has no span; positions are code points, the end exclusive; repeated rows
     are judged alike; an empty table gives no rows.
     """
@@ -119,7 +124,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", into: str = "secrets")
     out = out.withColumn("_s_base", base)
     parts = [F.col("_s_base")]
     for kind, (pattern, window, least) in CLASSES.items():
-        out = out.withColumn(f"_s_{kind}", F.filter(matches(text, pattern), _secret(window, least)))
+        out = out.withColumn(f"_s_{kind}", F.filter(matches(text, pattern), _secret(window, least, HAS[kind])))
         parts.append(_spans(F.col(f"_s_{kind}"), kind))
     out = out.withColumn(into, F.array_sort(F.concat(*parts)))
     return out.drop(*[c for c in out.columns if c.startswith("_s_")])

@@ -78,3 +78,12 @@ def test_entropy_windows(spark):
         return -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w))
 
     assert abs(got - max(bits(value[i : i + 12]) for i in range(len(value) - 11))) < 1e-9
+
+
+def test_keys_behind_long_paths_and_around_hex(spark):
+    key, mixed = "Zq8vK2mPxW4tYb9nRc3dLf7gHj5s", "Zq8vK2mPxW4tYb9nRc3d0123456789abcdefLf7gHj5sQpT"
+    docs = documents(spark, ["srv/app/" * 30 + key, f"a {mixed} b", "srv/app/" * 40])
+    found, clean = rows(secrets.find_secrets(docs)), rows(secrets.redact(docs))
+    assert [(s.start, s.end) for s in found[0].secrets] == [(0, 240 + len(key))]
+    assert [secrets.KINDS[s.kind] for s in found[1].secrets] == ["entropy_base64", "hex"]
+    assert clean[0].text == "[secret]" and clean[1].text == "a [secret] b" and not found[2].secrets
