@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,18 +17,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one is set only where that is unset (local tests)."""
+    """The folder named by ``spark.checkpoint.dir``; only a session on this machine alone may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='attesta-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """The session's own part of the shared folder."""
+    return f"{shared_dir(spark)}/attesta/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes what this session has written to the shared folder; results not yet read from there are lost."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def scratch_path(spark: SparkSession, label: str) -> str:
+    return f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/attesta/{label}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, label)
     writer = df.write if compression is None else df.write.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -39,6 +58,12 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that an operator is about to add: its own take the place of any of that name."""
+    taken = {n.lower() for n in names}
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
 def whole_text(column: str = "text"):
     """Null texts count as empty ones."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -60,18 +85,49 @@ def chunks(sizes, limit: int):
         yield start, len(sizes)
 
 
-def fraction_for(rows: int, size: int, max_rows: int, max_bytes: int) -> float:
-    """Share of rows that keeps a sample within both bounds."""
-    return min(1.0, max_rows / max(rows, 1), max_bytes / max(size, 1))
+#: A hash below a share of 2^63 draws that share of the rows, however small it is.
+WHOLE = 1 << 63
+
+
+def drawn(share, *columns):
+    """Whether a row belongs to a ``share`` (a number, or a column of numbers) of all, by a hash of its ``columns``."""
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), *columns), 1)
+    if isinstance(share, float):
+        return F.lit(True) if share >= 1 else place < int(share * WHOLE)
+    return (share >= 1) | (place.cast("double") < share * float(WHOLE))
 
 
-def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_bytes: int) -> DataFrame:
-    """Rows drawn by a hash of ``key``: about ``max_rows`` rows and ``max_bytes`` of text at most."""
-    rows, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
-    share = fraction_for(rows, size, max_rows, max_bytes)
-    if share >= 1.0:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(share * 1_000_000))
+def fair_parts(sizes: list[int], limit: int) -> list[float]:
+    """How much of ``limit`` each of several groups may take: equal parts, and what small groups leave over to the others."""
+    parts, left = [0.0] * len(sizes), float(limit)
+    for k, i in enumerate(sorted(range(len(sizes)), key=lambda i: sizes[i])):
+        parts[i] = min(float(sizes[i]), left / (len(sizes) - k))
+        left -= parts[i]
+    return parts
+
+
+def bounded_sample(df: DataFrame, key: str, text: str, max_rows: int, max_bytes: int, label: str | None = None) -> DataFrame:
+    """Rows drawn by a hash of ``key`` and ``text``: about ``max_rows`` rows and ``max_bytes`` of text, at most a quarter
+    more rows. With ``label`` each of its values is drawn by itself, so that a rare one keeps its rows.
+
+    A row of more than a sixteenth of ``max_bytes`` isn't drawn. Only counts by label reach the driver.
+    """
+    size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long")
+    fitting = df.filter(size <= max_bytes // 16)
+    found = fitting.groupBy(*([label] if label else [])).agg(F.count(F.lit(1)).alias("_n"), F.sum(size).alias("_b")).collect()
+    rows, octets = fair_parts([r["_n"] for r in found], max_rows), fair_parts([r["_b"] or 0 for r in found], max_bytes)
+    shares = [min(a / max(r["_n"], 1), b / max(r["_b"] or 0, 1) if r["_b"] else 1.0, 1.0) for r, a, b in zip(found, rows, octets, strict=True)]
+    if all(x >= 1 for x in shares):
+        return fitting
+    if label is None:
+        picked = fitting.filter(drawn(shares[0], key, text))
+    else:
+        of = F.lit(0.0)
+        for r, x in zip(found, shares, strict=True):
+            of = F.when(F.col(label).eqNullSafe(F.lit(r[label])), F.lit(x)).otherwise(of)
+        picked = fitting.filter(drawn(of, key, text))
+    # equal rows are drawn together: a hot one must not pass the bound
+    return picked.orderBy(F.xxhash64(F.lit("order"), key, text), key).limit(max_rows + max_rows // 4)
 
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -132,6 +188,27 @@ def span_hash(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return finish(h)
 
 
+def same_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether spans of equal length of two ``padded`` arrays hold the same units, eight bytes a step."""
+    width = a.itemsize
+    per = 8 // width
+    of_a, of_b = (np.ndarray((len(x) - per + 1,), "<u8", x, strides=(width,)) for x in (a, b))
+    same, open_, k = np.ones(len(length), bool), np.flatnonzero(length > 0), 0
+    while len(open_):
+        if k * per >= LONG_SPAN:
+            for i in open_:
+                same[i] = bool((a[a_at[i] + k * per : a_at[i] + length[i]] == b[b_at[i] + k * per : b_at[i] + length[i]]).all())
+            break
+        left = length[open_] - k * per
+        gap = of_a[a_at[open_] + k * per] ^ of_b[b_at[open_] + k * per]
+        drop = (np.maximum(per - left, 0) * 8 * width).astype(np.uint64)
+        off = (gap << drop) != 0
+        same[open_[off]] = False
+        k += 1
+        open_ = open_[~off & (left > per)]
+    return same
+
+
 def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).astype(np.int8)))

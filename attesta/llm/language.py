@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from attesta.llm.common import bounded_sample, chunks, need, padded, ragged, span_hash, spans, table, texts_of
+from attesta.llm.common import bounded_sample, chunks, need, padded, ragged, span_hash, spans, table, texts_of, without
 
 UNKNOWN = "und"
 #: Bounds of the labelled sample that the model is fitted on.
@@ -146,32 +146,37 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], list[float]]:
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
-    """Fits on at most about ``rows`` labelled rows and ``size`` bytes of text, drawn by a hash of the id."""
+    """Fits on at most about ``rows`` labelled rows and ``size`` bytes of text, drawn by a hash of id and text, each
+    language by itself: a rare one keeps its rows, whatever the size of the table.
+
+    Rows without a text or a language are left out, as are single texts of more than a sixteenth of ``size``; a null
+    id is an id as any other; other columns are ignored. Few languages are assumed: their counts reach the driver.
+    """
     need(docs, text_col, lang_col, id_col)
-    labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    found = bounded_sample(labelled, "id", "text", rows, size).orderBy("id").toArrow()
+    labelled = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna(subset=["text", "lang"])
+    found = bounded_sample(labelled, "id", "text", rows, size, "lang").orderBy("id", "text").toArrow()
     return fit(found.column("text").to_pylist(), found.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds lang_pred and score. Null texts and texts without a letter are ``und`` with score 0.
+    """Adds lang_pred and score, in place of any columns of those names. Null texts and texts without a letter are
+    ``und`` with score 0.
 
-    Repeated rows get the same answer; other columns pass through; an empty table gives no rows, and a model
-    without labels says ``und`` for all.
+    Repeated rows get the same answer; other columns pass through; very long texts are scored whole; an empty table
+    gives no rows, and a model without labels says ``und`` for all.
     """
     need(docs, text_col)
-    if clash := {"lang_pred", "score"} & set(docs.columns):
-        raise ValueError(f"these column names are taken: {', '.join(sorted(clash))}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    kept = without(docs, *({"lang_pred", "score"} - {text_col.lower()}))
+    at = kept.columns.index(text_col)
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
         for batch in batches:
             langs, scores = predict(shared.value, texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return kept.mapInArrow(run, schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from attesta.llm.common import bounded_sample, chunks, need, padded, span_hash, table, texts_of, written
+from attesta.llm.common import bounded_sample, chunks, drawn, need, padded, span_hash, table, texts_of, without, written
 
 #: Bounds of the labelled sample that vectors, network and temperature are fitted on.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
@@ -19,6 +19,8 @@ FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 ROWS, DIMS, PLACES, NEAR = 1 << 14, 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-4, 11
 CHUNK_BYTES = 4 << 20
+#: Smaller while fitting, which the driver does.
+FIT_CHUNK = 1 << 20
 
 SPACE, MARK, DIGIT, UPPER, LOWER = range(5)
 _CLASS = np.full(256, LOWER, np.uint8)
@@ -45,9 +47,9 @@ class Tokens:
         end = np.append(begin[1:], len(data))
         keep = side[begin] > 0
         s, e = begin[keep], end[keep]
-        self.text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), s, "right")
-        self.hash = span_hash(units, s, e)
-        self.row = (self.hash % np.uint64(ROWS)).astype(np.int64)
+        self.text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), s, "right").astype(np.int32)
+        named = span_hash(units, s, e)
+        self.row = (named % np.uint64(ROWS)).astype(np.int32)
         n = e - s
         run = lambda k: np.concatenate(([0], np.cumsum(kind == k)))
         upper, digit = (run(k)[e] - run(k)[s] for k in (UPPER, DIGIT))
@@ -56,10 +58,10 @@ class Tokens:
         char = units[s]
         mark = np.select([(char == 0x2E) | (char == 0x2C), np.isin(char, [0x21, 0x3F]), np.isin(char, [0x22, 0x27, 0x28, 0x29, 0x2D, 0x3A, 0x3B])], [0, 1, 2], 3)
         is_word = side[s] == 2 if len(s) else np.zeros(0, bool)
-        self.shape = np.where(is_word, word, 6 + 3 * mark + np.minimum(n, 3) - 1)
+        self.shape = np.where(is_word, word, 6 + 3 * mark + np.minimum(n, 3) - 1).astype(np.uint8)
         self.again = np.zeros((2, len(s)), bool)
         for k in (1, 2):
-            self.again[k - 1, k:] = (self.hash[k:] == self.hash[:-k]) & (self.text[k:] == self.text[:-k]) & is_word[k:]
+            self.again[k - 1, k:] = (named[k:] == named[:-k]) & (self.text[k:] == self.text[:-k]) & is_word[k:]
 
 
 def index_vectors() -> np.ndarray:
@@ -102,7 +104,7 @@ def pooled(vectors: np.ndarray, t: Tokens, texts: int) -> np.ndarray:
         out[own, :DIMS] = np.add.reduceat(vectors[t.row[first[own[0]] : stop]], first[own] - first[own[0]], axis=0, dtype=np.float64)
     out[:, :DIMS] /= n[:, None]
     out[:, DIMS] = np.linalg.norm(out[:, :DIMS], axis=1)
-    shapes = np.bincount(t.text * SHAPES + t.shape, minlength=texts * SHAPES).reshape(texts, SHAPES).astype(np.float64)
+    shapes = np.bincount(t.text.astype(np.int64) * SHAPES + t.shape, minlength=texts * SHAPES).reshape(texts, SHAPES).astype(np.float64)
     for k in range(2):
         shapes[:, SHAPES - 2 + k] = np.bincount(t.text[t.again[k]], minlength=texts)
     out[:, DIMS + 1 :] = np.sqrt(shapes / n[:, None])
@@ -120,6 +122,7 @@ class Model:
     spread: np.ndarray
     layers: list[np.ndarray]
     temperature: float
+    width: int
 
     def logits(self, features: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -128,7 +131,7 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.empty(len(texts))
         for i, j in chunks([len(t) for t in texts], CHUNK_BYTES):
-            features = pooled(self.vectors, Tokens(texts[i:j]), j - i)
+            features = pooled(self.vectors, Tokens(texts[i:j]), j - i)[:, : self.width]
             out[i:j] = _sigmoid(self.logits(features) / self.temperature)
         return out
 
@@ -159,59 +162,69 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(grid[int(np.argmin(loss))])
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """Every fifth text is kept back for the temperature. With one class only, scores are near that class."""
+def fit(texts: list[str], labels: list[int], shapes: bool = True) -> Model:
+    """Every fifth text is kept back for the temperature. With one class only, scores are near that class. Without
+    ``shapes`` the pooled word vectors are all that the network sees."""
     y = np.array(labels, np.float64)
-    cuts = list(chunks([len(t) for t in texts], CHUNK_BYTES))
+    cuts = list(chunks([len(t) for t in texts], FIT_CHUNK))
     parts = [Tokens(texts[i:j]) for i, j in cuts]
     vectors = word_vectors(parts)
-    width = DIMS + 1 + SHAPES
-    x = np.concatenate([pooled(vectors, p, j - i) for p, (i, j) in zip(parts, cuts, strict=True)]) if parts else np.zeros((0, width))
+    width = DIMS + 1 + (SHAPES if shapes else 0)
+    x = np.concatenate([pooled(vectors, p, j - i)[:, :width] for p, (i, j) in zip(parts, cuts, strict=True)]) if parts else np.zeros((0, width))
     mean = x.mean(axis=0) if len(x) else np.zeros(width)
     spread = (x.std(axis=0) if len(x) else np.zeros(width)) + 1e-3
     back = np.arange(len(y)) % 5 == 4
     z = (x - mean) / spread
     layers = _network(z[~back], y[~back]) if len(y) else [np.zeros((width, HIDDEN)), np.zeros(HIDDEN), np.zeros((HIDDEN, 1)), np.zeros(1)]
-    model = Model(vectors, mean, spread, layers, 1.0)
+    model = Model(vectors, mean, spread, layers, 1.0, width)
     model.temperature = _temperature(model.logits(x[back]), y[back])
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS, size: int = FIT_BYTES) -> Model:
-    """Fits on at most about ``rows`` labelled documents and ``size`` bytes of text, drawn by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", rows: int = FIT_ROWS, size: int = FIT_BYTES, shapes: bool = True) -> Model:
+    """Fits on at most about ``rows`` labelled documents and ``size`` bytes of text, drawn by a hash of id and text.
+
+    A label holds for all documents of its id, null ids and labels aside; a document with two labels counts with
+    each; null texts and single ones of more than a sixteenth of ``size`` are left out; other columns are ignored.
+    The ids are counted before any text is read, so that an id that many documents share stays within the bound.
+    """
     need(docs, id_col, text_col)
     need(labels, id_col, label_col)
     marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    share = min(1.0, rows / max(marked.count(), 1))
-    drawn = marked.filter(F.pmod(F.xxhash64(F.lit("labels"), "id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    drawn = written(drawn.dropDuplicates(), "labels")
-    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(drawn, "id").dropna()
-    known = written(known, "labelled")
-    found = bounded_sample(known, "id", "text", rows, size).orderBy(F.xxhash64("id"), "id", "label").toArrow()
-    return fit(found.column("text").to_pylist(), found.column("label").to_pylist())
+    some = marked.filter(drawn(min(1.0, rows / max(marked.count(), 1)), "id"))
+    some = written(some.dropDuplicates(), "labels")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id")
+    share = min(1.0, rows / max(docs.select(F.col(id_col).alias("id")).join(some, "id").count(), 1))
+    known = written(known.dropna().filter(drawn(share, "id", "text")), "labelled")
+    found = bounded_sample(known, "id", "text", rows, size).orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "label").toArrow()
+    return fit(found.column("text").to_pylist(), found.column("label").to_pylist(), shapes)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Adds score (0 to 1) and predicted (score >= 0.5). Null and empty texts are scored as texts without words.
+    """Adds score (0 to 1) and predicted (score >= 0.5), in place of any columns of those names. Null and empty texts
+    are scored as texts without words.
 
-    Repeated rows get the same score; other columns pass through; an empty table gives no rows.
+    Repeated rows get the same score; other columns pass through; very long texts are scored whole; an empty table
+    gives no rows.
     """
     need(docs, text_col)
-    if clash := {"score", "predicted"} & set(docs.columns):
-        raise ValueError(f"these column names are taken: {', '.join(sorted(clash))}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    kept = without(docs, *({"score", "predicted"} - {text_col.lower()}))
+    at = kept.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
             value = shared.value.scores(texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that the model does not reject."""
+    """The rows of ``docs``, all columns, that the model does not reject: those of a score of 0.5 or more.
+
+    Null and empty texts are judged as texts without words, repeated rows alike, very long texts whole.
+    """
     need(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
