@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import chunks, need, table, texts_of, whole_text, written
+from attesta.llm.common import chunks, need, scratch_path, table, texts_of, whole_text, written
 from attesta.llm.tokens import CHUNK_BYTES, encoder
 
 SCALE, LOW, LANES, BLOCK_IDS, SEGMENT_IDS = 18, 1 << 31, 1024, 1 << 18, 1 << 21
@@ -170,12 +170,14 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool =
     """Writes the token file ``path``: segments in ascending id order over (file, segment), one end id a document.
 
     Defined cases: null and empty texts are the end id alone; a null id comes first and stays null; rows that
-    repeat an id stand together, by the hash of their texts; an empty table gives an empty file; other columns
+    repeat an id stand together, by the hash of their texts and then of their place, which also part an id that many
+    rows have over several tasks; very long texts are encoded whole; an empty table gives an empty file; other columns
     are ignored.
     """
     need(docs, id_col, text_col)
-    kept = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"))
-    dealt = kept.repartitionByRange("id").sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
+    kept = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"), F.xxhash64(text_col, F.monotonically_increasing_id()).alias("salt"))
+    order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("salt")]
+    dealt = kept.repartitionByRange(*order).sortWithinPartitions(*order)
     dealt.mapInArrow(_write(tokenizer, drops_space, end_id), SEGMENTS).write.parquet(path)
 
 
@@ -213,12 +215,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     import public_tokenizers
 
-    from attesta.llm.common import shared_dir
-
-    path = f"{shared_dir(spark)}/attesta/tokens-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_tokens(spark, path)

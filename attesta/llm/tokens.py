@@ -1,19 +1,24 @@
 """Token ids of many texts: texts are cut where a tokenizer cuts anyway, and each distinct piece is encoded once.
 
 Cuts are made between ASCII characters only, at places that no pre-token of the two tokenizers can span; the rest
-stays in one piece, so the ids are those of the whole text. A worker keeps the ids of the pieces it has met, up to
-``MAX_PIECES``; what it forgets is encoded again.
+stays in one piece, so the ids are those of the whole text. Literals that the tokenizer file adds (as the end of text)
+part a text first and become their own ids, as in the library. A worker keeps the ids of the pieces it has met, up to
+``MAX_PIECES`` and ``MAX_POOL``; what it forgets is encoded again. Pieces are found by hash and held byte for byte
+against the one whose ids they take.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
-from attesta.llm.common import padded, ragged, span_hash
+from attesta.llm.common import padded, ragged, same_spans, span_hash
 
 MAX_PIECES = 2_000_000
+#: Bytes of pieces kept, and ids.
+MAX_POOL = 32 << 20
 #: Text that is held as arrays at once.
 CHUNK_BYTES = 4 << 20
 
@@ -39,16 +44,23 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.drops_space = drops_space
+        added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        if odd := [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.normalized or t.lstrip or t.rstrip or t.single_word]:
+            raise ValueError(f"added tokens that aren't plain literals: {', '.join(odd)}")
+        self.added = added
+        self.literal = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._forget()
 
     def _forget(self):
-        self.hash = np.zeros(0, np.uint64)
+        self.hash = np.zeros(0, np.uint64)  # ascending, with the number of the piece of each
+        self.number = np.zeros(0, np.int64)
         self.offset = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begin = np.zeros(0, np.int64)  # the bytes of each piece
+        self.octets, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def cuts(self, units: np.ndarray, size: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces; ``first``: where texts begin, each ending one before the next."""
@@ -76,6 +88,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
+        if not any(x in t for x in self.added for t in texts):
+            return self._plain(texts)
+        parts, owner, after = [], [], []
+        for k, t in enumerate(texts):
+            cut = self.literal.split(t)  # text, literal, text, ..., text
+            parts += cut[0::2]
+            after += [*(self.added[x] for x in cut[1::2]), -1]
+            owner += [k] * len(cut[0::2])
+        ids, n = self._plain(parts)
+        after = np.array(after, np.int64)
+        ids = np.insert(ids, np.cumsum(n)[after >= 0], after[after >= 0])
+        return ids, np.bincount(owner, n + (after >= 0), len(texts)).astype(np.int64)
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`encode`, of texts without added literals."""
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         data = b"\n".join(raw) + b"\n"
         units = padded(data)
@@ -86,38 +113,47 @@ class Encoder:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         keys, example, inverse = np.unique(span_hash(units, starts, ends), return_index=True, return_inverse=True)
-        offset, length = self._ids(keys, units, starts[example], ends[example])
-        count = length[inverse]
+        piece = self._ids(keys, units, starts[example], ends[example])[inverse]
+        offset, count = self.offset[piece], self.length[piece]
+        # a piece that only shares its hash with the one found is encoded by itself
+        size = ends - starts
+        alike = size == np.append(self.begin, self.filled)[piece + 1] - self.begin[piece]
+        alike[alike] = same_spans(units, starts[alike], self.octets, self.begin[piece[alike]], size[alike])
+        ids = self.pool
+        if not alike.all():
+            own = [np.array(x, np.uint32) for x in self._encode(_texts(units, starts[~alike], ends[~alike]))]
+            count[~alike] = [len(x) for x in own]
+            offset[~alike] = len(ids) + np.cumsum(count[~alike]) - count[~alike]
+            ids = np.concatenate([ids, *own])
         total = np.concatenate(([0], np.cumsum(count)))
         at = np.searchsorted(starts, first)
-        return self.pool[ragged(offset[inverse], count)], np.diff(total[at])
+        return ids[ragged(offset, count)], np.diff(total[at])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         place = np.searchsorted(self.hash, keys)
         inside = np.minimum(place, max(len(self.hash) - 1, 0))
         return place, (self.hash[inside] == keys) if len(self.hash) else np.zeros(len(keys), bool)
 
-    def _ids(self, keys, units, starts, ends) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, keys, units, starts, ends) -> np.ndarray:
+        """The number of the kept piece for each of the ascending ``keys``."""
         place, found = self._find(keys)
         new = np.flatnonzero(~found)
         if len(new):
-            if len(self.hash) + len(new) > MAX_PIECES and len(self.hash):
+            if len(self.hash) and (len(self.hash) + len(new) > MAX_PIECES or self.filled > MAX_POOL or self.used * 4 > MAX_POOL):
                 self._forget()
                 place, found = self._find(keys)
                 new = np.arange(len(keys))
-            ids = self._encode([bytes(units[s:e]).decode("utf-8", "surrogatepass") for s, e in zip(starts[new], ends[new], strict=True)])
+            ids = self._encode(_texts(units, starts[new], ends[new]))
             length = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for one in ids for x in one), np.uint32, int(length.sum()))
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-            self.pool[self.used : self.used + len(flat)] = flat
-            offset = self.used + np.cumsum(length) - length
-            self.used += len(flat)
+            size = ends[new] - starts[new]
+            self.pool, offset, self.used = _kept(self.pool, self.used, flat, length)
+            self.octets, begin, self.filled = _kept(self.octets, self.filled, units[ragged(starts[new], size)], size)
+            self.number = np.insert(self.number, place[new], len(self.offset) + np.arange(len(new)))
             self.hash = np.insert(self.hash, place[new], keys[new])
-            self.offset = np.insert(self.offset, place[new], offset)
-            self.length = np.insert(self.length, place[new], length)
+            self.offset, self.length, self.begin = (np.concatenate(x) for x in ((self.offset, offset), (self.length, length), (self.begin, begin)))
             place = np.searchsorted(self.hash, keys)
-        return self.offset[place], self.length[place]
+        return self.number[place]
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
@@ -133,6 +169,19 @@ class Encoder:
         return out
 
 
+def _texts(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    return [bytes(units[s:e]).decode("utf-8", "surrogatepass") for s, e in zip(starts, ends, strict=True)]
+
+
+def _kept(pool: np.ndarray, used: int, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """``pool`` with ``flat`` after its first ``used`` items (zeros follow), where each part begins, and the new end."""
+    end = used + len(flat)
+    while end + 8 > len(pool):
+        pool = np.concatenate((pool, np.zeros_like(pool)))
+    pool[used:end] = flat
+    return pool, used + np.cumsum(length) - length, end
+
+
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 

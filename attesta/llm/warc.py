@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import chunks, need, shared_dir, table, written
+from attesta.llm.common import chunks, need, scratch_path, table, written
 
 #: Fixed values of the ARC format: the fields of a record's header line, by version.
 ARC_FIELDS = {
@@ -158,7 +158,7 @@ def convert(record: dict[str, str], content: bytes, original: int | None = None)
     if original is None:
         return warc_record("response", [*headers, ("WARC-Block-Digest", sha1_32(content)), kind], content)
     block = content[: len(content) - len(payload)]
-    more = [("WARC-Block-Digest", sha1_32(block)), ("WARC-Profile", PROFILE), ("WARC-Refers-To", page_record_id(str(original), date)), ("X-Refers-To-Page", str(original)), ("WARC-Truncated", "length"), kind]
+    more = [("WARC-Block-Digest", sha1_32(block)), ("WARC-Profile", PROFILE), ("WARC-Refers-To", page_record_id(str(original), date)), ("WARC-Truncated", "length"), kind]
     return warc_record("revisit", [*headers, *more], block)
 
 
@@ -207,16 +207,27 @@ def convert_archives(arcs: DataFrame, data_col: str = "data") -> DataFrame:
     return arcs.select(data_col).mapInArrow(run, ARCHIVE)
 
 
+#: Parts of a key that many rows may share.
+SALT = 16
+
+
+def _salted(rows: DataFrame, small: DataFrame, key: str, place) -> DataFrame:
+    """``rows`` left-joined with ``small``, one row a key: rows of a hot key are parted by a hash of ``place``."""
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*place), F.lit(SALT)).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return spread.join(copies, [key, "_salt"], "left").drop("_salt")
+
+
 def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
     """Adds payload (binary), digest (hex SHA-1) and original: the largest id among rows with the same payload of
-    at least ``least`` bytes, where there are several. Digests are counted before the shuffle, and the join is by
-    digest, which adaptive plans split where one is hot."""
+    at least ``least`` bytes, where there are several. Digests are counted before the shuffle; the rows of one digest
+    meet its original in ``SALT`` parts."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     sized = pages.withColumn("payload", payload).withColumn("digest", F.sha1("payload"))
     keyed = pages.select(F.sha1(payload).alias("digest"), F.length(payload).alias("n"), F.col(id_col).alias("i"))
     copies = keyed.filter(F.col("n") >= least).groupBy("digest").agg(F.max("i").alias("original"), F.count(F.lit(1)).alias("copies"))
     copies = written(copies.filter("copies > 1").select("digest", "original"), "copies")
-    return sized.join(copies, "digest", "left")
+    return _salted(sized, copies, "digest", [F.col(id_col), F.monotonically_increasing_id()])
 
 
 def _write(version: str, date: str):
@@ -254,8 +265,12 @@ def write_pages(pages: DataFrame, path: str, version: str = "2", date: str = "20
     ready.mapInArrow(_write(version, date), ARCHIVE).write.parquet(path)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Per record of an archive: page_id, payload_bytes, payload_digest, record_type, refers_to, url, date, payload.
+RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers_to_id string, url string, date string, payload binary"
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Per record of an archive: page_id, payload_bytes, payload_digest, record_type, record_id, refers_to_id, url,
+    date, payload.
 
     A response's digest is computed again from its payload and held against the header; a revisit has no payload,
     its length and digest are those in its headers.
@@ -273,17 +288,33 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
                         raise BadArchive("a payload's digest differs")
                     if sha1_32(block) != headers["WARC-Block-Digest"]:
                         raise BadArchive("a block's digest differs")
-                    hex_digest = _hex(digest)
                     page = http.get("x-page-id", "None")
-                    other = headers.get("X-Refers-To-Page")
                     n = int(http["content-length"]) if kind == "revisit" else len(payload)
-                    rows.append((None if page == "None" else int(page), n, hex_digest, kind, int(other) if other else None, headers["WARC-Target-URI"], headers["WARC-Date"], payload))
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary())
-                names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date", "payload"]
+                    rows.append((None if page == "None" else int(page), n, _hex(digest), kind, headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), headers["WARC-Target-URI"], headers["WARC-Date"], payload))
+                kinds = (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.binary())
+                names = [f.split()[0] for f in RECORDS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, date string, payload binary"
-    return spark.read.schema(ARCHIVE).parquet(path).select("data").mapInArrow(run, schema)
+    return spark.read.schema(ARCHIVE).parquet(path).select("data").mapInArrow(run, RECORDS)
+
+
+def resolved(records: DataFrame, index: DataFrame) -> DataFrame:
+    """``records`` with refers_to, the page whose record a revisit refers to, in place of both record ids.
+
+    ``index``: the records without payloads. Only records that are referred to are looked up, each once; one that many
+    revisits refer to is met in ``SALT`` parts. Revisits of a record that isn't in the archive have null.
+    """
+    wanted = index.filter("refers_to_id is not null").select(F.col("refers_to_id").alias("record_id")).distinct()
+    pages = index.filter("record_type <> 'revisit'").join(wanted, "record_id", "left_semi")
+    pages = pages.groupBy(F.col("record_id").alias("refers_to_id")).agg(F.min("page_id").alias("refers_to"))
+    return _salted(records, pages, "refers_to_id", [F.col("page_id"), F.col("record_id")]).drop("record_id", "refers_to_id")
+
+
+def read_pages(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
+    """:func:`read_records` with revisits resolved to pages by an index of the archive, which is written once."""
+    records = read_records(spark, path)
+    index = written(records.drop("payload"), "index")
+    return resolved(records if with_payload else index, index)
 
 
 def _hex(digest: str) -> str:
@@ -291,9 +322,9 @@ def _hex(digest: str) -> str:
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/attesta/archive-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "archive")
     write_pages(table(spark, sf_dir, "pages"), path)
-    return read_pages(spark, path).drop("url", "date", "payload")
+    return read_pages(spark, path, with_payload=False).drop("url", "date")
 
 
 OP10_SQL = f"""

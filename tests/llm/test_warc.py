@@ -75,3 +75,16 @@ def test_bad_archives():
             list(warc.read_arc(bad))
     with pytest.raises(warc.BadArchive):
         list(warc.read_warc(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"))
+
+
+def test_revisits_name_their_record(spark, tmp_path):
+    text = "w" * 2000
+    frame = spark.createDataFrame([(i, "u", text) for i in range(40)] + [(99, None, None)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_pages(frame, path)
+    records = {r.page_id: r for r in warc.read_records(spark, path).collect()}
+    assert all(records[i].refers_to_id == records[39].record_id for i in range(39)) and records[39].refers_to_id is None
+    back = {r.page_id: r for r in warc.read_pages(spark, path, with_payload=False).collect()}
+    assert all(back[i].refers_to == 39 for i in range(39)) and back[39].refers_to is None and len(back) == 41
+    lost = warc.resolved(warc.read_records(spark, path), warc.read_records(spark, path).filter("page_id <> 39"))
+    assert all(r.refers_to is None for r in lost.collect())
