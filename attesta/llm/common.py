@@ -58,6 +58,16 @@ def need(df: DataFrame, *columns: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def as_struct(df: DataFrame):
+    """All columns as one struct, so that none of their names can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """(row, doc) written once: a number for each row, which no later plan changes, and the row as a struct."""
+    return written(df.select(F.monotonically_increasing_id().alias("row"), as_struct(df).alias("doc")), "rows")
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add: its own take the place of any of that name."""
     taken = {n.lower() for n in names}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import need, table
+from attesta.llm.common import as_struct, need, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 12
@@ -129,7 +129,7 @@ def _found(docs: DataFrame, text_col: str) -> DataFrame:
     """(row, text, base, spans): ``docs`` as one struct, so that no column name of its can clash."""
     text = F.col("text")
     value = lambda m: F.char_length(F.regexp_extract(m["match"], ASSIGN, 2)) >= ASSIGN_VALUE
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    out = docs.select(as_struct(docs).alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     out = out.withColumn("long", text.rlike(RUN))
     run = lambda pattern: F.when(F.col("long"), matches(text, pattern)).otherwise(F.array().cast(MATCHES))
     base = F.concat(_spans(F.filter(matches(text, ASSIGN), value), "assign"), _spans(run(ACCESS), "access"), _spans(run(HEX), "hex"))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import need, table, texts_of, written
+from attesta.llm.common import need, numbered_rows, table, texts_of, written
 from attesta.llm.components import components
 
 SEED = 42
@@ -282,7 +282,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined cases: null and empty texts have fingerprint 0 and link as any other; repeated rows are repeated in
     the result; rows with a null id keep it and never name a component (null if all its ids are); an empty
-    table gives no rows; other columns are ignored. Copies share a fingerprint and are one node.
+    table gives no rows; other columns are ignored, whatever their names; very long texts are read whole. Copies share
+    a fingerprint and are one node, so a group of copies costs one row. Of n different fingerprints that share a key
+    all pairs are compared, in blocks of ``BLOCK`` and a task for each pair of blocks: n^2 / 2 comparisons and n / BLOCK
+    copies of each are the bound, and nothing is left out to lower it.
     """
     prints = written(fingerprints(docs, id_col, text_col, shingle), "prints")
     nodes = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
@@ -299,11 +302,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Groups are of rows, so repeated and null ids neither lose a text of its own nor keep a copy.
     """
-    rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), *docs.columns), "rows")
-    groups = near_groups(rows, "_row", text_col, bits).select("_row", "component_id")
-    ids = rows.select("_row", F.col(id_col).alias("id")).join(groups, "_row")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("first")
-    return rows.join(ids.groupBy("component_id").agg(first).select("first._row"), "_row", "left_semi").select(docs.columns)
+    need(docs, id_col, text_col)
+    rows = numbered_rows(docs)
+    flat = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
+    groups = near_groups(flat, "row", "text", bits).select("row", "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    kept = flat.select("row", "id").join(groups, "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(kept, "row", "left_semi").select("doc.*")
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -119,3 +119,11 @@ def test_layout_is_complete(values, flips):
     for b in range(flips):
         y ^= 1 << (x * 7 + b * 13) % 64
     assert any(x & m == y & m for m in masks)
+
+
+def test_any_column_names_pass_through(spark):
+    docs = documents(spark, ["one two three four", "one two three four", "other words here now"], [3, 1, 2])
+    docs = docs.withColumns({"row": docs.id, "_row": docs.id, "fp": docs.id, "component_id": docs.id, "none": docs.id})
+    got = simhash.drop_near_copies(docs)
+    assert got.columns == docs.columns and sorted(r.doc_id for r in got.collect()) == [1, 2]
+    assert simhash.near_groups(docs).count() == 3
