@@ -1,4 +1,6 @@
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm import shards
 from tests.llm.cases import ODD, documents
@@ -16,7 +18,7 @@ def test_odd_rows(spark):
         sizes = [len((texts[r.doc_id] or "").encode()) for r in rows]
         assert rows[0].shard_bytes == sum(sizes) and rows[0].shard_rows == len(rows)
         assert rows[0].fits == (sum(sizes) <= 100)
-        assert rows[0].fits or sum(s > 0 for s in sizes) == 1
+        assert rows[0].fits or len(sizes) == 1
     names = sorted(by)
     assert not any(b.startswith(a) for a, b in zip(names, names[1:], strict=False))
     assert shards.assign_shards(docs.limit(0)).count() == 0
@@ -28,14 +30,15 @@ def test_one_key_is_parted_by_rows(spark):
     assert len(got) == 300 and all(r.fits and r.shard_bytes <= 100 for r in got)
 
 
-def test_query_matches_sql(spark, sf_dir):
+@pytest.mark.parametrize("limit,least", [(shards.LIMIT, shards.SHARDS), (20000, 1), (300, 1)])
+def test_shards_match_sql(spark, sf_dir, limit, least):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
-    limit = 20000
-    want = con.sql(shards.OP1_SQL.replace(str(shards.LIMIT), str(limit))).fetchall()
+    want = con.sql(shards.op1_sql(limit, least)).fetchall()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = [tuple(r) for r in shards.assign_shards(docs, limit=limit).collect()]
-    assert sorted(got) == sorted(want) and len({r[1] for r in got}) > 10
+    got = [tuple(r) for r in shards.assign_shards(docs, limit=limit, shards=least).collect()]
+    assert sorted(got) == sorted(want) and len({r[1] for r in got}) > 10 and len({r[2] for r in got}) > 3
+    assert {r[5] for r in got} == ({True} if limit > 300 and least == 1 else {True, False})
 
 
 def test_written_shards(spark, sf_dir, tmp_path):
@@ -56,3 +59,11 @@ def test_null_and_hot_keys_are_written_once(spark, tmp_path):
         sizes[r.shard] = sizes.get(r.shard, 0) + len(r.text)
     assert max(sizes.values()) <= 100
     assert sizes == {f"b{r.shard}": r.shard_bytes for r in of.collect()}
+
+
+def test_taken_names(spark, tmp_path):
+    docs = documents(spark, ["a", "b"]).withColumns({n: F.lit("mine") for n in ("shard", "size", "cell", "prefix", "depth", "rows", "place", "row", "doc")})
+    assert shards.assign_shards(docs, limit=1).count() == 2
+    shards.write_shards(docs, f"file://{tmp_path}/out", limit=1)
+    back = spark.read.parquet(f"file://{tmp_path}/out")
+    assert sorted(back.columns) == sorted(docs.columns) and {r.cell for r in back.collect()} == {"mine"} and back.count() == 2
