@@ -3,14 +3,14 @@
 With one further component sqrt(M^2 - |x|^2), M the largest norm, the squared distance of a query (further component
 0) to x is |q|^2 + M^2 - 2 q.x: nearest is largest inner product, and distances obey the triangle inequality. The
 vectors are dealt to shards around routing vectors; each shard is an M-tree of paged nodes with covering radii and
-distances to the parent. A query first searches its nearest shard and then those that its bound cannot rule out.
+distances to the parent. A query first searches the shards of its nearest route, then those that its bound cannot rule out.
 """
 
 from __future__ import annotations
 
 import heapq
 import io
-from math import ceil
+from math import ceil, isqrt
 
 import numpy as np
 import pandas as pd
@@ -18,28 +18,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import need, table, written
+from attesta.llm.common import need, ragged, table, written
 
 #: A page of vectors is scored in one product, so it is as large as a core's cache takes.
 PAGE, FANOUT = 256, 32
-SHARD_ROWS, ROUTES, QUERY_ROWS = 4096, 256, 1024
-#: Distances are square roots of exact integers; bounds give way by so much, relatively.
+SHARD_ROWS, QUERY_ROWS = 4096, 8192
+#: Routing vectors: at least so many if there are shards enough, about the root of the rows, and so many bytes at most.
+ROUTES, ROUTE_BYTES = 256, 8 << 20
+#: Vectors, for each routing vector, among which those that lie farthest apart are chosen.
+DRAWN = 4
+#: Bounds give way by so much, relatively and absolutely; distances are square roots of exact integers.
 SLACK = 1e-7
+#: Squared norms below this make float products exact; up to ``WHOLE_NORM`` scores are summed as integers.
+FLOAT_NORM, WHOLE_NORM = 1 << 51, 1 << 62
+#: A score below any.
+NONE = -(1 << 62)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(id, v array<long>, n2 long): floor(scale * x) of the rows whose id and components are all there and finite."""
-    good = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
-    kept = df.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & good)
-    kept = kept.select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
-    return kept.withColumn("n2", F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))
+    """(id, v array<long>, n2 long): floor(scale * x) of the rows whose id and components are all there and finite, and
+    whose squared norm is below 2^62."""
+    good = F.forall(f"`{vec_col}`", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    v = F.transform(f"`{vec_col}`", lambda x: F.floor(x.cast("double") * scale))
+    kept = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vec_col}`").isNotNull() & good)
+    kept = kept.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("w"))
+    about = F.aggregate("w", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    exact = F.when(about < float(WHOLE_NORM), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long")))
+    return kept.select("id", F.transform("w", lambda x: x.cast("long")).alias("v"), exact.alias("n2")).filter("n2 is not null")
 
 
 def matrix(vectors, width: int = 0) -> np.ndarray:
-    """Vectors as rows; shorter ones end in zeros."""
+    """Vectors as rows of whole numbers; shorter ones end in zeros."""
     width = max([width, *map(len, vectors)])
-    out = np.zeros((len(vectors), width), np.float64)
+    out = np.zeros((len(vectors), width), np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
     return out
@@ -49,14 +60,24 @@ def _widen(x: np.ndarray, width: int) -> np.ndarray:
     return x if x.shape[1] >= width else np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
 
+def far_apart(points: np.ndarray, extra: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` of the points, with their further components: each next one is the farthest from those before."""
+    points, chosen = points.astype(np.float64), [0]
+    near = np.full(len(points), np.inf)
+    while len(chosen) < min(n, len(points)):
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(axis=1) + (extra - extra[chosen[-1]]) ** 2)
+        chosen.append(int(np.argmax(near)))
+    return points[chosen], extra[chosen]
+
+
 class Tree:
     """A bulk-loaded M-tree. Node i covers children first[i] .. first[i] + count[i]: nodes, or points in a leaf."""
 
-    FIELDS = ("points", "extra", "ids", "point_parent", "center", "radius", "parent", "first", "count", "leaf")
+    FIELDS = ("whole", "extra", "ids", "point_parent", "center", "radius", "parent", "first", "count", "leaf")
 
-    def __init__(self, ids: np.ndarray, points: np.ndarray, extra: np.ndarray):
-        """``extra``: the further component of each point."""
-        self.points, self.extra, self.ids = points, extra, ids
+    def __init__(self, ids: np.ndarray, whole: np.ndarray, extra: np.ndarray):
+        """``whole``: the points, integers; ``extra``: the further component of each."""
+        self.points, self.extra, self.ids = whole.astype(np.float64), extra, ids
         order: list[np.ndarray] = []
         nodes: list[list] = []  # center, radius, parent distance, first, count, leaf
         rows = np.arange(len(ids))
@@ -82,7 +103,7 @@ class Tree:
         self.center = back[np.array(columns[0])] if len(ids) else np.array([0])
         self.radius, self.parent = np.array(columns[1]), np.array(columns[2])
         self.first, self.count, self.leaf = np.array(columns[3]), np.array(columns[4]), np.array(columns[5])
-        self.points, self.extra, self.ids = points[perm], extra[perm], ids[perm]
+        self.whole, self.points, self.extra, self.ids = whole[perm], self.points[perm], extra[perm], ids[perm]
         self.point_parent = np.zeros(len(perm))
         for i in np.flatnonzero(self.leaf):
             own = np.arange(self.first[i], self.first[i] + self.count[i])
@@ -123,7 +144,9 @@ class Tree:
 
     def dump(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, **{k: getattr(self, k) for k in self.FIELDS})
+        low, high = int(self.whole.min(initial=0)), int(self.whole.max(initial=0))
+        kind = next(k for k in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(k).min <= low and high <= np.iinfo(k).max)
+        np.savez(out, **{k: getattr(self, k) for k in self.FIELDS} | {"whole": self.whole.astype(kind)})
         return out.getvalue()
 
     @classmethod
@@ -132,37 +155,47 @@ class Tree:
         with np.load(io.BytesIO(data)) as z:
             for k in cls.FIELDS:
                 setattr(out, k, z[k])
+        out.whole = out.whole.astype(np.int64)
+        out.points = out.whole.astype(np.float64)
         return out
 
-    def search(self, q: np.ndarray, own: int, base: float, k: int, least: float = -np.inf) -> tuple[list[tuple[int, int]], int]:
+    def widen(self, width: int) -> None:
+        self.whole, self.points = _widen(self.whole, width), _widen(self.points, width)
+
+    def search(self, q: np.ndarray, own: int, base: int, k: int, least: int = NONE) -> tuple[list[tuple[int, int]], int]:
         """The k best (score, id) but for ``own``, best first, ties to the smaller id, and the distances computed.
 
-        base: |q|^2 + M^2. least: a score that k candidates elsewhere already reach.
+        q: integers; base: |q|^2 + M^2. least: a score that k candidates elsewhere already reach.
         """
-        best: list[tuple[float, int]] = []  # a heap of (score, -id)
+        best: list[tuple[int, int]] = []  # a heap of (score, -id)
         if not len(self.ids):
             return [], 0
-        bound = np.sqrt(max(base - 2 * least, 0)) if np.isfinite(least) else np.inf
+        # sums past 2^53 round: scores are then summed as integers, and bounds give way by the error
+        exact = base < 2 * FLOAT_NORM
+        points, asked = (self.points, q.astype(np.float64)) if exact else (self.whole, q)
+        loose = SLACK if exact else SLACK + float(base) ** 0.5 * 2.0**-22
+        q = q.astype(np.float64)
+        bound = float(max(base - 2 * least, 0)) ** 0.5 if least > NONE else np.inf
         apart = lambda rows: np.sqrt(np.maximum(base - 2 * (self.points[rows] @ q), 0))
         start = float(apart(self.center[:1])[0])
         heap, work = [(max(0.0, start - self.radius[0]), 0, start)], 1
         while heap:
             low, node, gap = heapq.heappop(heap)
-            if low > bound * (1 + SLACK) + SLACK:
+            limit = bound * (1 + SLACK) + loose
+            if low > limit:
                 break
             begin, end = int(self.first[node]), int(self.first[node] + self.count[node])
-            limit = bound * (1 + SLACK) + SLACK
             if self.leaf[node]:
                 near = np.abs(gap - self.point_parent[begin:end]) <= limit
                 hits = int(np.count_nonzero(near))
                 if not hits:
                     continue
                 rows = None if hits > (end - begin) // 2 else np.flatnonzero(near) + begin
-                scores = (self.points[begin:end] if rows is None else self.points[rows]) @ q
+                scores = (points[begin:end] if rows is None else points[rows]) @ asked
                 work += len(scores)
-                floor = max(best[0][0] if len(best) == k else -np.inf, least)
+                floor = max(best[0][0] if len(best) == k else NONE, least)
                 for i in np.flatnonzero(scores >= floor).tolist():
-                    entry = (float(scores[i]), -int(self.ids[begin + i if rows is None else rows[i]]))
+                    entry = (int(scores[i]), -int(self.ids[begin + i if rows is None else rows[i]]))
                     if -entry[1] == own:
                         continue
                     if len(best) < k:
@@ -170,7 +203,7 @@ class Tree:
                     elif entry > best[0]:
                         heapq.heapreplace(best, entry)
                 if len(best) == k:
-                    bound = min(bound, float(np.sqrt(max(base - 2 * best[0][0], 0))))
+                    bound = min(bound, float(max(base - 2 * best[0][0], 0)) ** 0.5)
                 continue
             rows = np.flatnonzero(np.abs(gap - self.parent[begin:end]) - self.radius[begin:end] <= limit) + begin
             gaps = apart(self.center[rows])
@@ -182,16 +215,16 @@ class Tree:
         return [(int(s), -i) for s, i in sorted(best, key=lambda x: (-x[0], -x[1]))], work
 
 
-def _build(top: float):
+def _build(top: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n2 = pdf["n2"].to_numpy(np.float64)
-        tree = Tree(pdf["id"].to_numpy(np.int64), matrix(list(pdf["v"])), np.sqrt(top - n2))
+        n2 = pdf["n2"].to_numpy(np.int64)
+        tree = Tree(pdf["id"].to_numpy(np.int64), matrix(list(pdf["v"])), np.sqrt((top - n2).astype(np.float64)))
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "tree": [tree.dump()]})
 
     return run
 
 
-def _search(top: float, k: int):
+def _search(top: int, k: int):
     def run(trees: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
         for data in trees["tree"]:
@@ -199,9 +232,9 @@ def _search(top: float, k: int):
             if not len(queries):
                 break
             q = matrix(list(queries["v"]), tree.points.shape[1])
-            tree.points = _widen(tree.points, q.shape[1])
+            tree.widen(q.shape[1])
             for i, (name, n2, least) in enumerate(zip(queries["id"], queries["n2"], queries["least"], strict=True)):
-                found, _ = tree.search(q[i], int(name), float(n2) + top, k, -np.inf if pd.isna(least) else float(least))
+                found, _ = tree.search(q[i], int(name), int(n2) + top, k, int(least))
                 out += [(name, i, s) for s, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
@@ -217,79 +250,98 @@ def top_inner_products(df: DataFrame, is_query, id_col: str = "vec_id", vec_col:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on ``id``), the k rows with the
     largest inner products of the vectors floor(scale * x), rows with its own id left out, ties to the smaller id.
 
-    Defined cases: rows with a null id, a null vector or a null or non-finite component take no part; of vectors of
-    unequal length the shorter end in zeros; repeated candidates are each a candidate; of query rows that repeat an
-    id the smallest vector asks; with fewer than k candidates all are returned; an empty table gives no rows; other
-    columns are ignored. Equal vectors, however many, are parted over shards by their ids.
+    Defined cases: rows with a null id, a null vector or a null or non-finite component take no part, nor does a vector
+    with a squared norm of 2^62 or more, whose products need not fit a long; of vectors of unequal length the shorter
+    end in zeros; repeated candidates are each a candidate; of query rows that repeat an id the smallest vector asks;
+    with fewer than k candidates all are returned; an empty table gives no rows; other columns are ignored. Equal
+    vectors, however many, are parted over shards by their ids.
+
+    A tree goes to the blocks of queries that its shard's bound cannot rule out, and to no others. Vectors without any
+    structure rule nothing out: every query then meets every shard, and the work is queries times rows.
     """
     need(df, id_col, vec_col)
     spark = df.sparkSession
     vecs = written(whole_vectors(df, id_col, vec_col, scale), "vectors")
-    rows, top = vecs.agg(F.count(F.lit(1)), F.max("n2")).first()
-    empty = "query_id long, rank int, vec_id long, score long"
+    rows, top, width = vecs.agg(F.count(F.lit(1)), F.max("n2"), F.max(F.size("v"))).first()
     if not rows:
-        return spark.createDataFrame([], empty)
-    top = float(top)
-    n_routes = min(ROUTES, ceil(rows / shard_rows))
-    routes = vecs.orderBy(F.xxhash64("id"), "id").limit(n_routes).collect()  # ROUTES rows at most
-    center = matrix([r.v for r in routes])
-    extra = np.sqrt(top - np.array([r.n2 for r in routes], np.float64))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    n_routes = max(1, min(ceil(rows / shard_rows), max(ROUTES, isqrt(rows)), ROUTE_BYTES // (8 * max(width, 1))))
+    some = vecs.orderBy(F.xxhash64("id"), "id").limit(DRAWN * n_routes).toArrow()  # DRAWN * ROUTE_BYTES at most
+    center, extra = far_apart(matrix(some.column("v").to_pylist(), width), np.sqrt((top - some.column("n2").to_numpy()).astype(np.float64)), n_routes)
+    centers = spark.sparkContext.broadcast((center, extra, (center**2).sum(axis=1)))
+    loose = SLACK if top < FLOAT_NORM else SLACK + float(top) ** 0.5 * 2.0**-22
 
     def route(batches):
+        center, extra, norm = centers.value
         for batch in batches:
-            v = matrix(batch.column(1).to_pylist(), center.shape[1])
-            c = _widen(center, v.shape[1])
-            n2 = batch.column(2).to_numpy().astype(np.float64)
-            gap = np.maximum(n2[:, None] + (c**2).sum(axis=1)[None, :] - 2 * v @ c.T, 0) + (np.sqrt(top - n2)[:, None] - extra[None, :]) ** 2
-            near = np.argmin(gap, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(np.sqrt(gap[np.arange(len(near)), near]))], ["id", "v", "n2", "route", "gap"])
+            v = matrix(batch.column(1).to_pylist(), width).astype(np.float64)
+            n2 = batch.column(2).to_numpy()
+            further = np.sqrt((top - n2).astype(np.float64))
+            near = np.argmin(norm[None, :] - 2 * v @ center.T + (further[:, None] - extra[None, :]) ** 2, axis=1)
+            gap = np.sqrt(((v - center[near]) ** 2).sum(axis=1) + (further - extra[near]) ** 2)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32)), pa.array(gap)], ["id", "v", "n2", "route", "gap"])
 
     routed = written(vecs.mapInArrow(route, "id long, v array<long>, n2 long, route int, gap double"), "routed")
-    sizes = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).orderBy("route").collect()
-    parts, begin, radius = {}, {}, {}
+    sizes = routed.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.max("gap").alias("radius")).orderBy("route").collect()  # a row for each route
+    begin, parts, radius = (np.full(len(center), x) for x in (0, 0, -1.0))
     for r in sizes:  # a route with too many rows is parted by id
-        begin[r.route], parts[r.route], radius[r.route] = sum(parts.values()), ceil(r.n / shard_rows), r.radius
-    first = F.element_at(F.array(*[F.lit(begin.get(i, 0)) for i in range(n_routes)]), F.col("route") + 1)
-    count = F.element_at(F.array(*[F.lit(parts.get(i, 1)) for i in range(n_routes)]), F.col("route") + 1)
-    dealt = routed.withColumn("shard", (first + F.pmod(F.xxhash64("id"), count)).cast("int"))
+        parts[r.route], radius[r.route] = ceil(r.n / shard_rows), r.radius
+    begin[1:] = np.cumsum(parts)[:-1]
+    of_route = F.broadcast(spark.createDataFrame([(i, int(begin[i]), int(parts[i])) for i in range(len(parts))], "route int, first long, parts long"))
+    dealt = routed.join(of_route, "route").withColumn("shard", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int"))
     trees = written(dealt.groupBy("shard").applyInPandas(_build(top), "shard int, tree binary"), "trees")
 
-    asked = routed.withColumnRenamed("id", "query_id").filter(is_query(F.col("query_id"))).groupBy("query_id").agg(F.min(F.struct("v", "n2", "route")).alias("q"))
-    asked = asked.select(F.col("query_id").alias("id"), "q.v", "q.n2", "q.route")
+    held = np.zeros(len(center), np.int64)
+    for r in sizes:
+        held[r.route] = r.n
+    open_to = spark.sparkContext.broadcast(np.flatnonzero(held > k) if (held > k).any() else np.flatnonzero(held))
+
+    def first_route(batches):
+        # the route of the nearest center that can give k rows: its k-th best is a bound for all others
+        own = open_to.value
+        center = centers.value[0][own]
+        for batch in batches:
+            v = matrix(batch.column(1).to_pylist(), width).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own[np.argmax(v @ center.T, axis=1)].astype(np.int32))], ["id", "v", "n2", "route"])
+
+    asked = vecs.filter(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct("v", "n2")).alias("q")).select("id", "q.v", "q.n2")
+    asked = written(asked.mapInArrow(first_route, "id long, v array<long>, n2 long, route int"), "asked")
     n_blocks = max(1, ceil(asked.count() / QUERY_ROWS))
-    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")), "queries")
-    blocks = trees.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
 
     def search(queries: DataFrame) -> DataFrame:
-        # shard trees meet one block of queries at a time: neither side of a group grows with the data
-        pair = blocks.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
-        return written(pair.applyInPandas(_search(top, k), "query_id long, vec_id long, score long"), "found")
-
-    # the nearest shards first: a route's parts share the k best of its rows
-    near = asked.withColumn("least", F.lit(None).cast("double")).withColumn("shard", F.explode(F.sequence(first, first + count - 1)))
+        # a tree meets one block of queries at a time: neither side of a group grows with the data
+        queries = written(queries.select("id", "v", "n2", "block", "least", "shard"), "queries")
+        pairs = trees.join(queries.select("shard", "block").distinct(), "shard").select("shard", "block", "tree").toDF("shard", "block", "tree")
+        met = pairs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block"))
+        return written(met.applyInPandas(_search(top, k), "query_id long, vec_id long, score long"), "found")
+
+    # a first route for each query: its parts share the k best of its rows
+    near = asked.join(of_route, "route").withColumn("least", F.lit(NONE)).withColumn("shard", F.explode(F.sequence(F.col("first").cast("int"), (F.col("first") + F.col("parts") - 1).cast("int"))))
     found = search(near)
-    kth = _best(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("least"))
     if len(sizes) == 1:
         return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    spread = np.array([radius.get(i, -1.0) for i in range(n_routes)])
+    kth = _best(found, k).filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
+    spread = spark.sparkContext.broadcast((begin, parts, radius))
 
     def others(batches):
+        center = centers.value[0]
+        begin, parts, radius = spread.value
         for batch in batches:
-            v = matrix(batch.column(1).to_pylist(), center.shape[1])
-            c = _widen(center, v.shape[1])
-            gap = np.sqrt(np.maximum(batch.column(2).to_numpy()[:, None] + top - 2 * v @ c.T, 0))
-            least = np.array([-np.inf if x is None else x for x in batch.column(5).to_pylist()])
-            limit = np.sqrt(np.maximum(batch.column(2).to_numpy() + top - 2 * least, 0))
-            open_ = (gap - spread[None, :] <= limit[:, None] * (1 + SLACK) + SLACK) & (spread >= 0)[None, :]
+            v = matrix(batch.column(1).to_pylist(), width).astype(np.float64)
+            base = batch.column(2).to_numpy() + float(top)
+            least = batch.column(5).to_numpy()
+            gap = np.sqrt(np.maximum(base[:, None] - 2 * v @ center.T, 0))
+            limit = np.where(least > NONE, np.sqrt(np.maximum(base - 2.0 * least, 0)), np.inf)
+            open_ = (gap - radius[None, :] <= limit[:, None] * (1 + SLACK) + 2 * loose) & (parts > 0)[None, :]
             open_[np.arange(len(v)), batch.column(3).to_numpy()] = False
             row, r = np.nonzero(open_)
-            n = np.array([parts.get(int(x), 0) for x in r], np.int64)
-            shard = np.repeat(np.array([begin.get(int(x), 0) for x in r], np.int64), n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            at = pa.array(np.repeat(row, n))
+            shard = ragged(begin[r], parts[r])
+            at = pa.array(np.repeat(row, parts[r]))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (0, 1, 2, 4, 5)), pa.array(shard.astype(np.int32))], ["id", "v", "n2", "block", "least", "shard"])
 
-    waiting = asked.join(kth, "id", "left").select("id", "v", "n2", "route", "block", "least")
-    more = search(waiting.mapInArrow(others, "id long, v array<long>, n2 long, block int, least double, shard int"))
+    waiting = asked.join(kth, "id", "left").select("id", "v", "n2", "route", "block", F.coalesce("least", F.lit(NONE)).alias("least"))
+    more = search(waiting.mapInArrow(others, "id long, v array<long>, n2 long, block int, least long, shard int"))
     return _best(found.unionByName(more), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

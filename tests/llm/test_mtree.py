@@ -8,12 +8,12 @@ from attesta.llm import mtree
 
 
 def brute(rows, k=5):
-    v = {i: np.floor(256 * np.array(x, float)) for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)}
+    v = {i: [math.floor(256 * c) for c in x] for i, x in rows if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x)}
     out = []
     for q in sorted(v):
         if q % 50:
             continue
-        scores = sorted((-int(sum(a * b for a, b in zip(v[q], v[c], strict=False))), c) for c in v if c != q)
+        scores = sorted((-(sum(a * b for a, b in zip(v[q], v[c], strict=False))), c) for c in v if c != q)
         out += [(q, n + 1, c, -s) for n, (s, c) in enumerate(scores[:k])]
     return out
 
@@ -53,12 +53,46 @@ def test_bounds_save_work():
     rng = np.random.default_rng(1)
     points = np.concatenate([rng.normal(c, 1.0, (200, 16)) for c in rng.normal(0, 60, (20, 16))]).round()
     n2 = (points**2).sum(axis=1)
-    tree = mtree.Tree.load(mtree.Tree(np.arange(len(points)), points, np.sqrt(n2.max() - n2)).dump())
+    tree = mtree.Tree.load(mtree.Tree(np.arange(len(points)), points.astype(np.int64), np.sqrt(n2.max() - n2)).dump())
     total = 0
     for q in points[::400]:
-        found, work = tree.search(q, -1, float((q**2).sum() + n2.max()), 5)
+        found, work = tree.search(q.astype(np.int64), -1, int((q**2).sum() + n2.max()), 5)
         scores = points @ q
         want = sorted(((int(s), i) for i, s in enumerate(scores)), key=lambda x: (-x[0], x[1]))[:5]
         assert found == want
         total += work
     assert total < 0.5 * len(points) * len(points[::400])
+
+
+def test_products_past_the_floats(spark):
+    rng = np.random.default_rng(9)
+    for size in (2.0**18, 2.0**21):  # squared norms of about 2^53 and 2^59
+        data = [(i, (rng.normal(0, 1, 6) * size / 6**0.5).tolist()) for i in range(200)]
+        data += [(200 + i, [x + 1 / 256 for x in data[0][1]]) for i in range(60)]
+        frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+        exact = [(r.vec_id, r.embedding) for r in frame.collect()]
+        assert rows(mtree.top_inner_products(frame, lambda i: i % 50 == 0, shard_rows=60)) == brute(exact)
+    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [2.0**40, 0.0]), (2, [1.0, 2.0]), (50, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert rows(mtree.top_inner_products(huge, lambda i: i % 50 == 0)) == [(50, 1, 2, 65536)]
+
+
+def test_clusters_prune_shards(spark):
+    """Vectors of one length in clusters meet few shards: the query rows that are searched grow as the vectors do."""
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in (30, 120):
+        centers = rng.normal(0, 1, (n, 16))
+        points = centers[rng.integers(0, n, 50 * n)] + rng.normal(0, 0.01, (50 * n, 16))
+        points *= 40 / np.linalg.norm(points, axis=1, keepdims=True)
+        frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id long, embedding array<double>")
+        seen, real = [], mtree.written
+        mtree.written = lambda df, label, *a: seen.append((label, real(df, label, *a))) or seen[-1][1]
+        try:
+            got = rows(mtree.top_inner_products(frame, lambda i: i % 50 == 0, shard_rows=25))
+        finally:
+            mtree.written = real
+        assert got == brute([(r.vec_id, r.embedding) for r in frame.collect()])
+        pairs.append(sum(d.count() for label, d in seen if label == "queries"))
+    power = np.log(pairs[1] / pairs[0]) / np.log(4)
+    print(f"query rows searched over 1,500 and 6,000 vectors: {pairs}, power {power:.2f}")
+    assert power < 1.1
