@@ -1,9 +1,10 @@
-"""p-values of summary rows. Each call is on one row of a small table, so a scalar function is enough."""
+"""p-values, batch by batch."""
 
 from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -17,6 +18,7 @@ def fisher_two_sided(a, b, c, d):
     """Sum of the probabilities of all tables, margins fixed, that are no likelier than this one."""
     if None in (a, b, c, d):
         return None
+    a, b, c, d = int(a), int(b), int(c), int(d)
     rows, cols, n = a + b, a + c, a + b + c + d
     log_choose = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
     chance = lambda x: math.exp(log_choose(rows, x) + log_choose(n - rows, cols - x) - log_choose(n, cols))
@@ -58,6 +60,28 @@ def correlation_tail(r, n):
     return incomplete_beta(df / 2, 0.5, df / (df + t2))
 
 
-chi_square_p = F.udf(chi_square_tail, DoubleType())
-fisher_p = F.udf(fisher_two_sided, DoubleType())
-correlation_p = F.udf(correlation_tail, DoubleType())
+def _batched(scalar):
+    """A vectorised function of columns from one of numbers; a missing number gives none."""
+
+    def each(*columns: pd.Series) -> pd.Series:
+        rows = zip(*(c.astype(object).where(c.notna(), None) for c in columns), strict=True)
+        return pd.Series([scalar(*row) for row in rows], dtype="float64")
+
+    return each
+
+
+def _one(x: pd.Series) -> pd.Series:
+    return _batched(chi_square_tail)(x)
+
+
+def _two(r: pd.Series, n: pd.Series) -> pd.Series:
+    return _batched(correlation_tail)(r, n)
+
+
+def _four(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+    return _batched(fisher_two_sided)(a, b, c, d)
+
+
+chi_square_p = F.pandas_udf(_one, DoubleType())
+fisher_p = F.pandas_udf(_four, DoubleType())
+correlation_p = F.pandas_udf(_two, DoubleType())

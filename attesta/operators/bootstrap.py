@@ -1,56 +1,108 @@
 """Cluster bootstrap by integer weights, and multiple testing.
 
-A resample is a weight for each cluster, drawn from md5, so any engine gives the same ones. Rows are never repeated:
-counts for each cluster are multiplied by its weights.
+A resample is a weight for each cluster, drawn by arithmetic that any engine can repeat (:mod:`attesta.functions.draws`).
+Neither rows nor weights are joined or repeated for each draw: a task has the compact counts of a range of scores and
+makes the weights of its resamples itself, one resample at a time.
 """
 
 from __future__ import annotations
 
-from math import ceil, exp, factorial
+from math import ceil
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attesta.functions import draws
 from attesta.functions.columns import ratio
-from attesta.functions.hashing import draw, uniform
-from attesta.operators.ranking import auroc_of_counts, score_counts
-
-def dense_index(df: DataFrame, key: str, into: str = "idx") -> DataFrame:
-    """Distinct keys numbered from 0 in ascending order; ranges of keys are numbered apart and then shifted."""
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a fixed number, which no later plan changes
-    parted = keys.repartitionByRange(n, key).withColumn("_p", F.spark_partition_id())
-    inner = parted.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    sizes = inner.groupBy("_p").agg(F.max("_n").alias("_c"))
-    shift = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_s"))
+from attesta.operators.ranking import auroc, auroc_of_counts, bucket, score_counts, score_cuts
+
+#: Clusters of a multinomial resample at most: a task holds a count for each. Beyond, weights are drawn by themselves.
+MOST_CLUSTERS = 1 << 24
+#: Rows of a task: several times the clusters, whose weights each task draws anew, within these bounds.
+TASK_ROWS = (1 << 16, 1 << 22)
+
+
+def dense_index(df: DataFrame, key: str, into: str = "idx", order=None) -> DataFrame:
+    """Distinct keys numbered from 0 in the order of their md5, or of the column ``order``, which begins with hex digits.
+
+    Ranges of the first three digits are numbered apart and then shifted. They depend on the keys alone, so a retry or
+    another plan numbers the same.
+    """
+    keys = df.select(key, *([] if order is None else [order.alias("_h")])).filter(F.col(key).isNotNull()).distinct()
+    if order is None:
+        keys = keys.withColumn("_h", F.md5(F.col(key).cast("string")))
+    keys = keys.withColumn("_p", F.substring("_h", 1, 3))
+    sizes = keys.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    shift = sizes.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_s"))  # 4096 rows at most
+    inner = keys.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("_h", key)))
     return inner.join(shift, "_p").select(key, (F.col("_n") + F.col("_s") - 1).alias(into))
 
 
-def cluster_weights(df: DataFrame, cluster: str, reps: int, seed, method: str = "multinomial") -> DataFrame:
-    """(rep, cluster, w): ``reps`` resamples of all clusters with replacement, clusters of weight 0 left out.
+class Resamples:
+    """``reps`` resamples of the clusters of a frame, with replacement; null clusters are left out.
 
-    multinomial draws as many clusters as there are; poisson draws each weight by itself, without a shuffle, for
-    many clusters. Null clusters are left out.
+    multinomial draws as many clusters as there are, up to ``MOST_CLUSTERS``. poisson draws each cluster's weight by
+    itself from a hash of the cluster, for any number of them. Tables over the same clusters can share one.
     """
-    spark = df.sparkSession
-    if method == "poisson":
-        keys = df.select(cluster).filter(F.col(cluster).isNotNull()).distinct()
-        each = keys.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        steps, total = [], 0.0
-        for k in range(12):
-            total += exp(-1) / factorial(k)
-            steps.append(total)
-        u = uniform(seed, F.col("rep"), F.col(cluster))
-        w = F.size(F.filter(F.array(*[F.lit(s) for s in steps]), lambda s: s <= u))
-        return each.select("rep", cluster, w.cast("long").alias("w")).filter("w > 0")
-    index = dense_index(df, cluster)
-    n = index.count()
-    if not n:
-        return index.select(F.lit(0).alias("rep"), cluster, F.lit(0).cast("long").alias("w")).limit(0)
-    slots = spark.range(0, reps * n, 1, max(1, min(2000, ceil(reps * n / 500_000))))
-    slots = slots.select((F.col("id") / n).cast("long").cast("int").alias("rep"), (F.col("id") % n).alias("slot"))
-    drawn = slots.select("rep", draw(n, seed, F.col("rep"), F.col("slot")).alias("idx")).groupBy("rep", "idx").agg(F.count(F.lit(1)).alias("w"))
-    return drawn.join(index, "idx").select("rep", cluster, "w")
+
+    def __init__(self, df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial"):
+        self.cluster, self.reps, self.seed, self.method = cluster, reps, seed, method
+        if method == "poisson":
+            self.index, self.n = None, None
+        else:
+            self.index = dense_index(df, cluster, "_k")
+            self.n = self.index.count()
+            if self.n > MOST_CLUSTERS:
+                raise ValueError(f"{self.n} clusters: method='poisson' is for more than {MOST_CLUSTERS}")
+
+    def placed(self, df: DataFrame) -> DataFrame:
+        """``df`` with _k and _l, which name its cluster."""
+        known = df.filter(F.col(self.cluster).isNotNull())
+        if self.index is not None:
+            return known.join(self.index, self.cluster).withColumn("_l", F.lit(0).cast("long"))
+        part = lambda at: F.conv(F.substring(F.md5(F.col(self.cluster).cast("string")), at, 7), 16, 10).cast("long")
+        return known.withColumns({"_k": part(1), "_l": part(8)})
+
+    def weights(self):
+        """A function, for use in tasks: of a resample, the function of (_k, _l) that gives weights."""
+        seed, n = self.seed, self.n
+
+        def of(rep):
+            if n is None:
+                return lambda k, l: draws.poisson(rep, seed, k, l)  # noqa: E741
+            counts = draws.multinomial(rep, seed, n)
+            return lambda k, _: counts[k]
+
+        return of
+
+    def dealt(self, df: DataFrame, groups: int) -> tuple[DataFrame, int]:
+        """``df`` once for each part of the resamples, with its number _part; and the resamples of a part."""
+        slots = 2 * df.sparkSession.sparkContext.defaultParallelism
+        size = ceil(self.reps / min(self.reps, max(1, ceil(slots / max(groups, 1)))))
+        parts = F.sequence(F.lit(0), F.lit(ceil(self.reps / size) - 1))
+        return df.withColumn("_part", F.explode(parts)), size
+
+    def task_rows(self) -> int:
+        return TASK_ROWS[0] if self.n is None else min(max(TASK_ROWS[0], 5 * self.n), TASK_ROWS[1])
+
+
+def cluster_weights(df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial") -> DataFrame:
+    """(rep, cluster, w) of the :class:`Resamples`, clusters of weight 0 left out: a table, for those who want one."""
+    r = Resamples(df, cluster, reps, seed, method)
+    weigh = r.weights()
+
+    def run(batches):
+        for batch in batches:
+            k, l = (batch.column(i).to_numpy() for i in (1, 2))  # noqa: E741
+            for rep in range(reps):
+                w = weigh(rep)(k, l)
+                kept = np.flatnonzero(w)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), rep, np.int32)), batch.column(0).take(pa.array(kept)), pa.array(w[kept].astype(np.int64))], ["rep", cluster, "w"])
+
+    kind = df.schema[cluster].dataType.simpleString()
+    return r.placed(df.select(cluster).distinct()).select(cluster, "_k", "_l").mapInArrow(run, f"rep int, `{cluster}` {kind}, w long")
 
 
 def percentile_ci(df: DataFrame, group: list[str], value: str, ci: float = 0.95, **more) -> DataFrame:
@@ -84,23 +136,103 @@ def holm(df: DataFrame, family: list[str], p: str, into: str = "p_holm") -> Data
     return out.select(*df.columns, into).unionByName(unknown.withColumn(into, F.lit(None).cast("double")))
 
 
-def _replicates(counts: DataFrame, group: list[str], cluster: str, weights: DataFrame, score: str) -> DataFrame:
-    """(group, rep, auroc) of (group, cluster, score, pos, neg)."""
-    w = counts.join(weights, cluster)
-    summed = w.groupBy(*group, "rep", score).agg(F.sum(F.col("w") * F.col("pos")).alias("pos"), F.sum(F.col("w") * F.col("neg")).alias("neg"))
-    return auroc_of_counts(summed, [*group, "rep"], score).select(*group, "rep", "auroc")
+def _schema(df: DataFrame, columns: list[str]) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
-def cluster_auroc_ci(df: DataFrame, group: list[str], cluster: str, label: str, score: str, reps: int = 10_000, seed=42, ci: float = 0.95, weights: DataFrame | None = None) -> DataFrame:
-    """(group, auroc, ci_lo, ci_hi, n, n_clusters, n_pos, n_neg, n_skipped): resamples without both classes are skipped and counted."""
-    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
-    counts = score_counts(known, [*group, cluster], label, score)
-    weights = cluster_weights(known, cluster, reps, seed) if weights is None else weights
-    point = auroc_of_counts(counts.groupBy(*group, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), group, score)
-    size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("n_clusters"))
-    found = _replicates(counts, group, cluster, weights, score)
-    spread = percentile_ci(found, group, "auroc", ci, n_skipped=F.lit(reps) - F.count("auroc"))
-    return _join(_join(point, size, group), spread, group)
+def _sized(df: DataFrame, group: list[str]) -> tuple[int, int]:
+    """(groups, rows of the largest)."""
+    n, most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+    return n, most or 0
+
+
+def _packed(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, values): the values of the rows of a batch with the same keys as the bytes of an array each, so that rows
+    need no sorting and no copies of their own on their way to a task."""
+
+    def run(batches):
+        for batch in batches:
+            code = np.zeros(batch.num_rows, np.int64)
+            for i in range(len(keys)):
+                d = batch.column(i).dictionary_encode()
+                code = code * (len(d.dictionary) + 1) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            begin = np.flatnonzero(np.diff(code[order], prepend=-1))
+            end = [*begin[1:], len(order)]
+            arrays = [batch.column(len(keys) + i).to_numpy(zero_copy_only=False)[order] for i in range(len(values))]
+            first = pa.array(order[begin])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(first) for i in range(len(keys))), *(pa.array([x[s:e].tobytes() for s, e in zip(begin, end, strict=True)], pa.binary()) for x in arrays)], [*keys, *values])
+
+    return df.select(*keys, *values).mapInArrow(run, _schema(df, keys) + ", ".join(f"`{v}` binary" for v in values))
+
+
+def _unpacked(t: pa.Table, name: str, kind) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()])
+
+
+def _replicates(known: DataFrame, group: list[str], r: Resamples, label: str, score: str, size: tuple[int, int]) -> DataFrame:
+    """(group, rep, auroc) of rows with a known label and score.
+
+    Scores are cut into ranges by quantiles; a score that many rows share is a range of its own, whose rows can be
+    parted at will. A task gives each of its resamples' wins inside its range and its sums of both classes, and the
+    few ranges are put together at the end.
+    """
+    groups, most = size
+    ranges = ceil(most / r.task_rows())
+    cols = [F.col(score).cast("double").alias("_score"), F.col(label).cast("boolean").cast("double").alias("_yes")]
+    placed = r.placed(known).select(*group, "_k", "_l", *cols)
+    if ranges > 1:
+        cuts = score_cuts(placed, group, "_score", ranges)
+        placed = placed.join(cuts, group) if group else placed.withColumn("_cuts", cuts.scalar())
+        same = F.size(F.filter("_cuts", lambda c: c == F.col("_score")))
+        placed = placed.withColumn("_r", 2 * bucket("_cuts", F.col("_score")) + F.when(same > 1, 1).otherwise(0))
+        placed = placed.withColumn("_salt", F.when(same > 1, F.pmod(F.xxhash64("_k", "_l"), same)).otherwise(0).cast("int"))
+    else:
+        placed = placed.withColumns({"_r": F.lit(0), "_salt": F.lit(0)})
+    packed = _packed(placed, [*group, "_r", "_salt"], ["_k", "_l", "_score", "_yes"])
+    dealt, per = r.dealt(packed, groups * ranges)
+    weigh, reps, wide = r.weights(), r.reps, len(group)
+
+    def run(key, t):
+        k, l, score, yes = (_unpacked(t, c, kind) for c, kind in (("_k", np.int64), ("_l", np.int64), ("_score", np.float64), ("_yes", np.float64)))  # noqa: E741
+        order = np.lexsort((l, k, yes, score))
+        k, l, score, yes = (x[order] for x in (k, l, score, yes))  # noqa: E741
+        # rows of one cluster, score and class count as one
+        new = np.ones(len(k), bool)
+        new[1:] = (np.diff(k) != 0) | (np.diff(l) != 0) | (np.diff(score) != 0) | (np.diff(yes) != 0)
+        begin = np.flatnonzero(new)
+        count = np.diff(np.append(begin, len(k)))
+        k, l, score, yes = (x[begin] for x in (k, l, score, yes))  # noqa: E741
+        place = np.cumsum(np.diff(score, prepend=score[:1]) != 0)  # the number of each row's score
+        sides = []
+        for side in (1, 0):
+            rows = np.flatnonzero(yes == side)
+            first = np.flatnonzero(np.diff(place[rows], prepend=-1))
+            sides.append((k[rows], l[rows], None if (count[rows] == 1).all() else count[rows], first, place[rows][first]))
+        own = range(key[-1].as_py() * per, min(reps, (key[-1].as_py() + 1) * per))
+        out = np.zeros((3, len(own)))
+        for i, rep in enumerate(own):
+            w = weigh(rep)
+            sums = np.zeros((2, place[-1] + 1))
+            for to, (ks, ls, times, first, at) in zip(sums, sides, strict=True):
+                if len(ks):
+                    drawn = w(ks, ls)
+                    to[at] = np.add.reduceat(drawn if times is None else drawn * times, first)
+            p, n = sums
+            below = np.cumsum(n) - n
+            out[:, i] = (p * (below + n / 2)).sum(), p.sum(), n.sum()
+        same = [pa.array([x.as_py()] * len(own), x.type) for x in key[: wide + 1]]
+        return pa.table([*same, pa.array(own, pa.int32()), *map(pa.array, out)], [*group, "_r", "rep", "_w", "_p", "_n"])
+
+    schema = _schema(dealt, group) + "_r int, rep int, _w double, _p double, _n double"
+    found = dealt.groupBy(*group, "_r", "_salt", "_part").applyInArrow(run, schema)
+    # the parts of a range of one score have no wins over one another but ties
+    found = found.groupBy(*group, "rep", "_r").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    found = found.withColumn("_w", F.when(F.col("_r") % 2 == 1, F.col("_p") * F.col("_n") / 2).otherwise(F.col("_w")))
+    lower = Window.partitionBy(*group, "rep").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("_c", F.coalesce(F.sum("_n").over(lower), F.lit(0.0)))
+    out = found.groupBy(*group, "rep").agg(F.sum(F.col("_w") + F.col("_p") * F.col("_c")).alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    return out.select(*group, "rep", ratio("_w", F.col("_p") * F.col("_n")).alias("auroc"))
 
 
 def _join(a: DataFrame, b: DataFrame, group: list[str], how: str = "left") -> DataFrame:
@@ -109,26 +241,59 @@ def _join(a: DataFrame, b: DataFrame, group: list[str], how: str = "left") -> Da
     return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one", how).drop("_one")
 
 
-def cluster_paired_diff(df: DataFrame, group: list[str], cluster: str, label: str, a: str, b: str, reps: int = 10_000, seed=42, ci: float = 0.95, weights: DataFrame | None = None) -> DataFrame:
+def cluster_auroc_ci(df: DataFrame, group: list[str], cluster: str, label: str, score: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
+    """(group, auroc, ci_lo, ci_hi, n, n_clusters, n_pos, n_neg, n_skipped): resamples without both classes are skipped and counted."""
+    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    r = resamples or Resamples(known, cluster, reps, seed)
+    point = auroc_of_counts(score_counts(known, group, label, score), group, score)
+    size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("n_clusters"))
+    found = _replicates(known, group, r, label, score, _sized(known, group))
+    spread = percentile_ci(found, group, "auroc", ci, n_skipped=F.lit(r.reps) - F.count("auroc"))
+    return _join(_join(point, size, group), spread, group)
+
+
+def cluster_paired_diff(df: DataFrame, group: list[str], cluster: str, label: str, a: str, b: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
     """(group, n, auroc_a, auroc_b, delta, ci_lo, ci_hi, p_value) of two scores on the same rows and resamples."""
     known = df.filter(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
     long = known.select(*group, cluster, label, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("score")), F.struct(F.lit("b").alias("side"), F.col(b).alias("score")))).alias("s"))
     long = long.select(*group, cluster, label, "s.side", "s.score")
-    counts = score_counts(long, [*group, "side", cluster], label, "score")
-    weights = cluster_weights(known, cluster, reps, seed) if weights is None else weights
+    r = resamples or Resamples(known, cluster, reps, seed)
     sides = lambda d: d.groupBy(*[c for c in d.columns if c not in ("side", "auroc", "n_pos", "n_neg")]).pivot("side", ["a", "b"]).agg(F.first("auroc"))
-    point = sides(auroc_of_counts(counts.groupBy(*group, "side", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), [*group, "side"], "score"))
-    found = sides(_replicates(counts, [*group, "side"], cluster, weights, "score")).withColumn("delta", F.col("a") - F.col("b"))
+    point = sides(auroc(long, [*group, "side"], label, "score").drop("n_pos", "n_neg"))
+    groups, most = _sized(known, group)
+    found = sides(_replicates(long, [*group, "side"], r, label, "score", (2 * groups, most))).withColumn("delta", F.col("a") - F.col("b"))
     size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     point = point.select(*group, F.col("a").alias("auroc_a"), F.col("b").alias("auroc_b"), (F.col("a") - F.col("b")).alias("delta"))
     return _join(_join(point, size, group), percentile_ci(found, group, "delta", ci, p_value=_two_sided("delta")), group)
 
 
-def cluster_mean_ci(df: DataFrame, group: list[str], cluster: str, value: str, reps: int = 10_000, seed=42, ci: float = 0.95, weights: DataFrame | None = None) -> DataFrame:
+def resampled_sums(parts: DataFrame, group: list[str], r: Resamples, values: list[str]) -> DataFrame:
+    """(group, rep, values): weighted sums of the values over each resample. Groups of many clusters are parted."""
+    groups, most = _sized(parts, group)
+    salts = ceil(most / r.task_rows())
+    placed = r.placed(parts).withColumn("_salt", F.pmod(F.xxhash64("_k", "_l"), F.lit(max(salts, 1))).cast("int"))
+    packed = _packed(placed.withColumns({v: F.col(v).cast("double") for v in values}), [*group, "_salt"], ["_k", "_l", *values])
+    dealt, per = r.dealt(packed, groups * salts)
+    weigh, reps, wide = r.weights(), r.reps, len(group)
+
+    def run(key, t):
+        k, l = (_unpacked(t, c, np.int64) for c in ("_k", "_l"))  # noqa: E741
+        sides = np.stack([_unpacked(t, v, np.float64) for v in values], 1)
+        own = range(key[-1].as_py() * per, min(reps, (key[-1].as_py() + 1) * per))
+        out = np.stack([weigh(rep)(k, l).astype(np.float64) @ sides for rep in own], 1)
+        same = [pa.array([x.as_py()] * len(own), x.type) for x in key[:wide]]
+        return pa.table([*same, pa.array(own, pa.int32()), *map(pa.array, out)], [*group, "rep", *values])
+
+    schema = _schema(dealt, group) + "rep int, " + ", ".join(f"`{v}` double" for v in values)
+    found = dealt.groupBy(*group, "_salt", "_part").applyInArrow(run, schema)
+    return found.groupBy(*group, "rep").agg(*[F.sum(v).alias(v) for v in values])
+
+
+def cluster_mean_ci(df: DataFrame, group: list[str], cluster: str, value: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
     """(group, mean, ci_lo, ci_hi, n, n_clusters) of a value for each row."""
     known = df.filter(F.col(value).isNotNull())
     parts = known.groupBy(*group, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("c"))
-    weights = cluster_weights(known, cluster, reps, seed) if weights is None else weights
-    found = parts.join(weights, cluster).groupBy(*group, "rep").agg(ratio(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("c"))).alias("v"))
+    r = resamples or Resamples(known, cluster, reps, seed)
+    found = resampled_sums(parts, group, r, ["s", "c"]).withColumn("v", ratio("s", "c"))
     point = parts.groupBy(*group).agg(ratio(F.sum("s"), F.sum("c")).alias("mean"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
     return _join(point, percentile_ci(found, group, "v", ci), group)

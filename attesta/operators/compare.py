@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.columns import each_of
-from attesta.operators.bootstrap import cluster_auroc_ci, cluster_paired_diff, cluster_weights, holm
+from attesta.operators.bootstrap import Resamples, cluster_auroc_ci, cluster_paired_diff, holm
 from attesta.operators.ranking import auroc, binary_coding
 from attesta.operators.ratings import is_tied
 from attesta.sources.io import fix_tag_typos
@@ -136,6 +136,6 @@ def replace_verifier(base: DataFrame, new: DataFrame) -> DataFrame:
     return base.join(new.select("verifier").distinct(), "verifier", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def shared_weights(df: DataFrame, reps: int, seed=42, cluster: str = "item_id") -> DataFrame:
+def shared_resamples(df: DataFrame, reps: int, seed=42, cluster: str = "item_id") -> Resamples:
     """Resamples for several tables over the same items."""
-    return cluster_weights(df, cluster, reps, seed)
+    return Resamples(df, cluster, reps, seed)

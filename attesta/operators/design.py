@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import stable_key
-from attesta.operators.bootstrap import dense_index
 
 
-def ranked(df: DataFrame, by: list[str], seed, key: str, into: str = "n") -> DataFrame:
-    """Rows numbered from 1 inside ``by`` in the order of a hash."""
-    over = Window.partitionBy(*by).orderBy(stable_key(seed, F.col(key)), key)
-    return df.withColumn(into, F.row_number().over(over))
+def _with(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` joined with ``small`` on keys that may be null, which a plain join would drop."""
+    if not keys:
+        return df.withColumn("_one", F.lit(1)).join(small.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    other = small.select(*[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], *[c for c in small.columns if c not in keys])
+    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(other[f"_k_{i}"]) for i, k in enumerate(keys)])
+    return df.join(other, on).drop(*[f"_k_{i}" for i in range(len(keys))])
 
 
-def numbered(df: DataFrame, seed, key: str, into: str = "n") -> DataFrame:
-    """Rows numbered from 0 in the order of a hash, without one task for all: ranges of hashes are numbered apart.
+def ranked(df: DataFrame, by: list[str], seed, key: str, into: str = "n", parts: tuple = ()) -> DataFrame:
+    """Rows numbered from 1 inside ``by`` in the order of a hash of seed, ``parts`` and ``key``.
 
-    ``key`` names a row.
+    Ranges of the hash's first three digits are numbered apart and then shifted, so no group, however large, is in one
+    task.
     """
-    hashed = df.withColumn("_h", F.concat(stable_key(seed, F.col(key)), F.lit("|"), F.col(key).cast("string")))
-    return hashed.join(dense_index(hashed, "_h", into), "_h").drop("_h")
+    hashed = df.withColumn("_hash", stable_key(seed, *[F.col(c) for c in parts], F.col(key)))
+    hashed = hashed.withColumn("_range", F.substring("_hash", 1, 3))
+    sizes = hashed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_size"))
+    shift = sizes.withColumn("_shift", F.sum("_size").over(Window.partitionBy(*by).orderBy("_range")) - F.col("_size")).drop("_size")  # 4096 rows a group
+    inner = Window.partitionBy(*by, "_range").orderBy("_hash", key)
+    out = _with(hashed.withColumn("_inside", F.row_number().over(inner)), shift, [*by, "_range"])
+    return out.select(*df.columns, (F.col("_inside") + F.col("_shift")).alias(into))
+
+
+def numbered(df: DataFrame, seed, key: str, into: str = "n") -> DataFrame:
+    """Rows numbered from 0 in the order of a hash, without one task for all. ``key`` names a row."""
+    return ranked(df, [], seed, key, "_1").withColumn(into, F.col("_1") - 1).drop("_1")
 
 
 def candidate_pool(df: DataFrame, pool_size: int, seed, category: str = "category", key: str = "row_id", whole: int = 2000) -> DataFrame:
@@ -74,7 +89,7 @@ def negative_controls(items: DataFrame, n: int, seed, category: str = "category"
     placed = items.select(F.col(key).alias("k"), F.col(category).alias("c"), stable_key(seed, F.col(key)).alias("_h")).withColumnRenamed("c", category)
     sized = placed.groupBy(category).agg(F.count(F.lit(1)).alias("m"))
     start = sized.withColumn("s", F.sum("m").over(Window.orderBy(category)) - F.col("m"))  # as many rows as categories
-    within = placed.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy("_h", "k"))).join(start, category)
+    within = ranked(placed, [category], seed, "k", "_n").join(start, category)
     order = within.withColumn("p", F.col("s") + F.col("_n") - 1)
     shape = sized.agg(F.struct(F.sum("m").alias("t"), F.max("m").alias("x"))).scalar()
     turned = order.withColumn("_s", shape).withColumn("d", F.pmod(F.col("p") + F.col("_s.x"), F.col("_s.t")))
@@ -85,9 +100,13 @@ def negative_controls(items: DataFrame, n: int, seed, category: str = "category"
 def assign_raters(items: DataFrame, raters: list[str], core_n: int, seed, category: str = "category", key: str = "item_id") -> DataFrame:
     """(item, rater, in_core): ``core_n`` items, taken from the categories in turn, go to every rater; the others are dealt."""
     inside = ranked(items, [category], seed, key, "_n")
-    turn = F.concat_ws("|", F.format_string("%012d", "_n"), F.col(category), F.col(key).cast("string"))
-    order = inside.withColumn("_t", turn)
-    place = order.join(dense_index(order, "_t", "_p"), "_t")
+    # one row a category: how many items stand before the n-th of a category follows from the sizes alone
+    sizes = items.groupBy(category).agg(F.count(F.lit(1)).alias("m")).agg(F.collect_list(F.struct(F.coalesce(F.col(category).cast("string"), F.lit("")).alias("c"), "m")).alias("_all"))
+    place = _with(inside, sizes, [])
+    own = F.coalesce(F.col(category).cast("string"), F.lit(""))
+    rounds = F.aggregate("_all", F.lit(0).cast("long"), lambda a, x: a + F.least(x["m"], F.col("_n") - 1))
+    ahead = F.size(F.filter("_all", lambda x: (x["c"] < own) & (x["m"] >= F.col("_n"))))
+    place = place.withColumn("_p", rounds + ahead)
     core = place.filter(F.col("_p") < core_n).select(key, F.explode(F.array(*[F.lit(r) for r in raters])).alias("rater"), F.lit(True).alias("in_core"))
     names = F.array(*[F.lit(r) for r in raters])
     rest = place.filter(F.col("_p") >= core_n).select(key, F.element_at(names, F.pmod(F.col("_p") - core_n, F.lit(len(raters))).cast("int") + 1).alias("rater"), F.lit(False).alias("in_core"))
@@ -96,10 +115,10 @@ def assign_raters(items: DataFrame, raters: list[str], core_n: int, seed, catego
 
 def spaced_order(df: DataFrame, seed, rater: str = "rater", control: str = "is_negative_control", key: str = "item_id") -> DataFrame:
     """Adds position from 0 for each rater: the j-th control stands at j * floor(N / k), the others fill the rest."""
-    c = F.coalesce(F.col(control), F.lit(False))
-    ordered = df.withColumn("_c", c).withColumn("_n", F.row_number().over(Window.partitionBy(rater, "_c").orderBy(stable_key(seed, F.col(rater), F.col(key)), key)) - 1)
-    all_ = Window.partitionBy(rater)
-    sized = ordered.withColumn("_k", F.count_if("_c").over(all_)).withColumn("_s", F.floor(F.count(F.lit(1)).over(all_) / F.greatest(F.count_if("_c").over(all_), F.lit(1))))
+    flagged = df.withColumn("_c", F.coalesce(F.col(control), F.lit(False)))
+    ordered = ranked(flagged, [rater, "_c"], seed, key, "_n", (rater,)).withColumn("_n", F.col("_n") - 1)
+    sizes = flagged.groupBy(rater).agg(F.count_if("_c").alias("_k"), F.count(F.lit(1)).alias("_all"))
+    sized = _with(ordered, sizes, [rater]).withColumn("_s", F.floor(F.col("_all") / F.greatest(F.col("_k"), F.lit(1))))
     # a normal row in the m-th place stands after the controls that come before it
     gap = F.greatest(F.col("_s") - 1, F.lit(1))
     before = F.when(F.col("_s") <= 1, F.col("_k")).otherwise(F.least(F.col("_k"), F.floor(F.col("_n") / gap) + 1))
@@ -166,15 +185,15 @@ def shuffled_records(items: DataFrame, variants: int, seed, skill: str = "skill"
     In a variant, the items of a skill form a cycle in the order of a hash; single ones form one over all skills.
     """
     v = items.select(key, skill).withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants))))
-    h = v.withColumn("_h", stable_key(seed, F.col("variant"), F.col(key)))
-    own = Window.partitionBy("variant", skill)
-    ring = own.orderBy("_h", key)
-    all_rows = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    h = h.withColumn("_m", F.count(F.lit(1)).over(own)).withColumn("donor", F.coalesce(F.lead(key).over(ring), F.first(key).over(all_rows)))
-    kept = h.filter("_m > 1").withColumn("same_skill", F.lit(True))
-    alone = h.filter("_m = 1")
-    turn = Window.partitionBy("variant").orderBy("_h", key)
-    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    alone = alone.withColumn("donor", F.coalesce(F.lead(key).over(turn), F.first(key).over(whole))).withColumn("same_skill", F.lit(False))
+    rings = _ring(v, ["variant", skill], seed, key)
+    kept = rings.filter("_m > 1").withColumn("same_skill", F.lit(True))
+    alone = _ring(rings.filter("_m = 1").select(key, skill, "variant"), ["variant"], seed, key).withColumn("same_skill", F.lit(False))
     out = kept.unionByName(alone)
     return out.select("variant", key, F.when(F.col("donor") != F.col(key), F.col("donor")).alias("donor"), "same_skill")
+
+
+def _ring(df: DataFrame, by: list[str], seed, key: str) -> DataFrame:
+    """Rows with _m, the size of their group, and donor, the key of the next in the order of a hash, after the last the first."""
+    placed = _with(ranked(df, by, seed, key, "_n", ("variant",)), df.groupBy(*by).agg(F.count(F.lit(1)).alias("_m")), by)
+    nxt = placed.select(*by, F.col("_n").alias("_x"), F.col(key).alias("donor"))
+    return _with(placed.withColumn("_x", F.pmod(F.col("_n"), F.col("_m")) + 1), nxt, [*by, "_x"]).drop("_n", "_x")

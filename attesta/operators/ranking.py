@@ -18,16 +18,24 @@ THRESHOLDS = sorted({round(0.05 * i, 2) for i in range(1, 20)} | {0.5})
 RANGES = 256
 
 
+def score_cuts(df: DataFrame, group: list[str], score: str, ranges: int) -> DataFrame:
+    """(group, _cuts): ascending quantiles that cut each group's rows into ``ranges`` of about equal size; a score that
+    many rows share is repeated."""
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return df.groupBy(*group).agg(F.percentile_approx(F.col(score).cast("double"), at, F.lit(max(10_000, 4 * ranges))).alias("_cuts"))
+
+
+def bucket(cuts: str, value: Column) -> Column:
+    """How many of the ascending cuts are below the value, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in range(12, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.coalesce(F.get(F.col(cuts), at + s - 1) < value, F.lit(False)), at + s).otherwise(at))
+
+
 def _ranged(df: DataFrame, group: list[str], score: str) -> DataFrame:
-    """``df`` with _r, the range of its group's scores that a score falls into."""
-    span = df.groupBy(*group).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi")) if group else None
-    if span is None:
-        bounds = df.agg(F.struct(F.min(score).alias("lo"), F.max(score).alias("hi"))).scalar()
-        placed = df.withColumns({"_lo": bounds["lo"], "_hi": bounds["hi"]})
-    else:
-        placed = df.join(span, group)
-    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
-    return placed.withColumn("_r", F.coalesce(F.least(F.floor((F.col(score) - F.col("_lo")) / width * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")).drop("_lo", "_hi")
+    """``df``, one row a score in each group, with _r: the range, of ``RANGES`` of about equal size, that a score is in."""
+    cuts = score_cuts(df, group, score, RANGES)
+    placed = df.join(cuts, group) if group else df.withColumn("_cuts", cuts.scalar())
+    return placed.withColumn("_r", bucket("_cuts", F.col(score).cast("double"))).drop("_cuts")
 
 
 def _prefix(df: DataFrame, group: list[str], score: str, values: list[str]) -> DataFrame:

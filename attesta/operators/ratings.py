@@ -123,22 +123,25 @@ def weighted_kappa(resp: DataFrame, unknown: str = "exclude", **names) -> DataFr
 def icc_2_1(resp: DataFrame, dim: str, item="item_id", rater="rater_id", order="row_id") -> DataFrame:
     """One row: icc, msr, msc, mse, n_items, n_raters, n_dropped; two-way random, single rater, items that all rated."""
     one = resp.groupBy(item, rater).agg(first_known(dim, order).cast("double").alias("x")).filter("x is not null")
-    raters = one.agg(F.count_distinct(rater)).scalar()
-    items = one.groupBy(item).agg(F.count(F.lit(1)).alias("c"), F.avg("x").alias("mi")).withColumn("k", raters)
-    full = one.join(items.filter("c = k"), item)
-    by_rater = full.groupBy(rater).agg(F.avg("x").alias("mr"))
-    grand = full.agg(F.avg("x")).scalar()
-    rows = full.join(by_rater, rater).withColumn("g", grand)
-    s = rows.agg(
-        F.count_distinct(item).cast("double").alias("n"), F.max("k").cast("double").alias("k"),
-        F.sum(F.pow(F.col("mi") - F.col("g"), 2)).alias("ssr"), F.sum(F.pow(F.col("mr") - F.col("g"), 2)).alias("ssc"),
-        F.sum(F.pow(F.col("x") - F.col("mi") - F.col("mr") + F.col("g"), 2)).alias("sse"),
-    )
+    # a row for each item with its raters' values; an item has few raters
+    items = one.groupBy(item).agg(F.collect_list(F.struct(F.col(rater).alias("r"), "x")).alias("v"))
+    raters = items.select(F.explode("v.r").alias("r")).agg(F.count_distinct("r")).scalar()
+    sized = items.withColumn("k", raters).withColumn("c", F.size("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda a, b: a + b["x"])
+    square = F.aggregate("v", F.lit(0.0), lambda a, b: a + b["x"] * b["x"])
+    whole = F.col("c") == F.col("k")
+    # sums by rater, and over all in the row without one
+    long = sized.select("k", whole.alias("in"), total.alias("t"), square.alias("q"), F.explode(F.concat(F.col("v"), F.array(F.struct(F.lit(None).alias("r"), F.lit(0.0).alias("x"))))).alias("e"))
+    by = long.groupBy(F.col("e.r").alias("r")).agg(F.max("k").cast("double").alias("k"), F.count_if("in").alias("n"), F.count_if(~F.col("in")).alias("out"), F.sum(F.when(F.col("in"), F.col("e.x"))).alias("x"), F.sum(F.when(F.col("in"), F.col("t"))).alias("t"), F.sum(F.when(F.col("in"), F.col("t") * F.col("t"))).alias("tt"), F.sum(F.when(F.col("in"), F.col("q"))).alias("q"))
+    pick = lambda c: F.max(F.when(F.col("r").isNull(), F.col(c)))
+    s = by.agg(pick("k").alias("k"), pick("n").cast("double").alias("n"), pick("out").alias("n_dropped"), pick("t").alias("t"), pick("tt").alias("tt"), pick("q").alias("q"), F.sum(F.when(F.col("r").isNotNull(), F.col("x") * F.col("x"))).alias("rr"))
+    grand = F.col("t") * F.col("t") / (F.col("n") * F.col("k"))
+    s = s.withColumns({"ssr": F.col("tt") / F.col("k") - grand, "ssc": F.col("rr") / F.col("n") - grand})
+    s = s.withColumn("sse", F.col("q") - grand - F.col("ssr") - F.col("ssc"))
     msr, msc, mse = ratio("ssr", F.col("n") - 1), ratio("ssc", F.col("k") - 1), ratio("sse", (F.col("n") - 1) * (F.col("k") - 1))
     s = s.withColumns({"msr": msr, "msc": msc, "mse": mse})
     icc = ratio(F.col("msr") - F.col("mse"), F.col("msr") + (F.col("k") - 1) * F.col("mse") + F.col("k") * (F.col("msc") - F.col("mse")) / F.col("n"))
-    dropped = items.agg(F.count_if(F.col("c") < F.col("k"))).scalar()
-    return s.select(icc.alias("icc"), "msr", "msc", "mse", F.col("n").cast("long").alias("n_items"), F.col("k").cast("long").alias("n_raters"), dropped.alias("n_dropped"))
+    return s.select(icc.alias("icc"), "msr", "msc", "mse", F.col("n").cast("long").alias("n_items"), F.col("k").cast("long").alias("n_raters"), "n_dropped")
 
 
 def rater_profiles(resp: DataFrame, dims=None, item="item_id", rater="rater_id", tag="tag", order="row_id") -> DataFrame:

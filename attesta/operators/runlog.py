@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.columns import let, ratio
-from attesta.operators.bootstrap import cluster_weights, holm, percentile_ci, two_sided_p
+from attesta.operators.bootstrap import Resamples, holm, percentile_ci, resampled_sums, two_sided_p
 
 PASSES = ("PASS", "PASS_NO_SIGNAL", "PASS_INFERRED")
 KEYS = ["model", "condition", "ITEST_id", "step_idx"]
@@ -137,10 +137,8 @@ def paired_condition_bootstrap(df: DataFrame, reference: str, comps: list[str],
         rows = rows.join(whole.drop("_c"), [*group, *key], "left_semi")
     unit = F.col(cluster).cast("string") if cluster else F.concat_ws("_", *[F.col(k).cast("string") for k in key])
     parts = rows.withColumn("unit", unit).groupBy(*group, "unit", "condition").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
-    weights = cluster_weights(parts, "unit", reps, seed)
-    rate = lambda d, extra: d.groupBy(*group, *extra, "condition")
-    point = rate(parts, []).agg(ratio(F.sum("num"), F.sum("den")).alias("v"))
-    each = rate(parts.join(weights, "unit"), ["rep"]).agg(ratio(F.sum(F.col("w") * F.col("num")), F.sum(F.col("w") * F.col("den"))).alias("v"))
+    point = parts.groupBy(*group, "condition").agg(ratio(F.sum("num"), F.sum("den")).alias("v"))
+    each = resampled_sums(parts, [*group, "condition"], Resamples(parts, "unit", reps, seed), ["num", "den"]).withColumn("v", ratio("num", "den"))
 
     def against(d: DataFrame, extra: list[str]) -> DataFrame:
         ref = d.filter(F.col("condition") == reference).select(*group, *extra, F.col("v").alias("ref"))

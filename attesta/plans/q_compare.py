@@ -6,25 +6,24 @@ from attesta.operators import compare as cp
 from attesta.operators import diagnostics as dg
 from attesta.operators import runlog as rl
 from attesta.plans import bindings as b
+from attesta.plans import q_ranking
 from attesta.plans.q_ranking import S, auroc_sql
 from attesta.plans.registry import query
 
-REPS, SEED = 10, 7
+REPS, SEED = 200, 7
 r6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 # analysis set with a fact premise on all rows, and a cluster for the resamples
-A = f"{S}, an as (select *, item_id % 97 as cluster from s where not is_negative_control and majority_tag <> 'unknown')"
+A = f"{S}, an as (select *, item_id as cluster from s where not is_negative_control and majority_tag <> 'unknown')"
 SC = f"""{A}, sc as (select an.*, x.scope, c.coding, case c.coding when 'strict' then majority_tag = 'supported' else majority_tag in ('supported', 'partial') end as label
   from an cross join (values ('all'), ('core')) x(scope) cross join (values ('strict'), ('lenient')) c(coding) where x.scope = 'all' or is_core)"""
 
 
 def sent(spark, d):
-    return b.sentences(spark, d).withColumns({"cluster": F.col("item_id") % 97, "fact_premise": F.lit("x")})
+    return b.sentences(spark, d).withColumns({"cluster": F.col("item_id"), "fact_premise": F.lit("x")})
 
 
-def weights_sql(source: str, cluster: str = "cluster", reps: int = REPS, seed: int = SEED) -> str:
-    return f"""k as (select cluster, row_number() over (order by cluster) - 1 as idx from (select distinct {cluster} as cluster from {source})),
-draws as (select rep, ('0x' || substr(md5('{seed}|' || rep || '|' || slot), 1, 8))::bigint % (select count(*) from k) as idx from range({reps}) r(rep), range((select count(*) from k)) s(slot)),
-wts as (select rep, cluster, count(*) as w from draws join k on k.idx = draws.idx group by 1, 2)"""
+def weights_sql(source: str, cluster: str = "cluster") -> str:
+    return q_ranking.weights_sql(source, cluster, REPS, SEED)
 
 
 def ci_sql(source: str, keys: str, name: str = "ci") -> str:
@@ -158,8 +157,8 @@ def controls(spark, d):
     return s.select("item_id", "sentence_id", "verifier", "v.variant", (F.col("score") * factor).alias("score"), "v.k")
 
 
-@query("l2_record_controls", f"""with {CTL}, cm as (select item_id, sentence_id, verifier, case when variant like 'shuffle%' then 'shuffled' else 'hyponly' end as kind, avg(score) as control, count(distinct variant) as n_shuffles from ctl group by 1, 2, 3, 4),
-an as (select *, item_id % 97 as cluster from s where premise = 'record' and not is_negative_control and majority_tag <> 'unknown'),
+@query("l2_record_controls", f"""with {CTL}, cm as (select item_id, sentence_id, verifier, case when variant like 'shuffle%' then 'shuffled' else 'hyponly' end as kind, round(avg(score), 9) as control, count(distinct variant) as n_shuffles from ctl group by 1, 2, 3, 4),
+an as (select *, item_id as cluster from s where premise = 'record' and not is_negative_control and majority_tag <> 'unknown'),
 pr as (select an.verifier, x.scope, c.coding, kind, cluster, case c.coding when 'strict' then majority_tag = 'supported' else majority_tag in ('supported', 'partial') end as label, score as a, control as b, n_shuffles from an join cm using (item_id, sentence_id, verifier)
   cross join (values ('all'), ('core')) x(scope) cross join (values ('strict'), ('lenient')) c(coding) where x.scope = 'all' or is_core),
 {weights_sql('pr')}, {diff_sql('pr', 'verifier, scope, coding, kind')}
@@ -170,13 +169,13 @@ def l2(spark, d):
     return r6(out, "auroc_true", "auroc_control", "delta_lo", "delta_hi", "p_value", "control_lo", "control_hi")
 
 
-SENS = f"""{CTL}, an as (select *, item_id % 97 as cluster from s where premise = 'record' and not is_negative_control and majority_tag <> 'unknown'),
-se as (select an.item_id, an.sentence_id, an.verifier, any_value(cluster) as cluster, avg(case when an.score > ctl.score then 1.0::double when an.score = ctl.score then 0.5::double else 0 end) as win, avg(ctl.score) as control, any_value(an.score) as score, any_value(majority_tag) as majority_tag, any_value(is_core) as is_core, count(distinct k) as n_shuffles from ctl join an using (item_id, sentence_id, verifier) group by 1, 2, 3)"""
+SENS = f"""{CTL}, an as (select *, item_id as cluster from s where premise = 'record' and not is_negative_control and majority_tag <> 'unknown'),
+se as (select an.item_id, an.sentence_id, an.verifier, any_value(cluster) as cluster, avg(case when an.score > ctl.score then 1.0::double when an.score = ctl.score then 0.5::double else 0 end) as win, round(avg(ctl.score), 9) as control, any_value(an.score) as score, any_value(majority_tag) as majority_tag, any_value(is_core) as is_core, count(distinct k) as n_shuffles from ctl join an using (item_id, sentence_id, verifier) group by 1, 2, 3)"""
 
 
 def sens(spark, d):
     true = sent(spark, d).filter("premise = 'record'").withColumn("status_matched", F.col("sentence_id") % 2 == 0)
-    return dg.sensitivity(true, controls(spark, d)).withColumn("cluster", F.col("item_id") % 97)
+    return dg.sensitivity(true, controls(spark, d)).withColumn("cluster", F.col("item_id"))
 
 
 @query("l3_sensitivity_by_sentence", f"with {SENS} select item_id, sentence_id, verifier, round(win, 6) as win, round(control, 6) as control, n_shuffles from se")
@@ -201,11 +200,11 @@ def l3c(spark, d):
 TWO = "count(*) filter (x and y) as n11, count(*) filter (x and not y) as n10, count(*) filter (not x and y) as n01, count(*) filter (not x and not y) as n00"
 
 
-@query("l4_restatement", f"""with {A}, t as (select premise, o.outcome, item_id % 5 = 1 as x, case o.outcome when 'passed' then score >= 0.5 else majority_tag = 'supported' end as y from an cross join (values ('passed'), ('supported')) o(outcome) where verifier = 'v1'),
-c as (select premise, outcome, {TWO} from t group by 1, 2) select *, round(n11::double * n00 / nullif(n10::double * n01, 0), 6) as odds_ratio, round((n11 + n10) / (n11 + n10 + n01 + n00)::double, 6) as share_named, round(n11 / (n11 + n10)::double, 6) as rate_named, round(n01 / (n01 + n00)::double, 6) as rate_other from c""")
+@query("l4_restatement", f"""with {A}, t as (select verifier, premise, o.outcome, item_id % 5 = 1 as x, case o.outcome when 'passed' then score >= 0.5 else majority_tag = 'supported' end as y from an cross join (values ('passed'), ('supported')) o(outcome)),
+c as (select verifier, premise, outcome, {TWO} from t group by 1, 2, 3) select *, round(n11::double * n00 / nullif(n10::double * n01, 0), 6) as odds_ratio, round((n11 + n10) / (n11 + n10 + n01 + n00)::double, 6) as share_named, round(n11 / (n11 + n10)::double, 6) as rate_named, round(n01 / (n01 + n00)::double, 6) as rate_other from c""")
 def l4(spark, d):
-    df = cp.analysis_set(sent(spark, d)).filter("verifier = 'v1'").withColumn("sentence_text", F.expr(TEXT))
-    return r6(dg.restatement(df, group=["premise"]).drop("p_value"), "odds_ratio", "share_named", "rate_named", "rate_other")
+    df = cp.analysis_set(sent(spark, d)).withColumn("sentence_text", F.expr(TEXT))
+    return r6(dg.restatement(df, group=["verifier", "premise"]).drop("p_value"), "odds_ratio", "share_named", "rate_named", "rate_other")
 
 
 CODE = "case (item_id + sentence_id) % 3 when 0 then ' YES' when 1 then 'no' end"
@@ -218,7 +217,7 @@ def coding_of(spark, d):
 
 @query("l5_unsupported_split", f"""with {SPLIT}, cl as (select cs.*, c.coding, q.negatives, case c.coding when 'strict' then cls = 'supported' else cls in ('supported', 'partial') end as label from cs cross join (values ('strict'), ('lenient')) c(coding) cross join (values ('contradicted'), ('unrelated')) q(negatives)
   where cls = q.negatives or (case c.coding when 'strict' then cls = 'supported' else cls in ('supported', 'partial') end)),
-{weights_sql('an')}, {ci_sql('cl', 'verifier, premise, coding, negatives')} select * from ci""")
+{weights_sql('cl')}, {ci_sql('cl', 'verifier, premise, coding, negatives')} select * from ci""")
 def l5(spark, d):
     return r6(dg.unsupported_split(sent(spark, d), coding_of(spark, d), reps=REPS, seed=SEED, cluster="cluster"), "auroc", "ci_lo", "ci_hi")
 
@@ -231,7 +230,7 @@ def l5b(spark, d):
 FID = "case (item_id * 7 + sentence_id) % 4 when 0 then 'faithful' when 1 then 'partial' when 2 then 'unfaithful' else 'not_assessable' end"
 
 
-@query("l6_fidelity_auroc", f"""with {S}, f as (select *, item_id % 97 as cluster, {FID} as fid from s), cl as (select f.*, c.coding, case c.coding when 'strict' then fid = 'faithful' else fid in ('faithful', 'partial') end as label from f cross join (values ('strict'), ('lenient')) c(coding) where fid <> 'not_assessable'),
+@query("l6_fidelity_auroc", f"""with {S}, f as (select *, item_id as cluster, {FID} as fid from s), cl as (select f.*, c.coding, case c.coding when 'strict' then fid = 'faithful' else fid in ('faithful', 'partial') end as label from f cross join (values ('strict'), ('lenient')) c(coding) where fid <> 'not_assessable'),
 {weights_sql('cl')}, {ci_sql('cl', 'verifier, premise, coding')} select *, ci_lo > 0.5 as tracks from ci""")
 def l6(spark, d):
     s = sent(spark, d)
@@ -343,9 +342,21 @@ def f7b(spark, d):
 
 @query("f8_best_match_table", f"""with {RUN}, w as (select condition, "F", p, n_sentences, has_citable from me where not error and not truncated) select condition, count(*) as n_interactions, round(100 * avg("F"), 5) as "F_mean", round(100 * sum(p) / sum(n_sentences)::double, 5) as "F_pooled", round(100 * avg("F") filter (has_citable), 5) as "F_mean_citable" from w where condition in ('1-URGENT', '2-HIGH') group by 1""")
 def f8(spark, d):
+    return best_match(spark, d)[0].select("condition", "n_interactions", *[F.round(c, 5).alias(c) for c in ("F_mean", "F_pooled", "F_mean_citable")])
+
+
+def best_match(spark, d):
     m = rl.interaction_metrics(log(spark, d))
-    out, _ = rl.best_match_table(m.filter("condition = '1-URGENT'"), m.filter("condition = '2-HIGH'"), "1-URGENT", ["2-HIGH"], key=("ITEST_id",), order="step_idx", reps=2)
-    return out.select("condition", "n_interactions", *[F.round(c, 5).alias(c) for c in ("F_mean", "F_pooled", "F_mean_citable")])
+    return rl.best_match_table(m.filter("condition = '1-URGENT'"), m.filter("condition = '2-HIGH'"), "1-URGENT", ["2-HIGH"], key=("ITEST_id",), order="step_idx", reps=REPS, seed=SEED)
+
+
+TWO_CONDITIONS = F7.format(num='"F"', den="1", where="where condition in ('1-URGENT', '2-HIGH')")
+
+
+@query("f8_best_match_paired", "with " + TWO_CONDITIONS)
+def f8b(spark, d):
+    out = best_match(spark, d)[1].drop("model")
+    return out.withColumns({c: F.round(c, 5) for c in ("ref_pct", "cmp_pct", "delta_pp", "ci_lo_pp", "ci_hi_pp")} | {c: F.round(c, 6) for c in ("p_value", "p_holm")})
 
 
 @query("f9_run_counts", f"with {RUN} select condition, count(*) as n_rows, count(*) filter (error) as n_errors, count(*) filter (truncated) as n_truncated from me group by 1")

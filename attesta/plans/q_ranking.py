@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attesta.functions.draws import draws_sql, keys_sql
 from attesta.operators import bootstrap as boot
 from attesta.operators import ranking as rk
 from attesta.plans import bindings as b
@@ -14,12 +15,12 @@ CODED = f"""{S}, coded as (select s.*, c.coding, case c.coding when 'strict' the
 G = ["verifier", "premise", "coding"]
 
 
-def auroc_sql(source: str, keys: str, score: str = "score") -> str:
+def auroc_sql(source: str, keys: str, score: str = "score", digits: int = 6) -> str:
     """Mann-Whitney over (keys, score, label) rows by cumulative counts of the distinct scores."""
     on = keys + ", " if keys else ""
     part = f"partition by {keys}" if keys else ""
     by = f"group by {keys}" if keys else ""
-    return f"""select {on}round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos)::double * sum(neg), 0), 6) as auroc, sum(pos)::bigint as n_pos, sum(neg)::bigint as n_neg from (
+    return f"""select {on}round(sum(pos * (below + neg / 2.0)) / nullif(sum(pos)::double * sum(neg), 0), {digits}) as auroc, sum(pos)::bigint as n_pos, sum(neg)::bigint as n_neg from (
   select *, coalesce(sum(neg) over ({part} order by {score} rows between unbounded preceding and 1 preceding), 0) as below from (
     select {on}{score}, count(*) filter (label) as pos, count(*) filter (not label) as neg from {source} where label is not null and {score} is not null group by {on}{score}) g) r {by}"""
 
@@ -148,16 +149,18 @@ def i13(spark, d):
     return r6(rk.score_profile(b.sentences(spark, d), ["premise"], mass=F.col("score")), "median_mass", "pass_share")
 
 
-REPS, SEED = 20, 42
-# sentences are clustered by a residue of their item, over all of them
-LABELLED = f"""{CODED}, cl as (select coded.*, item_id % 97 as cluster from coded where coding = 'strict' and not is_negative_control)"""
-WEIGHTS = """k as (select cluster, row_number() over (order by cluster) - 1 as idx from (select distinct cluster from cl)),
-draws as (select rep, ('0x' || substr(md5('{seed}|' || rep || '|' || slot), 1, 8))::bigint % (select count(*) from k) as idx from range({reps}) r(rep), range((select count(*) from k)) s(slot)),
-wts as (select rep, cluster, count(*) as w from draws join k on k.idx = draws.idx group by 1, 2)""".format(seed=SEED, reps=REPS)
+REPS, SEED = 1000, 42
+LABELLED = f"""{CODED}, cl as (select coded.*, item_id as cluster from coded where coding = 'strict' and not is_negative_control)"""
+
+
+def weights_sql(source: str, cluster: str = "cluster", reps: int = REPS, seed: int = SEED) -> str:
+    """CTE wts (rep, cluster, w): how often each cluster of ``source`` is drawn in each resample."""
+    return f"""k as (select cluster, row_number() over (order by md5(cluster::varchar), cluster) - 1 as idx from (select distinct {cluster} as cluster from {source} where {cluster} is not null)),
+wts as (select rep, cluster, w from (select rep, idx, count(*) as w from ({draws_sql(keys_sql(reps, seed), '(select count(*) from k)')}) d group by 1, 2) join k using (idx))"""
 
 
 def labelled(spark, d):
-    return coded(spark, d).filter("coding = 'strict' and not is_negative_control").withColumn("cluster", F.col("item_id") % 97)
+    return coded(spark, d).filter("coding = 'strict' and not is_negative_control").withColumn("cluster", F.col("item_id"))
 
 
 def rep_sql(source: str, keys: str) -> str:
@@ -167,12 +170,16 @@ def rep_sql(source: str, keys: str) -> str:
     select {keys}, rep, score, sum(w) filter (label) as p0, coalesce(sum(w) filter (label), 0) as pos, coalesce(sum(w) filter (not label), 0) as neg from {source} join wts on wts.cluster = {source}.cluster group by {keys}, rep, score) g) r group by {keys}, rep"""
 
 
-@query("k1_cluster_weights", f"with {LABELLED}, {WEIGHTS} select rep::int as rep, cluster, w from wts")
+#: Weights are listed for few resamples: the list is the result.
+LISTED = 20
+
+
+@query("k1_cluster_weights", f"with {LABELLED}, {weights_sql('cl', reps=LISTED)} select rep::int as rep, cluster, w from wts")
 def k1(spark, d):
-    return boot.cluster_weights(labelled(spark, d), "cluster", REPS, SEED)
+    return boot.cluster_weights(labelled(spark, d), "cluster", LISTED, SEED)
 
 
-@query("k2_k4_cluster_auroc_ci", f"""with {LABELLED}, {WEIGHTS}, p as ({auroc_sql('cl', 'verifier, premise')}), reps as ({rep_sql('cl', 'verifier, premise')}),
+@query("k2_k4_cluster_auroc_ci", f"""with {LABELLED}, {weights_sql('cl')}, p as ({auroc_sql('cl', 'verifier, premise')}), reps as ({rep_sql('cl', 'verifier, premise')}),
 c as (select verifier, premise, round(quantile_cont(auroc, 0.025), 6) as ci_lo, round(quantile_cont(auroc, 0.975), 6) as ci_hi, ({REPS} - count(auroc))::bigint as n_skipped from reps group by 1, 2),
 z as (select verifier, premise, count(*) as n, count(distinct cluster) as n_clusters from cl group by 1, 2)
 select p.*, ci_lo, ci_hi, n_skipped, n, n_clusters from p join c using (verifier, premise) join z using (verifier, premise)""")
@@ -184,16 +191,34 @@ PAIR = f"""{LABELLED}, fr as (select f.verifier, f.cluster, f.label, f.score as
 sides as (select verifier, cluster, label, 'a' as side, a as score from fr union all select verifier, cluster, label, 'b', b from fr)"""
 
 
-@query("k3_k5_paired_diff", f"""with {PAIR}, {WEIGHTS}, p as ({auroc_sql('sides', 'verifier, side')}), reps as ({rep_sql('sides', 'verifier, side')}),
+@query("k3_k5_paired_diff", f"""with {PAIR}, {weights_sql('fr')}, p as ({auroc_sql('sides', 'verifier, side', digits=15)}), reps as ({rep_sql('sides', 'verifier, side')}),
 dl as (select x.verifier, x.rep, x.auroc - y.auroc as delta from reps x join reps y on x.verifier = y.verifier and x.rep = y.rep and x.side = 'a' and y.side = 'b'),
 c as (select verifier, round(quantile_cont(delta, 0.025), 6) as ci_lo, round(quantile_cont(delta, 0.975), 6) as ci_hi, round(least(1.0::double, 2.0::double * (least(count(*) filter (delta <= 0), count(*) filter (delta >= 0)) + 1) / (count(*) + 1)), 6) as p_value from dl group by 1)
-select c.verifier, x.auroc as auroc_a, y.auroc as auroc_b, round(x.auroc - y.auroc, 5) as delta, (select count(*) from fr where fr.verifier = c.verifier) as n, ci_lo, ci_hi, p_value
+select c.verifier, round(x.auroc, 6) as auroc_a, round(y.auroc, 6) as auroc_b, round(x.auroc - y.auroc, 6) as delta, (select count(*) from fr where fr.verifier = c.verifier) as n, ci_lo, ci_hi, p_value
 from c join p x on x.verifier = c.verifier and x.side = 'a' join p y on y.verifier = c.verifier and y.side = 'b'""")
 def k3(spark, d):
+    return paired(spark, d, REPS)
+
+
+def paired(spark, d, reps):
     keys = ["item_id", "sentence_id", "verifier", "cluster", "label"]
     wide = labelled(spark, d).groupBy(*keys).pivot("premise", ["fact", "record"]).agg(F.first("score"))
-    out = boot.cluster_paired_diff(wide, ["verifier"], "cluster", "label", "record", "fact", REPS, SEED)
-    return r6(out, "auroc_a", "auroc_b", "ci_lo", "ci_hi", "p_value").withColumn("delta", F.round("delta", 5))
+    out = boot.cluster_paired_diff(wide, ["verifier"], "cluster", "label", "record", "fact", reps, SEED)
+    return r6(out, "auroc_a", "auroc_b", "delta", "ci_lo", "ci_hi", "p_value")
+
+
+#: The resamples of the published tables; too many for the SQL, which joins rows with draws.
+PUBLISHED = 10_000
+
+
+@query("k2_cluster_auroc_ci_published")
+def k2b(spark, d):
+    return r6(boot.cluster_auroc_ci(labelled(spark, d), ["verifier", "premise"], "cluster", "label", "score", PUBLISHED, SEED), "auroc", "ci_lo", "ci_hi")
+
+
+@query("k3_paired_diff_published")
+def k3b(spark, d):
+    return paired(spark, d, PUBLISHED)
 
 
 @query("k6_holm", """with p as (select l_returnflag as family, l_suppkey as test, (sum(l_quantity)::bigint % 1000) / 5000.0::double as p from lineitem group by 1, 2),
@@ -204,7 +229,7 @@ def k6(spark, d):
     return r6(boot.holm(p, ["family"], "p"), "p_holm")
 
 
-@query("k7_cluster_mean_ci", f"""with {LABELLED}, {WEIGHTS}, m as (select verifier, premise, rep, sum(w * score) / sum(w) as v from cl join wts on wts.cluster = cl.cluster group by 1, 2, 3),
+@query("k7_cluster_mean_ci", f"""with {LABELLED}, {weights_sql('cl')}, m as (select verifier, premise, rep, sum(w * score) / sum(w) as v from cl join wts on wts.cluster = cl.cluster group by 1, 2, 3),
 c as (select verifier, premise, round(quantile_cont(v, 0.025), 6) as ci_lo, round(quantile_cont(v, 0.975), 6) as ci_hi from m group by 1, 2)
 select cl.verifier, cl.premise, round(avg(score), 6) as mean, count(*) as n, count(distinct cluster) as n_clusters, any_value(ci_lo) as ci_lo, any_value(ci_hi) as ci_hi from cl join c on c.verifier = cl.verifier and c.premise = cl.premise group by 1, 2""")
 def k7(spark, d):

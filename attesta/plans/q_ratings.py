@@ -8,7 +8,8 @@ from attesta.plans.q_ranking import S
 from attesta.plans.registry import query
 
 R = f"r as (select *, item_id * 1000 + sentence_id * 10 + substr(rater_id, 2)::int as row_id from ({b.RATINGS}))"
-CORE = f"{R}, core as (select * from r where item_id % 10 = 0)"
+CORE = f"{R}, core as (select * from r where item_id in (select item_id from r group by 1 having count(distinct rater_id) >= (select count(distinct rater_id) from r)))"
+ALL = f"{R}, core as (select * from r)"
 r6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 
 
@@ -17,7 +18,9 @@ def resp(spark, d):
 
 
 def core(spark, d):
-    return resp(spark, d).filter("item_id % 10 = 0")
+    """Ratings of the items that every rater has rated."""
+    r = resp(spark, d)
+    return r.join(rt.core_items(r), "item_id", "left_semi")
 
 
 def key(spark, d):
@@ -65,26 +68,26 @@ def h6(spark, d):
     return r6(rt.fleiss_kappa(core(spark, d)), "kappa", "p_bar", "p_e")
 
 
-def _kappa_sql(unknown):
+def _kappa_sql(unknown, digits=6):
     lev = lambda c: f"case {c} when 'unsupported' then 0 when 'partial' then 1 when 'supported' then 2 end"
     w = f"pow(case when ta = tb then 0 when {lev('ta')} is not null and {lev('tb')} is not null then abs({lev('ta')} - {lev('tb')}) else 2 end / 2.0::double, 2)"
     cond = "where tag <> 'unknown'" if unknown == "exclude" else ""
-    return f"""with {CORE}, u as (select * from core {cond}),
+    return f"""with {ALL}, u as (select * from core {cond}),
 p as (select x.rater_id as rater_a, y.rater_id as rater_b, x.tag as ta, y.tag as tb from u x join u y on x.item_id = y.item_id and x.sentence_id = y.sentence_id and x.rater_id < y.rater_id),
 c as (select rater_a, rater_b, ta, tb, count(*) as n from p group by all), a as (select rater_a, rater_b, ta, sum(n) as na from c group by all), q as (select rater_a, rater_b, tb, sum(n) as nb from c group by all),
 e as (select a.rater_a, a.rater_b, sum({w} * na * nb) as e from a join q on a.rater_a = q.rater_a and a.rater_b = q.rater_b group by 1, 2),
 o as (select rater_a, rater_b, sum({w} * n) as o, sum(n) as n from c group by 1, 2)
-select rater_a, rater_b, o.n::bigint as n, round(1 - o / (e / o.n), 6) as kappa from o join e using (rater_a, rater_b)"""
+select rater_a, rater_b, o.n::bigint as n, round(1 - o / (e / o.n), {digits}) as kappa from o join e using (rater_a, rater_b)"""
 
 
 @query("h7_weighted_kappa_pairs", _kappa_sql("exclude"))
 def h7(spark, d):
-    return r6(rt.weighted_kappa_pairs(core(spark, d)), "kappa")
+    return r6(rt.weighted_kappa_pairs(resp(spark, d)), "kappa")
 
 
-@query("h7_weighted_kappa_penalised", f"select round(avg(kappa), 6) as mean_kappa, count(kappa) as n_pairs from ({_kappa_sql('penalise')})")
+@query("h7_weighted_kappa_penalised", f"select round(avg(kappa), 6) as mean_kappa, count(kappa) as n_pairs from ({_kappa_sql('penalise', 15)})")
 def h7b(spark, d):
-    return r6(rt.weighted_kappa(core(spark, d), "penalise"), "mean_kappa")
+    return r6(rt.weighted_kappa(resp(spark, d), "penalise"), "mean_kappa")
 
 
 @query("h8_icc", f"""with {R}, {ONE}, n as (select count(distinct rater_id) as k from one), i as (select item_id, count(*) as c from one group by 1), full_ as (select one.* from one join i using (item_id), n where c = k),
@@ -166,17 +169,17 @@ def h18(spark, d):
     return r6(rt.loo_human(resp(spark, d)), "balanced_accuracy")
 
 
-@query("h19_cohen_kappa", f"""with {CORE}, p as (select x.tag as a, y.tag as b from core x join core y on x.item_id = y.item_id and x.sentence_id = y.sentence_id and x.rater_id = 'R1' and y.rater_id = 'R2' where x.tag <> 'unknown' and y.tag <> 'unknown'),
+@query("h19_cohen_kappa", f"""with {ALL}, p as (select x.tag as a, y.tag as b from core x join core y on x.item_id = y.item_id and x.sentence_id = y.sentence_id and x.rater_id = 'R1' and y.rater_id = 'R2' where x.tag <> 'unknown' and y.tag <> 'unknown'),
 l as (select *, case a when 'unsupported' then 0 when 'partial' then 1 else 2 end as i, case b when 'unsupported' then 0 when 'partial' then 1 else 2 end as j from p), n as (select count(*)::double as n from l),
 o as (select avg((a = b)::int) as po, avg(pow((i - j) / 2.0, 2)) as wo from l), ma as (select i, count(*) as c from l group by 1), mb as (select j, count(*) as c from l group by 1),
 e as (select sum(case when i = j then ma.c * mb.c else 0 end) / (select n * n from n) as pe, sum(pow((i - j) / 2.0, 2) * ma.c * mb.c) / (select n * n from n) as we from ma cross join mb)
 select (select n::bigint from n) as n, round(po, 6) as agreement, round((po - pe) / (1 - pe), 6) as kappa, round(1 - wo / we, 6) as quadratic_kappa from o cross join e""")
 def h19(spark, d):
-    wide = core(spark, d).groupBy("item_id", "sentence_id").pivot("rater_id", ["R1", "R2"]).agg(F.first("tag"))
+    wide = resp(spark, d).groupBy("item_id", "sentence_id").pivot("rater_id", ["R1", "R2"]).agg(F.first("tag"))
     return r6(rt.cohen_kappa(wide, "R1", "R2", ["unsupported", "partial", "supported"]), "agreement", "kappa", "quadratic_kappa")
 
 
-@query("h20_free_text_by_item", "with t as (select distinct c_nationkey as item_id, c_mktsegment as rater_id, trim(c_name) as t from customer) select item_id, string_agg(rater_id || ': ' || t, ' | ' order by rater_id, t) as comments from t group by 1")
+@query("h20_free_text_by_item", "with t as (select distinct o_custkey as item_id, o_orderpriority as rater_id, strftime(o_orderdate, '%Y-%m-%d') as t from orders) select item_id, string_agg(rater_id || ': ' || t, ' | ' order by rater_id, t) as comments from t group by 1")
 def h20(spark, d):
-    c = b.table(spark, d, "customer").select(F.col("c_nationkey").alias("item_id"), F.col("c_mktsegment").alias("rater_id"), F.col("c_name").alias("free_text"))
-    return rt.free_text_by_item(c)
+    o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("item_id"), F.col("o_orderpriority").alias("rater_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("free_text"))
+    return rt.free_text_by_item(o)
