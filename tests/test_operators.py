@@ -1,17 +1,21 @@
 """Edge cases of the operators, and properties that hold on any input."""
 
 import difflib
+import hashlib
 import itertools
 import json
 import math
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from attesta.functions import draws
 from attesta.functions import statistics as stats
 from attesta.operators import bootstrap as boot
 from attesta.operators import compare as cp
@@ -257,6 +261,81 @@ def test_bootstrap_edges(spark):
     assert boot.cluster_weights(df.limit(0), "c", 5, 3).count() == 0
 
 
+def brute_weighted(rows):
+    """Pairs of a positive and a negative, by weight."""
+    wins = total = 0.0
+    for _, y, s, w in rows:
+        for _, z, t, v in rows:
+            if y and not z:
+                total += w * v
+                wins += w * v * (1.0 if s > t else 0.5 if s == t else 0.0)
+    return wins / total if total else None
+
+
+@pytest.mark.parametrize("method,task_rows", [("multinomial", None), ("multinomial", 7), ("poisson", 7)])
+def test_resamples_match_brute_force(spark, monkeypatch, method, task_rows):
+    draw = random.Random(5)
+    rows = [(g, f"c{draw.randrange(9)}", draw.random() < 0.5, draw.choice([0.0, 0.0, 0.0, 0.25, 0.5, 0.75, 1.0, 1.0])) for g in (1, 2) for _ in range(45)]
+    df = spark.createDataFrame(rows, "g int, c string, y boolean, s double")
+    if task_rows:
+        monkeypatch.setattr(boot, "TASK_ROWS", (task_rows, task_rows))
+    r = boot.Resamples(df, "c", 12, 3, method)
+    weights = {}
+    for x in boot.cluster_weights(df, "c", 12, 3, method).collect():
+        weights.setdefault(x.rep, {})[x.c] = x.w
+    got = {(x.g, x.rep): x.auroc for x in boot._replicates(df, ["g"], r, "y", "s", boot._sized(df, ["g"])).collect()}
+    want = {(g, rep): brute_weighted([(c, y, s, weights[rep].get(c, 0)) for h, c, y, s in rows if h == g]) for g in (1, 2) for rep in range(12)}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
+    sums = {(x.g, x.rep): x.v for x in boot.resampled_sums(df.withColumn("v", F.col("s") + 1), ["g"], r, ["v"]).collect()}
+    total = {(g, rep): sum((s + 1) * weights[rep].get(c, 0) for h, c, _, s in rows if h == g) for g in (1, 2) for rep in range(12)}
+    assert {k: v for k, v in sums.items() if v} == pytest.approx({k: v for k, v in total.items() if v})
+
+
+def test_an_interval_at_the_published_resamples(spark):
+    draw = random.Random(8)
+    rows = [(i, draw.random() < 0.4, draw.choice([0.1, 0.2, 0.3, 0.4])) for i in range(30) for _ in range(2)]
+    df = spark.createDataFrame(rows, "c int, y boolean, s double")
+    got = boot.cluster_auroc_ci(df, [], "c", "y", "s").first()
+    order = sorted(range(30), key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    place = {c: k for k, c in enumerate(order)}
+    values = []
+    for rep in range(10_000):
+        w = draws.multinomial(rep, 42, 30)
+        pos, neg = Counter(), Counter()
+        for c, y, s in rows:
+            (pos if y else neg)[s] += int(w[place[c]])
+        below = wins = 0.0
+        for s in (0.1, 0.2, 0.3, 0.4):
+            wins += pos[s] * (below + neg[s] / 2)
+            below += neg[s]
+        if pos.total() and neg.total():
+            values.append(wins / (pos.total() * neg.total()))
+    assert got.n_skipped == 10_000 - len(values) and got.n_clusters == 30
+    assert (got.ci_lo, got.ci_hi) == pytest.approx(tuple(np.quantile(values, [0.025, 0.975])))
+
+
+def test_ranges_of_scores_are_even(spark):
+    # one outlier, and scores heaped at both ends
+    heaped = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id") / 1e9).when(F.col("id") % 3 == 1, 1 - F.col("id") / 1e9).otherwise(F.col("id") / 2e4).alias("s"))
+    df = heaped.union(spark.createDataFrame([(1e12,)], "s double")).withColumn("g", F.lit(1))
+    sizes = [r["count"] for r in rk._ranged(df, ["g"], "s").groupBy("_r").count().collect()]
+    assert len(sizes) > 200 and max(sizes) < 4 * 20_000 / rk.RANGES
+    ranks = rk.average_rank(df, ["g"], "s").orderBy("s").select("rank").collect()
+    assert [r[0] for r in ranks] == list(range(1, 20_002))
+
+
+def test_rings_and_orders_of_hot_groups(spark):
+    items = spark.range(3000).select(F.col("id").alias("item_id"), F.when(F.col("id") < 2990, "hot").when(F.col("id") < 2998, F.concat(F.lit("s"), F.col("id").cast("string"))).alias("skill"))
+    got = ds.shuffled_records(items, 2, 7).collect()
+    assert len(got) == 6000
+    for v in (1, 2):
+        donor = {r.item_id: r.donor for r in got if r.variant == v}
+        assert sorted(donor.values()) == list(range(3000)) and all(k != d for k, d in donor.items())
+        assert all(r.same_skill == (r.item_id < 2990 or r.item_id >= 2998) for r in got)
+    n = [r.n for r in ds.ranked(items, ["skill"], 3, "item_id").filter("skill = 'hot'").collect()]
+    assert sorted(n) == list(range(1, 2991))
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.sampled_from([0.001, 0.01, 0.02, 0.02, 0.3, 1.0]), min_size=1, max_size=8))
 def test_holm(spark, ps):
@@ -272,7 +351,7 @@ def test_flip_influence_is_exact(spark):
     rows = [(i, rng.random() < 0.5, rng.randint(0, 5) / 5) for i in range(30)]
     for r in dg.flip_influence(spark.createDataFrame(rows, "i int, label boolean, score double"), []).collect():
         flipped = [(y != (i == r.i), s) for i, y, s in rows]
-        assert abs(r.auroc + r.flip_change - brute_auroc(flipped)) < 1e-12
+        assert abs(r.auroc + r.flip_change - brute_weighted(flipped)) < 1e-12
 
 
 def test_majority_rules(spark):
