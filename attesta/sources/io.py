@@ -137,9 +137,10 @@ def sentence_text(sentence: Column, lang: str = "en", fields=("en", "text", "sen
     return F.coalesce(*[F.nullif(F.trim(sentence[f]), F.lit("")) for f in order if f in fields])
 
 
-def read_pipeline_log(spark: SparkSession, glob: str, pattern: str = r"([^/]+?)(?:_[0-9]+)?\.json$") -> DataFrame:
-    """Run logs with the model's name from the file name."""
-    raw = spark.read.schema(RUN_SCHEMA).json(glob, multiLine=True)
+def read_pipeline_log(spark: SparkSession, glob: str, pattern: str = r"([^/]+?)(?:_[0-9]+)?\.json$", lines: bool = False) -> DataFrame:
+    """Run logs with the model's name from the file name. A file is one JSON array, which one task reads whole, or with
+    ``lines`` has a run on each line, and is split."""
+    raw = spark.read.schema(RUN_SCHEMA).json(glob, multiLine=not lines)
     return raw.withColumn("model", F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
@@ -177,7 +178,7 @@ def read_source(spark: SparkSession, path: str, *columns: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", partition_by: list[str] | None = None, mode: str = "error") -> None:
-    """Parquet, CSV with a header, or JSON lines, in as many files as there are partitions."""
+    """Parquet, CSV with a header, JSON lines or lines of text, in as many files as there are partitions."""
     writer = df.write.mode(mode).partitionBy(*(partition_by or []))
     if form == "csv":
         writer = writer.option("header", True).option("escape", '"')
