@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts, or of sets as large as these, that go to a Python worker at a time.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_ROWS`` rows from now on, unless the session sets its own number: Spark's 10,000 rows of
+    whole texts are held several times over, as text, as Arrow data on both sides and as what is made of them."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back."""
     spark = df.sparkSession

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import chunks, need, padded, ragged, same_spans, span_hash, spans, table, written
+from attesta.llm.common import bound_batches, chunks, need, padded, ragged, same_spans, span_hash, spans, table, written
 
 WINDOW = 10
 #: Text of a shard that is held as arrays at once, and of the test items in one pass over the documents.
@@ -384,6 +384,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     The cases of :func:`contamination` hold. Further passes, where there are any, each write the rows still clean.
     """
     need(docs, text_col)
+    bound_batches(docs.sparkSession)
     passes = _passes(benchmark, item_col, item_text, pass_bytes)
     items, rest = next(passes), docs
     while items is not None:

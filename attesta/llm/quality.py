@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from attesta.llm.common import bounded_sample, chunks, drawn, need, padded, span_hash, table, texts_of, without, written
+from attesta.llm.common import bound_batches, bounded_sample, chunks, drawn, need, padded, span_hash, table, texts_of, without, written
 
 #: Bounds of the labelled sample that vectors, network and temperature are fitted on.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
@@ -226,6 +226,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     Null and empty texts are judged as texts without words, repeated rows alike, very long texts whole.
     """
     need(docs, text_col)
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 

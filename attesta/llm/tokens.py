@@ -19,8 +19,8 @@ from attesta.llm.common import padded, ragged, same_spans, span_hash
 MAX_PIECES = 2_000_000
 #: Bytes of pieces kept, and ids.
 MAX_POOL = 32 << 20
-#: Text that is held as arrays at once.
-CHUNK_BYTES = 4 << 20
+#: Text that is held as arrays at once; these take about 40 bytes for each of text.
+CHUNK_BYTES = 1 << 20
 
 LETTER, DIGIT, MARK, SPACE, BLANK, OTHER = range(6)
 _CLASS = np.full(256, OTHER, np.uint8)
