@@ -16,9 +16,9 @@ import numpy as np
 
 from attesta.llm.common import padded, ragged, same_spans, span_hash
 
-MAX_PIECES = 2_000_000
+MAX_PIECES = 300_000
 #: Bytes of pieces kept, and ids.
-MAX_POOL = 32 << 20
+MAX_POOL = 4 << 20
 #: Text that is held as arrays at once; these take about 40 bytes for each of text.
 CHUNK_BYTES = 1 << 20
 
