@@ -6,13 +6,14 @@ permutes the numbers below the prime; a draw of n is the part of the way to the
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 
 PRIME = (1 << 31) - 1
 #: Fixed parameters of the mapping.
-REP, SEED, BASE, STEP = 40692, 48271, 12345, 69621
+REP, SEED, BASE, STEP, PART = 40692, 48271, 12345, 69621, 39373
 #: Slots that are mapped in one go, so that they stay in a core's cache, and draws that are counted in one go.
 CHUNK, COUNTED = 1 << 14, 1 << 20
 
@@ -24,9 +25,11 @@ def seed_of(seed) -> int:
     return (seed if isinstance(seed, int) else zlib.crc32(str(seed).encode())) % PRIME * SEED % PRIME
 
 
-def keys(rep: int, seed) -> tuple[int, int]:
-    """The multiplier and the offset of a repetition."""
+def keys(rep: int, seed, part: int = 0) -> tuple[int, int]:
+    """The multiplier and the offset of a repetition, and of a numbered part of it."""
     a = pow((rep * REP + seed_of(seed) + BASE) % PRIME, 5, PRIME)
+    if part:
+        a = pow((a + part * PART) % PRIME, 5, PRIME)
     return 1 + a % (PRIME - 1), pow((a + STEP) % PRIME, 5, PRIME)
 
 
@@ -38,10 +41,10 @@ def _fold(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def numbers(m: int, b: int, slots: np.ndarray) -> np.ndarray:
-    """A number below the prime for each slot (unsigned, below the prime)."""
-    x = slots * np.uint64(m)
-    x += np.uint64(b)
+def numbers(m, b, slots: np.ndarray) -> np.ndarray:
+    """A number below the prime for each slot (unsigned, below the prime); ``m`` and ``b`` are one pair of keys or arrays."""
+    x = slots * np.asarray(m, np.uint64)
+    x += np.asarray(b, np.uint64)
     x = _fold(x)
     y = _fold(_fold(x * x))
     y *= y
@@ -54,20 +57,111 @@ def numbers(m: int, b: int, slots: np.ndarray) -> np.ndarray:
     return y
 
 
-def multinomial(rep: int, seed, n: int) -> np.ndarray:
-    """How often each of n, at most 2^32, is drawn in n draws with replacement."""
-    m, b = keys(rep, seed)
+def _counted(m: int, b: int, n: int, drawn: int) -> np.ndarray:
+    """How often each of n, at most 2^32, is drawn in ``drawn`` draws with replacement."""
     out = None
-    for start in range(0, n, COUNTED):
-        drawn = np.empty(min(COUNTED, n - start), np.int64)
-        for s in range(0, len(drawn), CHUNK):
-            e = min(s + CHUNK, len(drawn))
+    for start in range(0, drawn, COUNTED):
+        found = np.empty(min(COUNTED, drawn - start), np.int64)
+        for s in range(0, len(found), CHUNK):
+            e = min(s + CHUNK, len(found))
             x = numbers(m, b, np.arange(start + s, start + e, dtype=np.uint64))
             x *= np.uint64(n)
-            drawn[s:e] = x >> _31
-        counts = np.bincount(drawn, minlength=n)
+            found[s:e] = x >> _31
+        counts = np.bincount(found, minlength=n)
         out = counts if out is None else out + counts
-    return np.zeros(0, np.int64) if out is None else out
+    return np.zeros(n, np.int64) if out is None else out
+
+
+#: Numbers of a range. A draw of more is split: binomial numbers, from the top of a tree of ranges down, say how many of
+#: the draws fall into each; those of a range are then drawn by themselves, and no other range need be looked at.
+BLOCK = 1 << 18
+
+
+def multinomial(rep: int, seed, n: int, block: int = BLOCK) -> np.ndarray:
+    """How often each of n is drawn in n draws with replacement: all ranges of ``block`` numbers, one after another."""
+    totals = range_totals([rep], seed, n, 0, -(-n // block), block)[0].tolist()
+    return np.concatenate([np.zeros(0, np.int64), *(range_counts(rep, seed, n, i, t, block) for i, t in enumerate(totals))])
+
+
+def range_counts(rep: int, seed, n: int, i: int, total: int, block: int = BLOCK) -> np.ndarray:
+    """How often each number of range ``i`` is drawn, where ``total`` of the draws fall into it."""
+    return _counted(*keys(rep, seed, i), min(block, n - i * block), total)
+
+
+def range_totals(reps, seed, n: int, first: int, last: int, block: int = BLOCK) -> np.ndarray:
+    """For each repetition how many of its n draws fall into each of the ranges ``first`` to ``last`` - 1."""
+    out = np.zeros((len(reps), max(last - first, 0)), np.int64)
+    stack = [(1, 0, -(-n // block), np.full(len(reps), n, np.int64))]
+    while stack:
+        node, low, high, drawn = stack.pop()
+        if high <= first or low >= last:
+            continue
+        if high - low == 1:
+            out[:, low - first] = drawn
+            continue
+        mid = (low + high) // 2
+        whole = min(high * block, n) - low * block
+        of = [keys(r, seed, -node) for r in reps]
+        under = binomial(drawn, (mid - low) * block / whole, np.array([k[0] for k in of], np.uint64), np.array([k[1] for k in of], np.uint64))
+        stack += [(2 * node, low, mid, under), (2 * node + 1, mid, high, drawn - under)]
+    return out
+
+
+def uniform(m: np.ndarray, b: np.ndarray, slot: int) -> np.ndarray:
+    """A number of 62 bits between 0 and 1, both left out, for each pair of keys."""
+    high, low = (numbers(m, b, np.full(len(m), 2 * slot + i, np.uint64)).astype(np.float64) for i in (0, 1))
+    return (high * PRIME + low + 0.5) / (float(PRIME) * PRIME)
+
+
+def _tail(x: np.ndarray) -> np.ndarray:
+    """What Stirling's formula leaves out of log x!, by its series from x = 10 on, by a table below."""
+    z = 1 / (x + 1)
+    series = (1 / 12 - (1 / 360 - z * z / 1260) * z * z) * z
+    return np.where(x < 10, _TAILS[np.minimum(x, 10).astype(np.int64)], series)
+
+
+#: log x! - (x + 1/2) log (x + 1) + (x + 1) - log(2 pi) / 2 for x up to 10.
+_TAILS = np.array([math.lgamma(x + 1) - (x + 0.5) * math.log(x + 1) + (x + 1) - math.log(2 * math.pi) / 2 for x in range(11)])
+
+
+def binomial(n: np.ndarray, p: float, m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A binomial number for each of ``n`` trials of chance ``p``, from the uniform numbers of its keys.
+
+    Few expected successes: the distribution is summed up to the uniform number. Many: transformed rejection with
+    squeezes (Hoermann 1993), which takes about 1.2 pairs of uniform numbers at any size.
+    """
+    if p > 0.5:
+        return n - binomial(n, 1 - p, m, b)
+    out = np.zeros(len(n), np.int64)
+    small = np.flatnonzero(n * p < 10)
+    if len(small):
+        u, k = uniform(m[small], b[small], 0), np.zeros(len(small))
+        chance = np.exp(n[small] * math.log1p(-p))
+        left = u - chance
+        while (open_ := (left > 0) & (k < n[small])).any():
+            chance = np.where(open_, chance * (n[small] - k) / (k + 1) * (p / (1 - p)), chance)
+            k, left = np.where(open_, k + 1, k), np.where(open_, left - chance, left)
+        out[small] = k
+    todo, slot = np.flatnonzero(n * p >= 10), 0
+    while len(todo):
+        size = n[todo].astype(np.float64)
+        spread = np.sqrt(size * p * (1 - p))
+        wide = 1.15 + 2.53 * spread
+        a = -0.0873 + 0.0248 * wide + 0.01 * p
+        u, v = uniform(m[todo], b[todo], slot) - 0.5, uniform(m[todo], b[todo], slot + 1)
+        edge = 0.5 - np.abs(u)
+        k = np.floor((2 * a / edge + wide) * u + size * p + 0.5)
+        inside = (k >= 0) & (k <= size)
+        sure = inside & (edge >= 0.07) & (v <= 0.92 - 4.2 / wide)
+        k = np.clip(k, 0, size)
+        mode, odds = np.floor((size + 1) * p), p / (1 - p)
+        height = np.log(v * (2.83 + 5.1 / wide) * spread / (a / (edge * edge) + wide))
+        chance = (mode + 0.5) * np.log((mode + 1) / (odds * (size - mode + 1))) + (size + 1) * np.log1p((k - mode) / (size - k + 1))
+        chance += (k + 0.5) * np.log(odds * (size - k + 1) / (k + 1)) + _tail(mode) + _tail(size - mode) - _tail(k) - _tail(size - k)
+        taken = sure | (inside & (height <= chance))
+        out[todo[taken]] = k[taken].astype(np.int64)
+        todo, slot = todo[~taken], slot + 2
+    return out
 
 
 #: 2^31 - 1 times the chance that a Poisson number of mean 1 is at most 0, 1, 2, ...

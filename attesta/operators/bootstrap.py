@@ -1,8 +1,9 @@
 """Cluster bootstrap by integer weights, and multiple testing.
 
 A resample is a weight for each cluster, drawn by arithmetic that any engine can repeat (:mod:`attesta.functions.draws`).
-Neither rows nor weights are joined or repeated for each draw: a task has the compact counts of a range of scores and
-makes the weights of its resamples itself, one resample at a time.
+Neither rows nor weights are joined or repeated for each draw. Rows are sorted and packed once, by range of scores or of
+clusters; then a task has such a pack and some of the resamples, and makes the weights of each resample itself, once for
+all groups in the pack and for those ranges of clusters that it has rows of.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ from pyspark.sql import functions as F
 from attesta.functions import draws
 from attesta.functions.columns import ratio
 from attesta.operators.ranking import auroc, auroc_of_counts, bucket, score_counts, score_cuts
+from attesta.sources.scratch import written
 
-#: Clusters of a multinomial resample at most: a task holds a count for each. Beyond, weights are drawn by themselves.
-MOST_CLUSTERS = 1 << 24
 #: Rows of a task: several times the clusters, whose weights each task draws anew, within these bounds.
 TASK_ROWS = (1 << 16, 1 << 22)
 
@@ -43,19 +43,18 @@ def dense_index(df: DataFrame, key: str, into: str = "idx", order=None) -> DataF
 class Resamples:
     """``reps`` resamples of the clusters of a frame, with replacement; null clusters are left out.
 
-    multinomial draws as many clusters as there are, up to ``MOST_CLUSTERS``. poisson draws each cluster's weight by
-    itself from a hash of the cluster, for any number of them. Tables over the same clusters can share one.
+    multinomial draws as many clusters as there are; a task draws the ranges of clusters that it has rows of only
+    (:func:`attesta.functions.draws.range_totals`). poisson draws each cluster's weight by itself from a hash of the
+    cluster. Clusters are numbered in a table, written once. Tables over the same clusters can share one.
     """
 
-    def __init__(self, df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial"):
-        self.cluster, self.reps, self.seed, self.method = cluster, reps, seed, method
+    def __init__(self, df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial", block: int = draws.BLOCK):
+        self.cluster, self.reps, self.seed, self.method, self.block = cluster, reps, seed, method, block
         if method == "poisson":
             self.index, self.n = None, None
         else:
-            self.index = dense_index(df, cluster, "_k")
+            self.index = written(dense_index(df, cluster, "_k"), "clusters")
             self.n = self.index.count()
-            if self.n > MOST_CLUSTERS:
-                raise ValueError(f"{self.n} clusters: method='poisson' is for more than {MOST_CLUSTERS}")
 
     def placed(self, df: DataFrame) -> DataFrame:
         """``df`` with _k and _l, which name its cluster."""
@@ -66,38 +65,53 @@ class Resamples:
         return known.withColumns({"_k": part(1), "_l": part(8)})
 
     def weights(self):
-        """A function, for use in tasks: of a resample, the function of (_k, _l) that gives weights."""
-        seed, n = self.seed, self.n
+        """A function, for use in tasks: of some resamples and of the rows' (_k, _l), the rows' weights, a resample at a time."""
+        seed, n, size = self.seed, self.n, self.block
 
-        def of(rep):
+        def of(own: range, k: np.ndarray, l: np.ndarray):  # noqa: E741
             if n is None:
-                return lambda k, l: draws.poisson(rep, seed, k, l)  # noqa: E741
-            counts = draws.multinomial(rep, seed, n)
-            return lambda k, _: counts[k]
+                for rep in own:
+                    yield draws.poisson(rep, seed, k, l).astype(np.int32)
+                return
+            block = k // size
+            order = np.argsort(block, kind="stable")
+            present, begin = np.unique(block[order], return_index=True)
+            if not len(present):
+                yield from (np.zeros(0, np.int32) for _ in own)
+                return
+            totals = draws.range_totals(own, seed, n, int(present[0]), int(present[-1]) + 1, size)
+            for rep, total in zip(own, totals, strict=True):
+                counts = [draws.range_counts(rep, seed, n, b, total[b - present[0]], size).astype(np.int32) for b in present.tolist()]
+                if len(counts) == 1:
+                    yield counts[0][k - present[0] * size if present[0] else k]
+                    continue
+                w = np.empty(len(k), np.int32)
+                for c, b, rows in zip(counts, present.tolist(), np.split(order, begin[1:]), strict=True):
+                    w[rows] = c[k[rows] - b * size]
+                yield w
 
         return of
 
-    def dealt(self, df: DataFrame, groups: int) -> tuple[DataFrame, int]:
-        """``df`` once for each part of the resamples, with its number _part; and the resamples of a part."""
-        slots = 2 * df.sparkSession.sparkContext.defaultParallelism
-        size = ceil(self.reps / min(self.reps, max(1, ceil(slots / max(groups, 1)))))
-        parts = F.sequence(F.lit(0), F.lit(ceil(self.reps / size) - 1))
-        return df.withColumn("_part", F.explode(parts)), size
+    def dealt(self, packs: DataFrame, count: int) -> tuple[DataFrame, int]:
+        """About ``count`` ``packs``, each once for each part of the resamples, with its number _part; and the resamples of a part."""
+        slots = 2 * packs.sparkSession.sparkContext.defaultParallelism
+        size = ceil(self.reps / min(self.reps, max(1, ceil(slots / max(count, 1)))))
+        parts = ceil(self.reps / size)
+        return packs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(slots, parts * count)), size
 
     def task_rows(self) -> int:
-        return TASK_ROWS[0] if self.n is None else min(max(TASK_ROWS[0], 5 * self.n), TASK_ROWS[1])
+        return TASK_ROWS[0] if self.n is None else min(max(TASK_ROWS[0], 8 * self.n), TASK_ROWS[1])
 
 
-def cluster_weights(df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial") -> DataFrame:
+def cluster_weights(df: DataFrame, cluster: str, reps: int, seed=42, method: str = "multinomial", block: int = draws.BLOCK) -> DataFrame:
     """(rep, cluster, w) of the :class:`Resamples`, clusters of weight 0 left out: a table, for those who want one."""
-    r = Resamples(df, cluster, reps, seed, method)
+    r = Resamples(df, cluster, reps, seed, method, block)
     weigh = r.weights()
 
     def run(batches):
         for batch in batches:
             k, l = (batch.column(i).to_numpy() for i in (1, 2))  # noqa: E741
-            for rep in range(reps):
-                w = weigh(rep)(k, l)
+            for rep, w in enumerate(weigh(range(reps), k, l)):
                 kept = np.flatnonzero(w)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(kept), rep, np.int32)), batch.column(0).take(pa.array(kept)), pa.array(w[kept].astype(np.int64))], ["rep", cluster, "w"])
 
@@ -136,49 +150,56 @@ def holm(df: DataFrame, family: list[str], p: str, into: str = "p_holm") -> Data
     return out.select(*df.columns, into).unionByName(unknown.withColumn(into, F.lit(None).cast("double")))
 
 
-def _schema(df: DataFrame, columns: list[str]) -> str:
-    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
+def _sized(df: DataFrame, group: list[str]) -> tuple[int, int]:
+    """(rows, rows of the largest group)."""
+    n, most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    return n or 0, most or 0
 
 
-def _sized(df: DataFrame, group: list[str]) -> tuple[int, int]:
-    """(groups, rows of the largest)."""
-    n, most = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
-    return n, most or 0
+def _codes(t: pa.Table, group: list[str]) -> np.ndarray:
+    """A number for each combination of the groups' values, nulls being values too."""
+    code = np.zeros(t.num_rows, np.int64)
+    for c in group:
+        d = t[c].combine_chunks().dictionary_encode()
+        code = code * (len(d.dictionary) + 1) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
+        _, code = np.unique(code, return_inverse=True)
+    return code
 
 
-def _packed(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """(keys, values): the values of the rows of a batch with the same keys as the bytes of an array each, so that rows
-    need no sorting and no copies of their own on their way to a task."""
+def _pack_schema(df: DataFrame, group: list[str]) -> str:
+    return "".join(f"`{c}` array<{df.schema[c].dataType.simpleString()}>, " for c in group)
 
-    def run(batches):
-        for batch in batches:
-            code = np.zeros(batch.num_rows, np.int64)
-            for i in range(len(keys)):
-                d = batch.column(i).dictionary_encode()
-                code = code * (len(d.dictionary) + 1) + d.indices.fill_null(len(d.dictionary)).to_numpy(zero_copy_only=False)
-            order = np.argsort(code, kind="stable")
-            begin = np.flatnonzero(np.diff(code[order], prepend=-1))
-            end = [*begin[1:], len(order)]
-            arrays = [batch.column(len(keys) + i).to_numpy(zero_copy_only=False)[order] for i in range(len(values))]
-            first = pa.array(order[begin])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(first) for i in range(len(keys))), *(pa.array([x[s:e].tobytes() for s, e in zip(begin, end, strict=True)], pa.binary()) for x in arrays)], [*keys, *values])
 
-    return df.select(*keys, *values).mapInArrow(run, _schema(df, keys) + ", ".join(f"`{v}` binary" for v in values))
+def _values(t: pa.Table, group: list[str], rows: np.ndarray) -> list[pa.Array]:
+    """The groups' values at the rows, as one list a column."""
+    return [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), t[c].combine_chunks().take(pa.array(rows))) for c in group]
+
+
+def _bytes(*arrays: np.ndarray) -> list[pa.Array]:
+    return [pa.array([x.tobytes()], pa.binary()) for x in arrays]
+
 
+def _groups_of(batch: pa.RecordBatch, i: int, group: list[str], reps: int) -> list[pa.Array]:
+    """The groups' values of pack ``i`` of a batch, repeated for each resample."""
+    lists = [batch.column(g).slice(i, 1).flatten() for g in range(len(group))]
+    return [x.take(pa.array(np.tile(np.arange(len(x)), reps))) for x in lists]
 
-def _unpacked(t: pa.Table, name: str, kind) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x, kind) for x in t[name].to_pylist()])
+
+def _repeated(group: list[str], df: DataFrame, body: str) -> str:
+    return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in group) + body
 
 
 def _replicates(known: DataFrame, group: list[str], r: Resamples, label: str, score: str, size: tuple[int, int]) -> DataFrame:
     """(group, rep, auroc) of rows with a known label and score.
 
     Scores are cut into ranges by quantiles; a score that many rows share is a range of its own, whose rows can be
-    parted at will. A task gives each of its resamples' wins inside its range and its sums of both classes, and the
-    few ranges are put together at the end.
+    parted at will. The same range of several groups is one pack: its rows sorted by group, score, class and cluster, those
+    alike as one with a count. A task gives each of its resamples' wins inside the ranges of its pack and its sums of
+    both classes, and the few ranges are put together at the end.
     """
-    groups, most = size
-    ranges = ceil(most / r.task_rows())
+    total, most = size
+    ranges = max(1, ceil(most / r.task_rows()))
+    bundles = max(1, ceil(total / ranges / r.task_rows()))
     cols = [F.col(score).cast("double").alias("_score"), F.col(label).cast("boolean").cast("double").alias("_yes")]
     placed = r.placed(known).select(*group, "_k", "_l", *cols)
     if ranges > 1:
@@ -189,43 +210,53 @@ def _replicates(known: DataFrame, group: list[str], r: Resamples, label: str, sc
         placed = placed.withColumn("_salt", F.when(same > 1, F.pmod(F.xxhash64("_k", "_l"), same)).otherwise(0).cast("int"))
     else:
         placed = placed.withColumns({"_r": F.lit(0), "_salt": F.lit(0)})
-    packed = _packed(placed, [*group, "_r", "_salt"], ["_k", "_l", "_score", "_yes"])
-    dealt, per = r.dealt(packed, groups * ranges)
+    placed = placed.withColumn("_bundle", (F.pmod(F.xxhash64(*group), F.lit(bundles)) if group else F.lit(0)).cast("int"))
+
+    def packed(key, t):
+        code = _codes(t, group)
+        k, l, score, yes = (t[c].to_numpy() for c in ("_k", "_l", "_score", "_yes"))  # noqa: E741
+        order = np.lexsort((l, k, yes, score, code))
+        code, k, l, score, yes = (x[order] for x in (code, k, l, score, yes))  # noqa: E741
+        group_new = np.diff(code, prepend=-1) != 0
+        score_new = group_new | (np.diff(score, prepend=0.0) != 0)
+        side_new = score_new | (np.diff(yes, prepend=-1.0) != 0)
+        new = np.flatnonzero(side_new | (np.diff(k, prepend=-1) != 0) | (np.diff(l, prepend=-1) != 0))
+        count = np.diff(np.append(new, len(k)))
+        cell = np.cumsum(score_new) - 1  # the number of each row's group and score
+        first = np.flatnonzero(side_new[new])
+        at = new[first]
+        none = np.zeros(0, np.int64)
+        arrays = _bytes(k[new].astype(np.int64), none if n is not None else l[new].astype(np.int64), none if (count == 1).all() else count.astype(np.int64), first, cell[at], yes[at] == 1, cell[np.flatnonzero(group_new)])
+        return pa.table([*_values(t, group, order[np.flatnonzero(group_new)]), pa.array([key[1].as_py()], pa.int32()), *arrays], [*group, "_r", *PACK])
+
+    n = r.n
+    PACK = ["_k", "_l", "_times", "_first", "_cell", "_side", "_begin"]
+    packs = placed.groupBy("_bundle", "_r", "_salt").applyInArrow(packed, _pack_schema(placed, group) + "_r int, " + ", ".join(f"{c} binary" for c in PACK))
+    dealt, per = r.dealt(packs, ranges * bundles)
     weigh, reps, wide = r.weights(), r.reps, len(group)
 
-    def run(key, t):
-        k, l, score, yes = (_unpacked(t, c, kind) for c, kind in (("_k", np.int64), ("_l", np.int64), ("_score", np.float64), ("_yes", np.float64)))  # noqa: E741
-        order = np.lexsort((l, k, yes, score))
-        k, l, score, yes = (x[order] for x in (k, l, score, yes))  # noqa: E741
-        # rows of one cluster, score and class count as one
-        new = np.ones(len(k), bool)
-        new[1:] = (np.diff(k) != 0) | (np.diff(l) != 0) | (np.diff(score) != 0) | (np.diff(yes) != 0)
-        begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(k)))
-        k, l, score, yes = (x[begin] for x in (k, l, score, yes))  # noqa: E741
-        place = np.cumsum(np.diff(score, prepend=score[:1]) != 0)  # the number of each row's score
-        sides = []
-        for side in (1, 0):
-            rows = np.flatnonzero(yes == side)
-            first = np.flatnonzero(np.diff(place[rows], prepend=-1))
-            sides.append((k[rows], l[rows], None if (count[rows] == 1).all() else count[rows], first, place[rows][first]))
-        own = range(key[-1].as_py() * per, min(reps, (key[-1].as_py() + 1) * per))
-        out = np.zeros((3, len(own)))
-        for i, rep in enumerate(own):
-            w = weigh(rep)
-            sums = np.zeros((2, place[-1] + 1))
-            for to, (ks, ls, times, first, at) in zip(sums, sides, strict=True):
-                if len(ks):
-                    drawn = w(ks, ls)
-                    to[at] = np.add.reduceat(drawn if times is None else drawn * times, first)
-            p, n = sums
-            below = np.cumsum(n) - n
-            out[:, i] = (p * (below + n / 2)).sum(), p.sum(), n.sum()
-        same = [pa.array([x.as_py()] * len(own), x.type) for x in key[: wide + 1]]
-        return pa.table([*same, pa.array(own, pa.int32()), *map(pa.array, out)], [*group, "_r", "rep", "_w", "_p", "_n"])
-
-    schema = _schema(dealt, group) + "_r int, rep int, _w double, _p double, _n double"
-    found = dealt.groupBy(*group, "_r", "_salt", "_part").applyInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = [batch.column(wide + 1 + c)[i].as_py() for c in range(len(PACK))]
+                k, l, times, first, cell, begin = (np.frombuffer(raw[c], np.int64) for c in (0, 1, 2, 3, 4, 6))  # noqa: E741
+                side = np.frombuffer(raw[5], bool)
+                part = batch.column(batch.num_columns - 1)[i].as_py()
+                own = range(part * per, min(reps, (part + 1) * per))
+                sums, out = np.zeros((2, cell[-1] + 1)), np.zeros((3, len(own), len(begin)))
+                spans = np.diff(np.append(begin, cell[-1] + 1))
+                for j, w in enumerate(weigh(own, k, l)):
+                    found = np.add.reduceat(w * times if len(times) else w, first, dtype=np.int64)
+                    sums[0, cell[side]], sums[1, cell[~side]] = found[side], found[~side]
+                    p, q = sums
+                    below = np.cumsum(q) - q
+                    below -= np.repeat(below[begin], spans)
+                    out[:, j] = [np.add.reduceat(x, begin) for x in (p * (below + q / 2), p, q)]
+                rep = np.repeat(np.array(own, np.int32), len(begin))
+                same = pa.array(np.full(len(rep), batch.column(wide)[i].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays([*_groups_of(batch, i, group, len(own)), same, pa.array(rep), *(pa.array(x.ravel()) for x in out)], [*group, "_r", "rep", "_w", "_p", "_n"])
+
+    found = dealt.mapInArrow(run, _repeated(group, placed, "_r int, rep int, _w double, _p double, _n double"))
     # the parts of a range of one score have no wins over one another but ties
     found = found.groupBy(*group, "rep", "_r").agg(F.sum("_w").alias("_w"), F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
     found = found.withColumn("_w", F.when(F.col("_r") % 2 == 1, F.col("_p") * F.col("_n") / 2).otherwise(F.col("_w")))
@@ -243,7 +274,7 @@ def _join(a: DataFrame, b: DataFrame, group: list[str], how: str = "left") -> Da
 
 def cluster_auroc_ci(df: DataFrame, group: list[str], cluster: str, label: str, score: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
     """(group, auroc, ci_lo, ci_hi, n, n_clusters, n_pos, n_neg, n_skipped): resamples without both classes are skipped and counted."""
-    known = df.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
+    known = written(df.filter(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*dict.fromkeys([*group, cluster, label, score])), "known")
     r = resamples or Resamples(known, cluster, reps, seed)
     point = auroc_of_counts(score_counts(known, group, label, score), group, score)
     size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(cluster).alias("n_clusters"))
@@ -254,45 +285,63 @@ def cluster_auroc_ci(df: DataFrame, group: list[str], cluster: str, label: str,
 
 def cluster_paired_diff(df: DataFrame, group: list[str], cluster: str, label: str, a: str, b: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
     """(group, n, auroc_a, auroc_b, delta, ci_lo, ci_hi, p_value) of two scores on the same rows and resamples."""
-    known = df.filter(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull())
+    known = written(df.filter(F.col(label).isNotNull() & F.col(a).isNotNull() & F.col(b).isNotNull()).select(*dict.fromkeys([*group, cluster, label, a, b])), "known")
     long = known.select(*group, cluster, label, F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(a).alias("score")), F.struct(F.lit("b").alias("side"), F.col(b).alias("score")))).alias("s"))
     long = long.select(*group, cluster, label, "s.side", "s.score")
     r = resamples or Resamples(known, cluster, reps, seed)
     sides = lambda d: d.groupBy(*[c for c in d.columns if c not in ("side", "auroc", "n_pos", "n_neg")]).pivot("side", ["a", "b"]).agg(F.first("auroc"))
     point = sides(auroc(long, [*group, "side"], label, "score").drop("n_pos", "n_neg"))
-    groups, most = _sized(known, group)
-    found = sides(_replicates(long, [*group, "side"], r, label, "score", (2 * groups, most))).withColumn("delta", F.col("a") - F.col("b"))
+    total, most = _sized(known, group)
+    found = sides(_replicates(long, [*group, "side"], r, label, "score", (2 * total, most))).withColumn("delta", F.col("a") - F.col("b"))
     size = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
     point = point.select(*group, F.col("a").alias("auroc_a"), F.col("b").alias("auroc_b"), (F.col("a") - F.col("b")).alias("delta"))
     return _join(_join(point, size, group), percentile_ci(found, group, "delta", ci, p_value=_two_sided("delta")), group)
 
 
 def resampled_sums(parts: DataFrame, group: list[str], r: Resamples, values: list[str]) -> DataFrame:
-    """(group, rep, values): weighted sums of the values over each resample. Groups of many clusters are parted."""
-    groups, most = _sized(parts, group)
-    salts = ceil(most / r.task_rows())
-    placed = r.placed(parts).withColumn("_salt", F.pmod(F.xxhash64("_k", "_l"), F.lit(max(salts, 1))).cast("int"))
-    packed = _packed(placed.withColumns({v: F.col(v).cast("double") for v in values}), [*group, "_salt"], ["_k", "_l", *values])
-    dealt, per = r.dealt(packed, groups * salts)
-    weigh, reps, wide = r.weights(), r.reps, len(group)
+    """(group, rep, values): weighted sums of the values over each resample.
 
-    def run(key, t):
-        k, l = (_unpacked(t, c, np.int64) for c in ("_k", "_l"))  # noqa: E741
-        sides = np.stack([_unpacked(t, v, np.float64) for v in values], 1)
-        own = range(key[-1].as_py() * per, min(reps, (key[-1].as_py() + 1) * per))
-        out = np.stack([weigh(rep)(k, l).astype(np.float64) @ sides for rep in own], 1)
-        same = [pa.array([x.as_py()] * len(own), x.type) for x in key[:wide]]
-        return pa.table([*same, pa.array(own, pa.int32()), *map(pa.array, out)], [*group, "rep", *values])
+    A pack has the rows of a range of clusters, so that a task draws the weights of that range only, once for its groups.
+    """
+    total, _ = _sized(parts, group)
+    blocks = 1 if r.n is None else max(1, ceil(r.n / r.block))
+    salts = max(1, ceil(total / blocks / r.task_rows()))
+    placed = r.placed(parts).withColumns({v: F.col(v).cast("double") for v in values})
+    placed = placed.withColumns({"_block": (F.floor(F.col("_k") / r.block) if r.n is not None else F.lit(0)).cast("int"), "_salt": F.pmod(F.xxhash64(*group, "_k", "_l"), F.lit(salts)).cast("int")})
+    wide, names = len(group), ["_k", "_l", "_begin", "_sides"]
+
+    def packed(t):
+        code = _codes(t, group)
+        k, l = (t[c].to_numpy() for c in ("_k", "_l"))  # noqa: E741
+        sides = np.stack([t[v].to_numpy() for v in values], 1)
+        order = np.lexsort((*sides.T, l, k, code))
+        begin = np.flatnonzero(np.diff(code[order], prepend=-1))
+        arrays = _bytes(k[order].astype(np.int64), l[order].astype(np.int64), begin, sides[order])
+        return pa.table([*_values(t, group, order[begin]), *arrays], [*group, *names])
+
+    packs = placed.select(*group, "_k", "_l", *values, "_block", "_salt").groupBy("_block", "_salt").applyInArrow(lambda t: packed(t), _pack_schema(placed, group) + ", ".join(f"{c} binary" for c in names))
+    dealt, per = r.dealt(packs, blocks * salts)
+    weigh, reps = r.weights(), r.reps
 
-    schema = _schema(dealt, group) + "rep int, " + ", ".join(f"`{v}` double" for v in values)
-    found = dealt.groupBy(*group, "_salt", "_part").applyInArrow(run, schema)
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                k, l, begin = (np.frombuffer(batch.column(wide + c)[i].as_py(), np.int64) for c in range(3))  # noqa: E741
+                sides = np.frombuffer(batch.column(wide + 3)[i].as_py(), np.float64).reshape(len(k), len(values))
+                part = batch.column(batch.num_columns - 1)[i].as_py()
+                own = range(part * per, min(reps, (part + 1) * per))
+                out = np.stack([np.add.reduceat(sides * w[:, None], begin, axis=0) for w in weigh(own, k, l)])
+                rep = np.repeat(np.array(own, np.int32), len(begin))
+                yield pa.RecordBatch.from_arrays([*_groups_of(batch, i, group, len(own)), pa.array(rep), *(pa.array(out[:, :, v].ravel()) for v in range(len(values)))], [*group, "rep", *values])
+
+    found = dealt.mapInArrow(run, _repeated(group, placed, "rep int, " + ", ".join(f"`{v}` double" for v in values)))
     return found.groupBy(*group, "rep").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def cluster_mean_ci(df: DataFrame, group: list[str], cluster: str, value: str, reps: int = 10_000, seed=42, ci: float = 0.95, resamples: Resamples | None = None) -> DataFrame:
     """(group, mean, ci_lo, ci_hi, n, n_clusters) of a value for each row."""
     known = df.filter(F.col(value).isNotNull())
-    parts = known.groupBy(*group, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("c"))
+    parts = written(known.groupBy(*group, cluster).agg(F.sum(F.col(value).cast("double")).alias("s"), F.count(F.lit(1)).alias("c")), "sums")
     r = resamples or Resamples(known, cluster, reps, seed)
     found = resampled_sums(parts, group, r, ["s", "c"]).withColumn("v", ratio("s", "c"))
     point = parts.groupBy(*group).agg(ratio(F.sum("s"), F.sum("c")).alias("mean"), F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_clusters"))

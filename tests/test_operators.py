@@ -9,6 +9,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -272,17 +273,18 @@ def brute_weighted(rows):
     return wins / total if total else None
 
 
-@pytest.mark.parametrize("method,task_rows", [("multinomial", None), ("multinomial", 7), ("poisson", 7)])
-def test_resamples_match_brute_force(spark, monkeypatch, method, task_rows):
+@pytest.mark.parametrize("method,task_rows,block", [("multinomial", None, 1 << 18), ("multinomial", 7, 1 << 18), ("multinomial", None, 4), ("multinomial", 7, 2), ("poisson", 7, 4)])
+def test_resamples_match_brute_force(spark, monkeypatch, method, task_rows, block):
     draw = random.Random(5)
     rows = [(g, f"c{draw.randrange(9)}", draw.random() < 0.5, draw.choice([0.0, 0.0, 0.0, 0.25, 0.5, 0.75, 1.0, 1.0])) for g in (1, 2) for _ in range(45)]
     df = spark.createDataFrame(rows, "g int, c string, y boolean, s double")
     if task_rows:
         monkeypatch.setattr(boot, "TASK_ROWS", (task_rows, task_rows))
-    r = boot.Resamples(df, "c", 12, 3, method)
+    r = boot.Resamples(df, "c", 12, 3, method, block)
     weights = {}
-    for x in boot.cluster_weights(df, "c", 12, 3, method).collect():
+    for x in boot.cluster_weights(df, "c", 12, 3, method, block).collect():
         weights.setdefault(x.rep, {})[x.c] = x.w
+    assert method == "poisson" or all(sum(w.values()) == r.n for w in weights.values())
     got = {(x.g, x.rep): x.auroc for x in boot._replicates(df, ["g"], r, "y", "s", boot._sized(df, ["g"])).collect()}
     want = {(g, rep): brute_weighted([(c, y, s, weights[rep].get(c, 0)) for h, c, y, s in rows if h == g]) for g in (1, 2) for rep in range(12)}
     assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
@@ -291,6 +293,52 @@ def test_resamples_match_brute_force(spark, monkeypatch, method, task_rows):
     assert {k: v for k, v in sums.items() if v} == pytest.approx({k: v for k, v in total.items() if v})
 
 
+def chi_square(found, want):
+    """The statistic over its expectation, for counts whose expected numbers are large enough."""
+    kept = want > 5
+    return ((found - want)[kept] ** 2 / want[kept]).sum() / (kept.sum() - 1)
+
+
+@pytest.mark.parametrize("n,p", [(7, 0.3), (60, 0.6), (2000, 0.004), (2000, 0.4), (100_000, 0.25)])
+def test_binomial_law(n, p):
+    k = np.arange(100_000, dtype=np.uint64) * np.uint64(7919)
+    m, b = draws.numbers(3, 5, k), draws.numbers(11, 17, k)
+    found = draws.binomial(np.full(len(k), n), p, m, b)
+    chance = np.array([math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(n + 1)])
+    width = max(1, int(math.sqrt(n * p * (1 - p)) / 4))
+    assert chi_square(np.bincount(found // width, minlength=n // width + 1), np.bincount(np.arange(n + 1) // width, chance) * len(k)) < 2
+    assert (draws.binomial(np.full(len(k), n), p, m, b) == found).all()
+
+
+def test_split_draws():
+    """A range drawn alone is that of the whole; the weights have the law of those drawn in one range."""
+    n, reps = 4000, range(60)
+    whole = np.stack([draws.multinomial(r, 9, n, 256) for r in reps])
+    assert (whole.sum(axis=1) == n).all()
+    for first, last in ((0, 1), (3, 7), (15, 16)):
+        totals = draws.range_totals(reps, 9, n, first, last, 256)
+        for i in range(first, last):
+            assert all((draws.range_counts(r, 9, n, i, t, 256) == w[i * 256 : (i + 1) * 256]).all() for r, t, w in zip(reps, totals[:, i - first], whole, strict=True))
+    one = np.stack([draws.multinomial(r, 9, n) for r in reps])
+    law = np.array([math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - i * math.log(n) + (n - i) * math.log1p(-1 / n)) for i in range(9)]) * n * len(reps)
+    assert all(chi_square(np.bincount(x.ravel(), minlength=9)[:9], law) < 3 for x in (whole, one))
+    # a pair of clusters in different ranges and one in the same range are as often drawn together
+    assert np.cov(whole[:, 0:256].sum(axis=1), whole[:, 256:512].sum(axis=1))[0, 1] < 60
+    with duckdb.connect() as con:
+        sql = f"select rep, idx, count(*) from ({draws.draws_sql(draws.keys_sql(3, 9), '40')}) group by 1, 2"
+        assert {(r, i): c for r, i, c in con.sql(sql).fetchall()} == {(r, i): int(c) for r in range(3) for i, c in enumerate(draws.multinomial(r, 9, 40)) if c}
+
+
+def test_draws_of_many_clusters():
+    n = 1 << 26
+    totals = draws.range_totals([0, 1], 5, n, 0, 256)
+    assert totals.shape == (2, 256) and (totals.sum(axis=1) == n).all() and (totals[0] != totals[1]).any()
+    assert abs(totals - (1 << 18)).max() < 6 * 512
+    assert (draws.range_totals([1], 5, n, 200, 202)[0] == totals[1, 200:202]).all()
+    counts = draws.range_counts(1, 5, n, 201, int(totals[1, 201]))
+    assert counts.sum() == totals[1, 201] and len(counts) == 1 << 18 and 0.98 < counts.var() < 1.02
+
+
 def test_an_interval_at_the_published_resamples(spark):
     draw = random.Random(8)
     rows = [(i, draw.random() < 0.4, draw.choice([0.1, 0.2, 0.3, 0.4])) for i in range(30) for _ in range(2)]
@@ -350,7 +398,7 @@ def test_flip_influence_is_exact(spark):
     rng = random.Random(4)
     rows = [(i, rng.random() < 0.5, rng.randint(0, 5) / 5) for i in range(30)]
     for r in dg.flip_influence(spark.createDataFrame(rows, "i int, label boolean, score double"), []).collect():
-        flipped = [(y != (i == r.i), s) for i, y, s in rows]
+        flipped = [(i, y != (i == r.i), s, 1) for i, y, s in rows]
         assert abs(r.auroc + r.flip_change - brute_weighted(flipped)) < 1e-12
 
 
