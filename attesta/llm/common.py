@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,23 +18,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of whole texts, or of sets as large as these, that go to a Python worker at a time.
+#: Rows of whole texts, or of sets as large as these, that a Python worker takes at a time.
 BATCH_ROWS = 1024
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes that pass through a task before it gives free memory back.
+RELEASE_BYTES = 64 << 20
+#: What workers keep from task to task, by the name of its module.
+KEPT: dict[str, dict] = {}
+
+
+def release() -> None:
+    """Gives what Python, Arrow and the C library hold free back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(run, *keeps: str):
+    """``run`` for ``mapInArrow``, in batches of at most ``BATCH_ROWS`` rows.
+
+    A worker waits for its next task with all the memory that it has taken, and the JVM beside it needs room. So free
+    memory goes back to the system on the way and at the end, and what other operators than ``keeps`` left is dropped.
+    """
+
+    def task(batches):
+        for name, cache in KEPT.items():
+            if name not in keeps:
+                cache.clear()
+
+        def pieces():
+            passed = 0
+            for batch in batches:
+                for i in range(0, batch.num_rows, BATCH_ROWS):
+                    yield batch.slice(i, BATCH_ROWS)
+                passed += batch.nbytes
+                if passed > RELEASE_BYTES:
+                    passed = 0
+                    release()
 
+        try:
+            yield from run(pieces())
+        finally:
+            release()
 
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of ``BATCH_ROWS`` rows from now on, unless the session sets its own number: Spark's 10,000 rows of
-    whole texts are held several times over, as text, as Arrow data on both sides and as what is made of them."""
-    if spark.conf.get(_BATCH, None) is None:
-        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return task
+
+
+#: Bytes of a row group that a writer of scratch tables holds.
+GROUP_BYTES = 32 << 20
 
 
 def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Cuts lineage: writes ``df`` as a table in the shared folder and reads it back."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    writer = df.write if compression is None else df.write.option("compression", compression)
+    writer = df.write.option("parquet.block.size", GROUP_BYTES)
+    writer = writer if compression is None else writer.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +94,24 @@ def numbered_rows(df: DataFrame) -> DataFrame:
     return written(df.select(F.monotonically_increasing_id().alias("row"), as_struct(df).alias("doc")), "rows")
 
 
+#: Words of marks that are broadcast: about 50 MB of them, for 67 million rows.
+MARK_WORDS = 1 << 20
+
+
+def marked(rows: DataFrame) -> DataFrame:
+    """(word, bits) of the numbers ``row``, written: a bit for each of 64 neighbouring numbers."""
+    bit = F.expr("shiftleft(1L, cast(row & 63 as int))")
+    return written(rows.groupBy(F.shiftright("row", 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "marks")
+
+
+def of_marked(df: DataFrame, marks: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose number ``row`` is marked. Up to ``MARK_WORDS`` words of marks go to every task, so that rows
+    with whole texts stay where they are; more are joined."""
+    few = marks.count() <= MARK_WORDS
+    met = df.join(F.broadcast(marks) if few else marks, F.shiftright("row", 6) == F.col("word"))
+    return met.filter("shiftright(bits, cast(row & 63 as int)) & 1L = 1L").select(df.columns)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without the columns that an operator is about to add: its own take the place of any of that name."""
     taken = {n.lower() for n in names}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bound_batches, chunks, need, padded, ragged, same_spans, span_hash, spans, table, written
+from attesta.llm.common import KEPT, chunks, lean, need, padded, ragged, same_spans, span_hash, spans, table, written
 
 WINDOW = 10
 #: Text of a shard that is held as arrays at once, and of the test items in one pass over the documents.
@@ -294,12 +294,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     passes = _passes(benchmark, item_col, item_text, pass_bytes)
     items, more = next(passes), next(passes, None)
     if more is None:
-        found = src.mapInArrow(_judge(_shared(spark, items), window, matches), wanted(kind, f", matches {MATCH}" if matches else ""))
+        found = src.mapInArrow(lean(_judge(_shared(spark, items), window, matches), "decontaminate"), wanted(kind, f", matches {MATCH}" if matches else ""))
     else:
         src, parts = written(src.withColumn("row", F.monotonically_increasing_id()), "rows"), []
         while items is not None:  # one list of items at a time in the driver and the workers
             shared = _shared(spark, items)
-            parts.append(written(src.mapInArrow(_judge(shared, window, True), wanted(kind, f", matches {MATCH}")), "pass"))
+            parts.append(written(src.mapInArrow(lean(_judge(shared, window, True), "decontaminate"), wanted(kind, f", matches {MATCH}")), "pass"))
             shared.destroy()
             items, more = more, next(passes, None)
         found = parts[0]
@@ -327,15 +327,16 @@ def _shared(spark: SparkSession, items: list):
 
 
 #: The last test set that this worker has built, by the name of its broadcast.
-_BUILT: list = [None, None]
+_BUILT: dict = {}
+KEPT["decontaminate"] = _BUILT
 
 
 def _tests(shared, window: int) -> TestSet:
     name, items = shared.value
-    if _BUILT[0] != (name, window):
-        _BUILT[:] = [None, None]
-        _BUILT[:] = [(name, window), TestSet(items, window)]
-    return _BUILT[1]
+    if (name, window) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, window] = TestSet(items, window)
+    return _BUILT[name, window]
 
 
 def _texts(column: pa.Array) -> list[bytes]:
@@ -384,13 +385,12 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
     The cases of :func:`contamination` hold. Further passes, where there are any, each write the rows still clean.
     """
     need(docs, text_col)
-    bound_batches(docs.sparkSession)
     passes = _passes(benchmark, item_col, item_text, pass_bytes)
     items, rest = next(passes), docs
     while items is not None:
         more = next(passes, None)
         shared = _shared(docs.sparkSession, items)
-        rest = rest.mapInArrow(_clean(shared, rest.columns.index(text_col), window), rest.schema)
+        rest = rest.mapInArrow(lean(_clean(shared, rest.columns.index(text_col), window), "decontaminate"), rest.schema)
         if more is not None:
             rest = written(rest, "clean")
             shared.destroy()

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attesta.llm.common import bound_batches, chunks, need, table, texts_of, whole_text
+from attesta.llm.common import chunks, lean, need, table, texts_of, whole_text
 from attesta.llm.tokens import CHUNK_BYTES, encoder
 
 LENGTH, END_ID = 1024, 0
@@ -121,10 +121,9 @@ def pack(docs: DataFrame, tokenizer: str, drops_space: bool = False, end_id: int
     dealt to tasks; which ids a document has does not.
     """
     need(docs, id_col, text_col)
-    bound_batches(docs.sparkSession)
     kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     schema = SCHEMA.format(kept.schema["doc_id"].dataType.simpleString()) + (", ids array<int>" if with_ids else "")
-    return kept.mapInArrow(_pack(tokenizer, drops_space, end_id, length, with_ids), schema)
+    return kept.mapInArrow(lean(_pack(tokenizer, drops_space, end_id, length, with_ids), "tokens"), schema)
 
 
 def op8_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

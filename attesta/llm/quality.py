@@ -11,16 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from attesta.llm.common import bound_batches, bounded_sample, chunks, drawn, need, padded, span_hash, table, texts_of, without, written
+from attesta.llm.common import bounded_sample, chunks, drawn, lean, need, padded, span_hash, table, texts_of, without, written
 
 #: Bounds of the labelled sample that vectors, network and temperature are fitted on.
 FIT_ROWS, FIT_BYTES = 6000, 24 << 20
 #: Word rows (by hash), dimensions, non-zero places of an index vector, neighbours on each side.
 ROWS, DIMS, PLACES, NEAR = 1 << 14, 64, 4, 2
 HIDDEN, STEPS, RATE, DECAY, SEED = 32, 400, 0.02, 1e-4, 11
-CHUNK_BYTES = 4 << 20
-#: Smaller while fitting, which the driver does.
-FIT_CHUNK = 1 << 20
+#: Text that is held as arrays at once; these take about 100 bytes for each of text.
+CHUNK_BYTES = 1 << 20
 
 SPACE, MARK, DIGIT, UPPER, LOWER = range(5)
 _CLASS = np.full(256, LOWER, np.uint8)
@@ -166,7 +165,7 @@ def fit(texts: list[str], labels: list[int], shapes: bool = True) -> Model:
     """Every fifth text is kept back for the temperature. With one class only, scores are near that class. Without
     ``shapes`` the pooled word vectors are all that the network sees."""
     y = np.array(labels, np.float64)
-    cuts = list(chunks([len(t) for t in texts], FIT_CHUNK))
+    cuts = list(chunks([len(t) for t in texts], CHUNK_BYTES))
     parts = [Tokens(texts[i:j]) for i, j in cuts]
     vectors = word_vectors(parts)
     width = DIMS + 1 + (SHAPES if shapes else 0)
@@ -217,7 +216,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             value = shared.value.scores(texts_of(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array((value >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
+    return kept.mapInArrow(lean(run), StructType([*kept.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -226,7 +225,6 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
     Null and empty texts are judged as texts without words, repeated rows alike, very long texts whole.
     """
     need(docs, text_col)
-    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
@@ -234,7 +232,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFram
         for batch in batches:
             yield batch.filter(pa.array(shared.value.scores(texts_of(batch.column(at))) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

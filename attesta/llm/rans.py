@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from attesta.llm.common import chunks, need, scratch_path, table, texts_of, whole_text, written
+from attesta.llm.common import chunks, lean, need, scratch_path, table, texts_of, whole_text, written
 from attesta.llm.tokens import CHUNK_BYTES, encoder
 
 SCALE, LOW, LANES, BLOCK_IDS, SEGMENT_IDS = 18, 1 << 31, 1024, 1 << 18, 1 << 21
@@ -133,21 +133,24 @@ def unpack_segment(data: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if z else int(d) for d, z in zip(known, null, strict=True)], counts, ids
 
 
-SEGMENTS = "file int, segment int, docs long, ids long, data binary"
+#: ``before``: ids of the file's earlier segments, which its writer knows, so that readers need no more than the files' sums.
+SEGMENTS = "file int, segment int, docs long, ids long, before long, data binary"
+#: Files whose sums are broadcast; more are joined.
+MANY_FILES = 1 << 20
 
 
 def _write(path: str, drops_space: bool, end_id: int):
     def run(batches):
         enc, file, number = encoder(path, drops_space), TaskContext.get().partitionId(), 0
-        names, counts, held, size = [], [], [], 0
+        names, counts, held, size, before = [], [], [], 0, 0
 
         def close():
-            nonlocal names, counts, held, size, number
+            nonlocal names, counts, held, size, number, before
             n = np.array(counts, np.int64)
-            row = [[file], [number], [len(names)], [size], [pack_segment(names, n, np.concatenate(held))]]
-            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            names, counts, held, size, number = [], [], [], 0, number + 1
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["file", "segment", "docs", "ids", "data"])
+            row = [[file], [number], [len(names)], [size], [before], [pack_segment(names, n, np.concatenate(held))]]
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            names, counts, held, size, number, before = [], [], [], 0, number + 1, before + size
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["file", "segment", "docs", "ids", "before", "data"])
 
         for batch in batches:
             texts, keys = texts_of(batch.column(1)), batch.column(0).to_pylist()
@@ -178,22 +181,20 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, drops_space: bool =
     kept = docs.select(F.col(id_col).cast("long").alias("id"), whole_text(text_col).alias("text"), F.xxhash64(text_col, F.monotonically_increasing_id()).alias("salt"))
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text"), F.col("salt")]
     dealt = kept.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt.mapInArrow(_write(tokenizer, drops_space, end_id), SEGMENTS).write.parquet(path)
+    dealt.mapInArrow(lean(_write(tokenizer, drops_space, end_id), "tokens"), SEGMENTS).write.parquet(path)
 
 
-def _places(segments: DataFrame) -> DataFrame:
-    """(file, segment, base): ids before each segment. Only sums for each file meet in one task."""
+def _bases(segments: DataFrame) -> DataFrame:
+    """(file, base): ids of all earlier files. Only sums for each file meet in one task."""
     files = segments.groupBy("file").agg(F.sum("ids").alias("n"))
-    before = files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("before"))
-    inside = Window.partitionBy("file").orderBy("segment")
-    within = segments.select("file", "segment", (F.sum("ids").over(inside) - F.col("ids")).alias("within"))
-    return within.join(before, "file").select("file", "segment", (F.col("within") + F.col("before")).alias("base"))
+    return written(files.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base")), "bases")
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of a token file: doc_id, start, n_tokens, ids_crc32, and ``ids`` if asked for."""
     found = spark.read.schema(SEGMENTS).parquet(path)
-    places = written(_places(found.select("file", "segment", "ids")), "places")
+    bases = _bases(found.select("file", "ids"))
+    bases = F.broadcast(bases) if bases.count() <= MANY_FILES else bases
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
@@ -211,7 +212,8 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                     fields.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, fields)
 
-    return found.select("file", "segment", "data").join(places, ["file", "segment"]).select("data", "base").mapInArrow(run, schema)
+    placed = found.select("file", "before", "data").join(bases, "file").select("data", (F.col("base") + F.col("before")).alias("base"))
+    return placed.mapInArrow(lean(run), schema)
 
 
 def op2_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

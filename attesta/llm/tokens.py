@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-from attesta.llm.common import padded, ragged, same_spans, span_hash
+from attesta.llm.common import KEPT, padded, ragged, same_spans, span_hash
 
 MAX_PIECES = 300_000
 #: Bytes of pieces kept, and ids.
@@ -183,6 +183,7 @@ def _kept(pool: np.ndarray, used: int, flat: np.ndarray, length: np.ndarray) ->
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+KEPT["tokens"] = _ENCODERS
 
 
 def encoder(path: str, drops_space: bool) -> Encoder:
