@@ -54,40 +54,69 @@ def arc_record(version: str, url: str, date: str, content: bytes, name: str = "-
     return line.encode() + b"\n" + content + b"\n"
 
 
-def read_arc(data: bytes):
-    """(fields, content) of each record after the version block; the version block names the fields."""
-    at, fields = 0, None
-    while at < len(data):
-        end = data.find(b"\n", at)
-        if end < 0:
-            raise BadArchive("a header line has no end")
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        if not line:
-            at = end + 1
-            continue
-        values = line.split(" ")
-        if fields is None:
-            version = data[end + 1 : end + 2].decode()
-            if not line.startswith("filedesc://") or version not in ARC_FIELDS:
-                raise BadArchive("no version block")
-            names = ARC_FIELDS[version]
-        else:
-            names = fields
-        if len(values) != len(names):
-            raise BadArchive(f"{len(values)} fields where {len(names)} are declared")
-        record = dict(zip(names, values, strict=True))
-        size = record["Archive-length"]
-        if not size.isdigit() or end + 1 + int(size) > len(data):
-            raise BadArchive("a declared length passes the end")
-        content = data[end + 1 : end + 1 + int(size)]
-        at = end + 1 + int(size)
-        if fields is None:
-            lines = content.decode("utf-8", "replace").split("\n")
-            if lines[1].split() != names:
-                raise BadArchive("the version block declares other fields")
-            fields = names
+_ADDRESS = r"(?P<ip>\d{1,3}(?:\.\d{1,3}){3}|[0-9A-Fa-f]*:[0-9A-Fa-f:.]+|-) (?P<date>\d{8}(?:\d\d){0,3})"
+#: Address and date, the length at the end and, in version 2, what stands before it are recognised; URL and type are what
+#: is left, with any spaces.
+ARC_LINES = {
+    "1": re.compile(rf"(?P<url>.+) {_ADDRESS}(?: (?P<type>.*))? (?P<size>\d+)"),
+    "2": re.compile(rf"(?P<url>.+) {_ADDRESS} (?P<type>.*?) ?(?P<code>\d{{3}}|-) (?P<sum>\S+) (?P<place>.*?) ?(?P<offset>\d+|-) (?P<file>\S+) (?P<size>\d+)"),
+}
+#: Bytes of a header line at most.
+LINE_BYTES = 1 << 16
+
+
+def arc_line(line: bytes, version: str | None) -> dict[str, str] | None:
+    """The fields of a header line of ``version``, of either where that isn't known; None if it isn't one."""
+    text = line.decode("utf-8", "replace").rstrip("\r")
+    for v in (version,) if version else ("2", "1"):
+        if m := ARC_LINES[v].fullmatch(text):
+            values = [m["url"], m["ip"], m["date"], m["type"] or "-", *([m["code"], m["sum"], m["place"] or "-", m["offset"], m["file"]] if v == "2" else []), m["size"]]
+            return dict(zip(ARC_FIELDS[v], values, strict=True))
+    return None
+
+
+def read_arc(data: bytes, skipped: list[str] | None = None):
+    """(fields, content) of each record, the version block among them, whose URL begins with filedesc://.
+
+    The version block names the version of the lines after it; without one each line is taken for what it looks like.
+    A bad record (a line that is no header line, or a length that passes the end) is left out and told to ``skipped``:
+    reading goes on behind its declared length if a header line or the end comes there, else at the next line that is one.
+    """
+    skipped = [] if skipped is None else skipped
+    at, version = 0, None
+
+    def header(start: int) -> tuple[dict[str, str] | None, int]:
+        end = data.find(b"\n", start, start + LINE_BYTES)
+        end = end if end >= 0 else len(data) if len(data) - start < LINE_BYTES else start + LINE_BYTES
+        return arc_line(data[start:end], version), end + 1
+
+    def next_line(start: int) -> int:
+        """Behind the line feeds between records."""
+        while start < len(data) and data[start] in b"\r\n":
+            start += 1
+        return start
+
+    while (at := next_line(at)) < len(data):
+        found, begin = header(at)
+        stop = begin + int(found["Archive-length"]) if found else 0
+        if found and stop <= len(data):
+            content = data[begin:stop]
+            if found["URL"].startswith("filedesc://") and content[:1].decode("latin-1") in ARC_FIELDS:
+                version = content[:1].decode()
+            yield found, content
+            at = stop
             continue
-        yield record, content
+        skipped.append("a declared length passes the end" if found else "no header line")
+        size = re.search(rb" (\d{1,15})\r?$", data[at : begin - 1])
+        if not found and size and (behind := begin + int(size[1])) <= len(data):
+            behind = next_line(behind)
+            if behind == len(data) or header(behind)[0]:
+                at = behind
+                continue
+        at = begin
+        while at < len(data) and not header(at)[0]:
+            end = data.find(b"\n", at)
+            at = end + 1 if end >= 0 else len(data)
 
 
 def timestamp(arc_date: str) -> str:
@@ -139,35 +168,54 @@ def page_record_id(page: str, date: str) -> str:
     return record_id("page", page, date)
 
 
-def convert(record: dict[str, str], content: bytes, original: int | None = None) -> bytes:
+def convert_info(record: dict[str, str], content: bytes, *names: str) -> tuple[str, bytes]:
+    """The identifier and the record of type warcinfo that a version block becomes; ``names`` part equal blocks."""
+    lines = content.decode("utf-8", "replace").splitlines()
+    name, date = record["URL"].removeprefix("filedesc://"), timestamp(record["Archive-date"])
+    about = [("software", "attesta"), ("format", "WARC File Format 1.1"), ("description", "converted from an ARC file"), ("arc-version", lines[0] if lines else "-"), ("arc-fields", lines[1] if len(lines) > 1 else "-")]
+    block = "".join(f"{k}: {v}\r\n" for k, v in about).encode()
+    own = record_id("warcinfo", name, date, *names)
+    headers = [("WARC-Record-ID", own), ("WARC-Date", date), ("WARC-Filename", _ascii(name)), ("WARC-Block-Digest", sha1_32(block)), ("Content-Type", "application/warc-fields")]
+    return own, warc_record("warcinfo", headers, block)
+
+
+def convert(record: dict[str, str], content: bytes, original: int | None = None, original_url: str | None = None, info: str | None = None) -> bytes:
     """One ARC record as a WARC record: response, or revisit of the page ``original``, whose payload is left out.
 
-    Content that is no HTTP message, as DNS answers, becomes a resource record.
+    Content that is no HTTP message, as DNS answers, becomes a resource record. ``info`` is the record of its version block.
     """
     http, payload = split_http(content)
-    url, date = record["URL"], timestamp(record["Archive-date"])
+    url, date = _ascii(record["URL"]), timestamp(record["Archive-date"])
     page = http.get("x-page-id")
     name = record_id(url, date) if page is None else page_record_id(page, date)
     headers = [("WARC-Record-ID", name), ("WARC-Date", date), ("WARC-Target-URI", url)]
     if (ip := record["IP-address"]) not in ("0.0.0.0", "-"):
         headers.append(("WARC-IP-Address", ip))
+    if info:
+        headers.append(("WARC-Warcinfo-ID", info))
     headers.append(("WARC-Payload-Digest", sha1_32(payload)))
-    if not http:
-        return warc_record("resource", [*headers, ("WARC-Block-Digest", sha1_32(content)), ("Content-Type", record["Content-type"])], content)
+    if len(payload) == len(content):  # an HTTP message has a head at least
+        return warc_record("resource", [*headers, ("WARC-Block-Digest", sha1_32(content)), ("Content-Type", _line(record["Content-type"]))], content)
     kind = ("Content-Type", "application/http; msgtype=response")
     if original is None:
         return warc_record("response", [*headers, ("WARC-Block-Digest", sha1_32(content)), kind], content)
     block = content[: len(content) - len(payload)]
-    more = [("WARC-Block-Digest", sha1_32(block)), ("WARC-Profile", PROFILE), ("WARC-Refers-To", page_record_id(str(original), date)), ("WARC-Truncated", "length"), kind]
-    return warc_record("revisit", [*headers, *more], block)
+    refers = [("WARC-Refers-To", page_record_id(str(original), date)), ("WARC-Refers-To-Target-URI", _ascii(original_url or "")), ("WARC-Refers-To-Date", date)]
+    return warc_record("revisit", [*headers, ("WARC-Block-Digest", sha1_32(block)), ("WARC-Profile", PROFILE), *refers, ("WARC-Truncated", "length"), kind], block)
+
+
+def _line(text: str) -> str:
+    """A header value of several words: control characters become spaces."""
+    return re.sub(r"[\x00-\x1f\x7f]+", " ", text).strip() or "-"
 
 
-ARCHIVE = "archive int, chunk int, records int, data binary"
+#: ``skipped``: bad records of the source that were left out on the way to this chunk.
+ARCHIVE = "archive int, chunk int, records int, skipped int, data binary"
 
 
 def _archive_batch(rows):
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["archive", "chunk", "records", "data"])
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["archive", "chunk", "records", "skipped", "data"])
 
 
 class _Chunks:
@@ -175,31 +223,47 @@ class _Chunks:
 
     def __init__(self):
         self.archive, self.chunk = TaskContext.get().partitionId(), 0
-        self.held, self.size = [], 0
+        self.held, self.size, self.infos, self.skipped = [], 0, 0, []
 
     def put(self, record: bytes):
         self.held.append(record)
         self.size += len(record)
         return self.take() if self.size >= CHUNK_BYTES else None
 
+    def info(self, record: dict[str, str], content: bytes) -> str:
+        """Puts the record of a version block, never as the last of a chunk, and gives its identifier."""
+        self.infos += 1
+        own, made = convert_info(record, content, str(self.archive), str(self.infos))
+        self.held.append(made)
+        self.size += len(made)
+        return own
+
     def take(self):
-        if not self.held:
+        if not self.held and not self.skipped:
             return None
-        row = (self.archive, self.chunk, len(self.held), b"".join(self.held))
+        row = (self.archive, self.chunk, len(self.held), len(self.skipped), b"".join(self.held))
         self.held, self.size, self.chunk = [], 0, self.chunk + 1
+        self.skipped.clear()
         return _archive_batch([row])
 
 
 def convert_archives(arcs: DataFrame, data_col: str = "data") -> DataFrame:
-    """A table of WARC chunks from a table of whole ARC files or chunks (column ``data``), all as responses."""
+    """A table of WARC chunks from a table of whole ARC files or chunks (column ``data``), all as responses.
+
+    A version block becomes a warcinfo record, which the records after it name. Bad records are left out and counted in
+    ``skipped``, see :func:`read_arc`. A null or empty file has no records; other columns are ignored.
+    """
     need(arcs, data_col)
 
     def run(batches):
         out = _Chunks()
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                for record, content in read_arc(data or b""):
-                    if (done := out.put(convert(record, content))) is not None:
+                info = None
+                for record, content in read_arc(data or b"", out.skipped):
+                    if record["URL"].startswith("filedesc://"):
+                        info = out.info(record, content)
+                    elif (done := out.put(convert(record, content, info=info))) is not None:
                         yield done
         if (done := out.take()) is not None:
             yield done
@@ -218,15 +282,15 @@ def _salted(rows: DataFrame, small: DataFrame, key: str, place) -> DataFrame:
     return spread.join(copies, [key, "_salt"], "left").drop("_salt")
 
 
-def with_originals(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """Adds payload (binary), digest (hex SHA-1) and original: the largest id among rows with the same payload of
-    at least ``least`` bytes, where there are several. Digests are counted before the shuffle; the rows of one digest
+def with_originals(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
+    """Adds payload (binary), digest (hex SHA-1), original and original_url: the largest id among rows with the same payload
+    of at least ``least`` bytes, where there are several, and its url. Digests are counted before the shuffle; the rows of one digest
     meet its original in ``SALT`` parts."""
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "utf-8")
     sized = pages.withColumn("payload", payload).withColumn("digest", F.sha1("payload"))
-    keyed = pages.select(F.sha1(payload).alias("digest"), F.length(payload).alias("n"), F.col(id_col).alias("i"))
-    copies = keyed.filter(F.col("n") >= least).groupBy("digest").agg(F.max("i").alias("original"), F.count(F.lit(1)).alias("copies"))
-    copies = written(copies.filter("copies > 1").select("digest", "original"), "copies")
+    keyed = pages.select(F.sha1(payload).alias("digest"), F.length(payload).alias("n"), F.struct(F.col(id_col).alias("i"), F.col(url_col).alias("u")).alias("r"))
+    copies = keyed.filter(F.col("n") >= least).groupBy("digest").agg(F.max("r").alias("r"), F.count(F.lit(1)).alias("copies"))
+    copies = written(copies.filter("copies > 1").select("digest", F.col("r.i").alias("original"), F.col("r.u").alias("original_url")), "copies")
     return _salted(sized, copies, "digest", [F.col(id_col), F.monotonically_increasing_id()])
 
 
@@ -236,13 +300,15 @@ def _write(version: str, date: str):
     def run(batches):
         out = _Chunks()
         for batch in batches:
-            ids, urls, payloads, originals = (batch.column(i).to_pylist() for i in range(4))
+            ids, urls, payloads, originals, places = (batch.column(i).to_pylist() for i in range(5))
             for i, j in chunks([len(p) for p in payloads], CHUNK_BYTES):
                 arc = [arc_header(version, "pages.arc", date)]
                 for page, url, payload in zip(ids[i:j], urls[i:j], payloads[i:j], strict=True):
                     arc.append(arc_record(version, url or "", date, HTTP % (str(page).encode(), len(payload)) + payload))
-                for (record, content), page, original in zip(read_arc(b"".join(arc)), ids[i:j], originals[i:j], strict=True):
-                    if (done := out.put(convert(record, content, original if original != page else None))) is not None:
+                records = read_arc(b"".join(arc))
+                info = out.info(*next(records))
+                for (record, content), page, original, place in zip(records, ids[i:j], originals[i:j], places[i:j], strict=True):
+                    if (done := out.put(convert(record, content, original if original != page else None, place, info))) is not None:
                         yield done
         if (done := out.take()) is not None:
             yield done
@@ -261,7 +327,7 @@ def write_pages(pages: DataFrame, path: str, version: str = "2", date: str = "20
     """
     need(pages, id_col, url_col, html_col)
     kept = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    ready = with_originals(kept, "id", "html").select("id", "url", "payload", "original")
+    ready = with_originals(kept, "id").select("id", "url", "payload", "original", "original_url")
     ready.mapInArrow(_write(version, date), ARCHIVE).write.parquet(path)
 
 
@@ -269,7 +335,7 @@ RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Per record of an archive: page_id, payload_bytes, payload_digest, record_type, record_id, refers_to_id, url,
+    """Per record of an archive but warcinfo: page_id, payload_bytes, payload_digest, record_type, record_id, refers_to_id, url,
     date, payload.
 
     A response's digest is computed again from its payload and held against the header; a revisit has no payload,
@@ -281,16 +347,20 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
             for data in batch.column(0).to_pylist():
                 rows = []
                 for headers, block in read_warc(data):
+                    if sha1_32(block) != headers["WARC-Block-Digest"]:
+                        raise BadArchive("a block's digest differs")
+                    if headers["WARC-Type"] == "warcinfo":
+                        continue
                     http, payload = split_http(block)
                     kind = headers["WARC-Type"]
                     digest = headers["WARC-Payload-Digest"]
                     if kind != "revisit" and sha1_32(payload) != digest:
                         raise BadArchive("a payload's digest differs")
-                    if sha1_32(block) != headers["WARC-Block-Digest"]:
-                        raise BadArchive("a block's digest differs")
                     page = http.get("x-page-id", "None")
                     n = int(http["content-length"]) if kind == "revisit" else len(payload)
                     rows.append((None if page == "None" else int(page), n, _hex(digest), kind, headers["WARC-Record-ID"], headers.get("WARC-Refers-To"), headers["WARC-Target-URI"], headers["WARC-Date"], payload))
+                if not rows:
+                    continue
                 kinds = (pa.int64(), pa.int64(), *[pa.string()] * 6, pa.binary())
                 names = [f.split()[0] for f in RECORDS.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
