@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.llm.common import need, ragged, table, written
+from attesta.llm.lloyd import whole
 
 #: A page of vectors is scored in one product, so it is as large as a core's cache takes.
 PAGE, FANOUT = 256, 32
@@ -29,22 +30,23 @@ ROUTES, ROUTE_BYTES = 256, 8 << 20
 DRAWN = 4
 #: Bounds give way by so much, relatively and absolutely; distances are square roots of exact integers.
 SLACK = 1e-7
-#: Squared norms below this make float products exact; up to ``WHOLE_NORM`` scores are summed as integers.
+#: Squared norms below this make float products exact; up to ``WHOLE_NORM`` scores are summed as 64-bit integers.
 FLOAT_NORM, WHOLE_NORM = 1 << 51, 1 << 62
 #: A score below any.
 NONE = -(1 << 62)
 
 
 def whole_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> DataFrame:
-    """(id, v array<long>, n2 long): floor(scale * x) of the rows whose id and components are all there and finite, and
-    whose squared norm is below 2^62."""
+    """(id, v array<long>, n2 long, x array<double>) of the rows whose id and components are all there and finite: v is
+    floor(scale * x) and n2 its squared norm; both are null, and x isn't, where that is 2^62 or more."""
     good = F.forall(f"`{vec_col}`", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     v = F.transform(f"`{vec_col}`", lambda x: F.floor(x.cast("double") * scale))
     kept = df.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{vec_col}`").isNotNull() & good)
-    kept = kept.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("w"))
+    kept = kept.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("x"), v.alias("w"))
     about = F.aggregate("w", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    exact = F.when(about < float(WHOLE_NORM), F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long")))
-    return kept.select("id", F.transform("w", lambda x: x.cast("long")).alias("v"), exact.alias("n2")).filter("n2 is not null")
+    small = about < float(WHOLE_NORM)
+    exact = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x.cast("long") * x.cast("long"))
+    return kept.select("id", F.when(small, F.transform("w", lambda x: x.cast("long"))).alias("v"), F.when(small, exact).alias("n2"), F.when(~small, F.col("x")).alias("x"))
 
 
 def matrix(vectors, width: int = 0) -> np.ndarray:
@@ -250,19 +252,97 @@ def top_inner_products(df: DataFrame, is_query, id_col: str = "vec_id", vec_col:
     """(query_id, rank, vec_id, score): for each row where ``is_query`` (a condition on ``id``), the k rows with the
     largest inner products of the vectors floor(scale * x), rows with its own id left out, ties to the smaller id.
 
-    Defined cases: rows with a null id, a null vector or a null or non-finite component take no part, nor does a vector
-    with a squared norm of 2^62 or more, whose products need not fit a long; of vectors of unequal length the shorter
-    end in zeros; repeated candidates are each a candidate; of query rows that repeat an id the smallest vector asks;
-    with fewer than k candidates all are returned; an empty table gives no rows; other columns are ignored. Equal
-    vectors, however many, are parted over shards by their ids.
+    Defined cases: rows with a null id, a null vector or a null or non-finite component take no part; of vectors of unequal
+    length the shorter end in zeros; repeated candidates are each a candidate; of query rows that repeat an id the smallest
+    vector asks; with fewer than k candidates all are returned; an empty table gives no rows; other columns are ignored.
+    Equal vectors, however many, are parted over shards by their ids. Vectors with a squared norm of 2^62 or more, whose
+    products need not fit a long, meet all others in blocks (:func:`_large_pairs`); ranks are by the exact product, and a
+    score that a long can't hold is null.
 
     A tree goes to the blocks of queries that its shard's bound cannot rule out, and to no others. Vectors without any
     structure rule nothing out: every query then meets every shard, and the work is queries times rows.
     """
     need(df, id_col, vec_col)
-    spark = df.sparkSession
     vecs = written(whole_vectors(df, id_col, vec_col, scale), "vectors")
-    rows, top, width = vecs.agg(F.count(F.lit(1)), F.max("n2"), F.max(F.size("v"))).first()
+    rows, top, width, n_large = vecs.agg(F.count("n2"), F.max("n2"), F.max(F.size("v")), F.count("x")).first()
+    small = vecs.filter("n2 is not null").select("id", "v", "n2")
+    if not n_large:
+        return _tree_products(small, rows, top, width, is_query, k, shard_rows)
+    # of query rows that repeat an id one asks, whatever its size
+    first = vecs.filter(is_query(F.col("id"))).groupBy("id").agg(F.min(F.struct(F.col("x").isNotNull().alias("large"), "v", "x")).alias("q"))
+    asking = written(first.select("id", "q.v", "q.x"), "asking")
+    of_tree = _tree_products(small, rows, top, width, is_query, k, shard_rows)
+    large = vecs.filter("x is not null").select("id", "v", "x")
+    found = of_tree.select("query_id", "vec_id", F.col("score").cast("string").alias("score"))
+    found = found.unionByName(_large_pairs(asking, large, scale, k)).unionByName(_large_pairs(asking.filter("x is not null"), small.select("id", "v", F.lit(None).cast("array<double>").alias("x")), scale, k))
+    return found.groupBy("query_id").applyInPandas(_ranked(k), "query_id long, rank int, vec_id long, score long")
+
+
+def _ranked(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted((-int(s), i) for s, i in zip(pdf["score"], pdf["vec_id"], strict=True))[:k]
+        scores = pd.array([-s if -(1 << 63) <= -s < 1 << 63 else None for s, _ in rows], "Int64")
+        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "rank": range(1, len(rows) + 1), "vec_id": [i for _, i in rows], "score": scores})
+
+    return run
+
+
+#: Queries and candidates that meet at a time outside the trees.
+LARGE_ROWS = 1024
+
+
+def exact_best(queries: list[list[int]], query_ids: list[int], points: list[list[int]], ids: list[int], k: int) -> list[tuple[int, int, int]]:
+    """(query id, id, product) of the k largest products of each query with points of other ids, whole numbers of any size.
+
+    Products of the leading 53 bits rule out most points: what they can be off by is known. The rest is multiplied exactly.
+    """
+    width = max([1, *map(len, queries), *map(len, points)])
+
+    def leading(vectors):
+        shift = [max([0, *(abs(x).bit_length() for x in v)]) for v in vectors]
+        out = np.zeros((len(vectors), width))
+        for i, (v, s) in enumerate(zip(vectors, shift, strict=True)):
+            out[i, : len(v)] = [x / (1 << s) for x in v]  # true division of whole numbers is right to the last bit
+        return out, np.array(shift)
+
+    (a, _), (b, shift) = leading(queries), leading(points)
+    scale = np.exp2(np.maximum(shift - shift.max(initial=0), -1000).astype(np.float64)) if len(points) else np.zeros(0)
+    off = 2.0**-50 * width * width * scale + width * 2.0**-990
+    ids_, out = np.array(ids), []
+    for v, row, own in zip(queries, a, query_ids, strict=True):
+        others = np.flatnonzero(ids_ != own)
+        about = (b[others] @ row) * scale[others]
+        if len(others) > k:
+            sure = np.partition(about - off[others], len(others) - k)[len(others) - k]
+            others = others[about + off[others] >= sure]
+        best = sorted((-sum(x * y for x, y in zip(v, points[i], strict=False)), ids[i]) for i in others.tolist())[:k]
+        out += [(own, i, -s) for s, i in best]
+    return out
+
+
+def _large_pairs(queries: DataFrame, points: DataFrame, scale: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score as decimal text): the k best of each block of points for each query, by exact products.
+
+    Blocks of ``LARGE_ROWS`` on both sides, each pair of blocks a task's work: queries times points in all, without bounds.
+    """
+    nq, np_ = (max(1, ceil(d.count() / LARGE_ROWS)) for d in (queries, points))
+    place = F.xxhash64("id", F.monotonically_increasing_id())
+    q = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(np_ - 1))))
+    p = points.withColumn("pb", F.pmod(place, F.lit(np_)).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+
+    def numbers(pdf: pd.DataFrame) -> list[list[int]]:
+        return [[int(n) for n in (whole(np.asarray(x, np.float64), scale) if x is not None else v)] for v, x in zip(pdf["v"], pdf["x"], strict=True)]
+
+    def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        found = exact_best(numbers(q), q["id"].tolist(), numbers(p), p["id"].tolist(), k)
+        return pd.DataFrame([(a, b, str(s)) for a, b, s in found], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64"})
+
+    return q.groupBy("qb", "pb").cogroup(p.groupBy("qb", "pb")).applyInPandas(run, "query_id long, vec_id long, score string")
+
+
+def _tree_products(vecs: DataFrame, rows: int, top: int, width: int, is_query, k: int, shard_rows: int) -> DataFrame:
+    """:func:`top_inner_products` of vectors (id, v, n2), all with a squared norm below 2^62."""
+    spark = vecs.sparkSession
     if not rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     n_routes = max(1, min(ceil(rows / shard_rows), max(ROUTES, isqrt(rows)), ROUTE_BYTES // (8 * max(width, 1))))

@@ -1,8 +1,12 @@
 import math
+from fractions import Fraction
+from math import floor, isfinite
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from attesta.llm import mtree
 
@@ -72,8 +76,51 @@ def test_products_past_the_floats(spark):
         frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
         exact = [(r.vec_id, r.embedding) for r in frame.collect()]
         assert rows(mtree.top_inner_products(frame, lambda i: i % 50 == 0, shard_rows=60)) == brute(exact)
-    huge = spark.createDataFrame([(0, [1e300, 1.0]), (1, [2.0**40, 0.0]), (2, [1.0, 2.0]), (50, [1.0, 0.0])], "vec_id long, embedding array<double>")
-    assert rows(mtree.top_inner_products(huge, lambda i: i % 50 == 0)) == [(50, 1, 2, 65536)]
+
+
+def test_large_vectors_take_part(spark, monkeypatch):
+    """Finite vectors of any size ask and are found; a score that a long can't hold is null, its rank is right."""
+    frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 1.0]), (50, [1e7, 1e7])], "vec_id long, embedding array<double>")
+    assert rows(mtree.top_inner_products(frame, lambda i: i % 50 == 0)) == [(0, 1, 50, 256 * 256 * 30_000_000), (0, 2, 1, 5 * 65536), (50, 1, 1, 256 * 256 * 40_000_000), (50, 2, 0, 256 * 256 * 30_000_000)]
+    monkeypatch.setattr(mtree, "LARGE_ROWS", 7)
+    rng = np.random.default_rng(5)
+    data = [(i, (rng.normal(0, 1, 3) * 10.0 ** rng.integers(-3, 9 if i % 3 else 300)).tolist()) for i in range(160)]
+    data += [(i, data[i][1]) for i in (0, 3, 50, 51)] + [(200, [1e300, -1e300, 5.0]), (201, [1e300, -1e300, 4.0]), (250, [-5e-324, 0.0]), (300, []), (301, [float("inf"), 1.0]), (302, None), (None, [1e300])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_exact(data)
+    assert any(s is None for *_, s in want) and any(s is not None for *_, s in want)
+    assert rows(mtree.top_inner_products(frame, lambda i: i % 50 == 0)) == want
+    only = [d for d in data if d[0] is not None and d[0] >= 200]
+    assert rows(mtree.top_inner_products(frame.filter("vec_id >= 200"), lambda i: i % 50 == 0)) == brute_exact(only)
+
+
+def brute_exact(data, k=5, scale=256):
+    def small(v):
+        w = [min(max(x, -(1 << 63)), (1 << 63) - 1) for x in v]
+        return sum(float(x) * float(x) for x in w) < 2.0**62
+
+    kept = [(i, [floor(Fraction(x) * scale) for x in v], v) for i, v in data if i is not None and v is not None and all(x is not None and isfinite(x) for x in v)]
+    asks = {}
+    for i, v, x in kept:
+        if i % 50 == 0:
+            asks[i] = min(asks.get(i, (2, [], [])), (0, v, x) if small(v) else (1, x, v))
+    out = []
+    for i, (kind, a, b) in sorted(asks.items()):
+        q = b if kind else a
+        best = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for j, v, _ in kept if j != i)[:k]
+        out += [(i, r, j, -s if abs(s) < 1 << 63 else None) for r, (s, j) in enumerate(best, 1)]
+    return out
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.integers(-(2**70), 2**70).map(lambda x: x >> 5 * (abs(x) % 15)), max_size=3), min_size=1, max_size=12), st.integers(1, 4))
+def test_exact_best(points, k):
+    ids = [i // 2 for i in range(len(points))]
+    want = []
+    for own, q in zip(ids, points, strict=True):
+        best = sorted((-sum(x * y for x, y in zip(q, v, strict=False)), j) for j, v in zip(ids, points, strict=True) if j != own)[:k]
+        want += [(own, j, -s) for s, j in best]
+    assert mtree.exact_best(points, ids, points, ids, k) == want
 
 
 def test_clusters_prune_shards(spark):
