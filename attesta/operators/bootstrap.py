@@ -8,6 +8,7 @@ all groups in the pack and for those ranges of clusters that it has rows of.
 
 from __future__ import annotations
 
+import math
 from math import ceil
 
 import numpy as np
@@ -92,12 +93,14 @@ class Resamples:
 
         return of
 
-    def dealt(self, packs: DataFrame, count: int) -> tuple[DataFrame, int]:
-        """About ``count`` ``packs``, each once for each part of the resamples, with its number _part; and the resamples of a part."""
+    def dealt(self, packs: DataFrame, number, count: int) -> tuple[DataFrame, int]:
+        """``packs`` once for each part _part of the resamples, and the resamples of a part. Packs of equal ``number``, below
+        ``count``, and part are of one partition, so that a task can share its weights among them."""
         slots = 2 * packs.sparkSession.sparkContext.defaultParallelism
         size = ceil(self.reps / min(self.reps, max(1, ceil(slots / max(count, 1)))))
         parts = ceil(self.reps / size)
-        return packs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(max(slots, parts * count)), size
+        split = packs.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return split.repartitionById(count * parts, (number * parts + F.col("_part")).cast("int")), size
 
     def task_rows(self) -> int:
         return TASK_ROWS[0] if self.n is None else min(max(TASK_ROWS[0], 8 * self.n), TASK_ROWS[1])
@@ -166,6 +169,17 @@ def _codes(t: pa.Table, group: list[str]) -> np.ndarray:
     return code
 
 
+def _order(parts: list[tuple[np.ndarray, int]], more: list[np.ndarray]) -> np.ndarray:
+    """Rows in the order of ``parts`` (whole numbers from 0, below a bound), then of ``more``: one sort where they fit 63 bits."""
+    bound = math.prod(n for _, n in parts)
+    if more or bound >= 1 << 63:
+        return np.lexsort([*reversed(more), *(x for x, _ in reversed(parts))])
+    code = np.zeros(len(parts[0][0]), np.int64)
+    for x, n in parts:
+        code = code * n + x
+    return np.argsort(code, kind="stable")
+
+
 def _pack_schema(df: DataFrame, group: list[str]) -> str:
     return "".join(f"`{c}` array<{df.schema[c].dataType.simpleString()}>, " for c in group)
 
@@ -210,12 +224,14 @@ def _replicates(known: DataFrame, group: list[str], r: Resamples, label: str, sc
         placed = placed.withColumn("_salt", F.when(same > 1, F.pmod(F.xxhash64("_k", "_l"), same)).otherwise(0).cast("int"))
     else:
         placed = placed.withColumns({"_r": F.lit(0), "_salt": F.lit(0)})
-    placed = placed.withColumn("_bundle", (F.pmod(F.xxhash64(*group), F.lit(bundles)) if group else F.lit(0)).cast("int"))
+    fine = bundles * max(1, ceil(placed.sparkSession.sparkContext.defaultParallelism / bundles))  # so that many tasks pack
+    placed = placed.withColumn("_fine", (F.pmod(F.xxhash64(*group), F.lit(fine)) if group else F.lit(0)).cast("int"))
 
     def packed(key, t):
         code = _codes(t, group)
         k, l, score, yes = (t[c].to_numpy() for c in ("_k", "_l", "_score", "_yes"))  # noqa: E741
-        order = np.lexsort((l, k, yes, score, code))
+        values, place = np.unique(score, return_inverse=True)
+        order = _order([(code, int(code.max(initial=0)) + 1), (place, len(values)), (yes.astype(np.int64), 2), (k, n or 1 << 62)], [] if n is not None else [l])
         code, k, l, score, yes = (x[order] for x in (code, k, l, score, yes))  # noqa: E741
         group_new = np.diff(code, prepend=-1) != 0
         score_new = group_new | (np.diff(score, prepend=0.0) != 0)
@@ -227,34 +243,53 @@ def _replicates(known: DataFrame, group: list[str], r: Resamples, label: str, sc
         at = new[first]
         none = np.zeros(0, np.int64)
         arrays = _bytes(k[new].astype(np.int64), none if n is not None else l[new].astype(np.int64), none if (count == 1).all() else count.astype(np.int64), first, cell[at], yes[at] == 1, cell[np.flatnonzero(group_new)])
-        return pa.table([*_values(t, group, order[np.flatnonzero(group_new)]), pa.array([key[1].as_py()], pa.int32()), *arrays], [*group, "_r", *PACK])
+        return pa.table([*_values(t, group, order[np.flatnonzero(group_new)]), *(pa.array([x.as_py()], pa.int32()) for x in key), *arrays], [*group, *PLACE, *PACK])
 
     n = r.n
-    PACK = ["_k", "_l", "_times", "_first", "_cell", "_side", "_begin"]
-    packs = placed.groupBy("_bundle", "_r", "_salt").applyInArrow(packed, _pack_schema(placed, group) + "_r int, " + ", ".join(f"{c} binary" for c in PACK))
-    dealt, per = r.dealt(packs, ranges * bundles)
+    PLACE, PACK = ["_fine", "_r", "_salt"], ["_k", "_l", "_times", "_first", "_cell", "_side", "_begin"]
+    packs = placed.groupBy(*PLACE).applyInArrow(packed, _pack_schema(placed, group) + "_fine int, _r int, _salt int, " + ", ".join(f"{c} binary" for c in PACK))
+    bundle, count = F.pmod(F.col("_fine"), F.lit(bundles)), ranges * bundles
+    dealt, per = r.dealt(packs, bundle if ranges == 1 else F.pmod(F.xxhash64(bundle, "_r", "_salt"), F.lit(count)), count)
+    dealt = dealt.withColumn("_bundle", bundle).sortWithinPartitions("_bundle", "_r", "_salt", "_part")
     weigh, reps, wide = r.weights(), r.reps, len(group)
 
+    def replicate(held):
+        """The resamples of packs of one bundle, range and part, put together as one."""
+        part, at = held[0].column("_part")[0].as_py(), held[0].column("_r")[0].as_py()
+        own = range(part * per, min(reps, (part + 1) * per))
+        pack = [[np.frombuffer(h.column(c)[0].as_py(), bool if c == "_side" else np.int64) for c in PACK] for h in held]
+        rows, cells = (np.cumsum([0, *x]) for x in ([len(x[0]) for x in pack], [x[4][-1] + 1 for x in pack]))
+        k, l, side = (np.concatenate([x[i] for x in pack]) for i in (0, 1, 5))  # noqa: E741
+        times = None if not any(len(x[2]) for x in pack) else np.concatenate([x[2] if len(x[2]) else np.ones(len(x[0]), np.int64) for x in pack])
+        first = np.concatenate([x[3] + n for x, n in zip(pack, rows[:-1], strict=True)])
+        cell, begin = (np.concatenate([x[i] + n for x, n in zip(pack, cells[:-1], strict=True)]) for i in (4, 6))
+        sums, out = np.zeros((2, cells[-1])), np.zeros((3, len(own), len(begin)))
+        spans = np.diff(np.append(begin, cells[-1]))
+        for j, w in enumerate(weigh(own, k, l)):
+            found = np.add.reduceat(w if times is None else w * times, first, dtype=np.int64)
+            sums[0, cell[side]], sums[1, cell[~side]] = found[side], found[~side]
+            p, q = sums
+            below = np.cumsum(q) - q
+            below -= np.repeat(below[begin], spans)
+            out[:, j] = [np.add.reduceat(x, begin) for x in (p * (below + q / 2), p, q)]
+        rep = np.repeat(np.array(own, np.int32), len(begin))
+        values = [pa.concat_arrays([h.column(g)[0].values for h in held]).take(pa.array(np.tile(np.arange(len(begin)), len(own)))) for g in range(wide)]
+        same = pa.array(np.full(len(rep), at, np.int32))
+        return pa.RecordBatch.from_arrays([*values, same, pa.array(rep), *(pa.array(x.ravel()) for x in out)], [*group, "_r", "rep", "_w", "_p", "_n"])
+
     def run(batches):
+        held, of = [], None
         for batch in batches:
             for i in range(batch.num_rows):
-                raw = [batch.column(wide + 1 + c)[i].as_py() for c in range(len(PACK))]
-                k, l, times, first, cell, begin = (np.frombuffer(raw[c], np.int64) for c in (0, 1, 2, 3, 4, 6))  # noqa: E741
-                side = np.frombuffer(raw[5], bool)
-                part = batch.column(batch.num_columns - 1)[i].as_py()
-                own = range(part * per, min(reps, (part + 1) * per))
-                sums, out = np.zeros((2, cell[-1] + 1)), np.zeros((3, len(own), len(begin)))
-                spans = np.diff(np.append(begin, cell[-1] + 1))
-                for j, w in enumerate(weigh(own, k, l)):
-                    found = np.add.reduceat(w * times if len(times) else w, first, dtype=np.int64)
-                    sums[0, cell[side]], sums[1, cell[~side]] = found[side], found[~side]
-                    p, q = sums
-                    below = np.cumsum(q) - q
-                    below -= np.repeat(below[begin], spans)
-                    out[:, j] = [np.add.reduceat(x, begin) for x in (p * (below + q / 2), p, q)]
-                rep = np.repeat(np.array(own, np.int32), len(begin))
-                same = pa.array(np.full(len(rep), batch.column(wide)[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([*_groups_of(batch, i, group, len(own)), same, pa.array(rep), *(pa.array(x.ravel()) for x in out)], [*group, "_r", "rep", "_w", "_p", "_n"])
+                row = batch.slice(i, 1)
+                key = tuple(row.column(c)[0].as_py() for c in ("_bundle", "_r", "_salt", "_part"))
+                if held and key != of:
+                    yield replicate(held)
+                    held = []
+                held.append(row)
+                of = key
+        if held:
+            yield replicate(held)
 
     found = dealt.mapInArrow(run, _repeated(group, placed, "_r int, rep int, _w double, _p double, _n double"))
     # the parts of a range of one score have no wins over one another but ties
@@ -310,25 +345,25 @@ def resampled_sums(parts: DataFrame, group: list[str], r: Resamples, values: lis
     placed = placed.withColumns({"_block": (F.floor(F.col("_k") / r.block) if r.n is not None else F.lit(0)).cast("int"), "_salt": F.pmod(F.xxhash64(*group, "_k", "_l"), F.lit(salts)).cast("int")})
     wide, names = len(group), ["_k", "_l", "_begin", "_sides"]
 
-    def packed(t):
+    def packed(key, t):
         code = _codes(t, group)
         k, l = (t[c].to_numpy() for c in ("_k", "_l"))  # noqa: E741
         sides = np.stack([t[v].to_numpy() for v in values], 1)
         order = np.lexsort((*sides.T, l, k, code))
         begin = np.flatnonzero(np.diff(code[order], prepend=-1))
         arrays = _bytes(k[order].astype(np.int64), l[order].astype(np.int64), begin, sides[order])
-        return pa.table([*_values(t, group, order[begin]), *arrays], [*group, *names])
+        return pa.table([*_values(t, group, order[begin]), *(pa.array([x.as_py()], pa.int32()) for x in key), *arrays], [*group, "_block", "_salt", *names])
 
-    packs = placed.select(*group, "_k", "_l", *values, "_block", "_salt").groupBy("_block", "_salt").applyInArrow(lambda t: packed(t), _pack_schema(placed, group) + ", ".join(f"{c} binary" for c in names))
-    dealt, per = r.dealt(packs, blocks * salts)
+    packs = placed.select(*group, "_k", "_l", *values, "_block", "_salt").groupBy("_block", "_salt").applyInArrow(packed, _pack_schema(placed, group) + "_block int, _salt int, " + ", ".join(f"{c} binary" for c in names))
+    dealt, per = r.dealt(packs, F.col("_block") * salts + F.col("_salt"), blocks * salts)
     weigh, reps = r.weights(), r.reps
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                k, l, begin = (np.frombuffer(batch.column(wide + c)[i].as_py(), np.int64) for c in range(3))  # noqa: E741
-                sides = np.frombuffer(batch.column(wide + 3)[i].as_py(), np.float64).reshape(len(k), len(values))
-                part = batch.column(batch.num_columns - 1)[i].as_py()
+                k, l, begin = (np.frombuffer(batch.column(c)[i].as_py(), np.int64) for c in ("_k", "_l", "_begin"))  # noqa: E741
+                sides = np.frombuffer(batch.column("_sides")[i].as_py(), np.float64).reshape(len(k), len(values))
+                part = batch.column("_part")[i].as_py()
                 own = range(part * per, min(reps, (part + 1) * per))
                 out = np.stack([np.add.reduceat(sides * w[:, None], begin, axis=0) for w in weigh(own, k, l)])
                 rep = np.repeat(np.array(own, np.int32), len(begin))
