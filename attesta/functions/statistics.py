@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -14,16 +15,98 @@ def chi_square_tail(x):
     return None if x is None else math.erfc(math.sqrt(max(x, 0.0) / 2))
 
 
+def _tail_of_factorial(x: int) -> float:
+    """What Stirling's formula leaves out of log x!."""
+    if x < 16:
+        return math.lgamma(x + 1) - (x + 0.5) * math.log(x) + x - 0.5 * math.log(2 * math.pi) if x else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680.0 * x * x)) / (x * x)) / (x * x)) / x
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x log(x / mean) + mean - x, without the loss of digits where both are close."""
+    gap = x - mean
+    if abs(gap) >= 0.1 * (x + mean):
+        return x * math.log(x / mean) - gap
+    v = gap / (x + mean)
+    total, term, k = gap * v, 2 * x * v, 1
+    while True:
+        term *= v * v
+        k += 2
+        if total + term / k == total:
+            return total
+        total += term / k
+
+
+def _log_binomial(x: int, n: int, p: float, q: float) -> float:
+    """The logarithm of the chance of x of n, by saddle points (Loader 2000): right to the last digits at any size."""
+    if n == 0 or x == 0 or x == n:
+        return 0.0 if n == 0 else n * (math.log(q) if x == 0 else math.log(p))
+    off = _tail_of_factorial(n) - _tail_of_factorial(x) - _tail_of_factorial(n - x) - _deviance(x, n * p) - _deviance(n - x, n * q)
+    return off + 0.5 * (math.log(n) - math.log(2 * math.pi) - math.log(x) - math.log(n - x))
+
+
+#: Tables whose ratios are multiplied in one go, and the relative difference up to which two count as equally likely.
+STRIDE, SAME = 4096, 1e-7
+
+
+class Tables:
+    """The 2 x 2 tables with given margins: x of the first row's ``rows`` are in the first column's ``cols``, of n in all."""
+
+    def __init__(self, rows: int, cols: int, n: int):
+        self.rows, self.cols, self.n = rows, cols, n
+        self.low, self.high = max(0, rows + cols - n), min(rows, cols)
+        self.mode = min(max((rows + 1) * (cols + 1) // (n + 2), self.low), self.high)
+
+    def log_chance(self, x: int) -> float:
+        p, q = self.cols / self.n, (self.n - self.cols) / self.n
+        return _log_binomial(x, self.rows, p, q) + _log_binomial(self.cols - x, self.n - self.rows, p, q) - _log_binomial(self.cols, self.n, p, q)
+
+    def outward(self, x: int) -> float:
+        """The chances of x and all tables farther from the mode on its side, over that of x: a product of neighbours' ratios,
+        until the terms vanish."""
+        step = 1 if x > self.mode or (x == self.mode and self.mode == self.high) else -1
+        left = (self.high - x) if step > 0 else (x - self.low)
+        total, last, at, rest = 1.0, 1.0, x, self.n - self.rows - self.cols
+        while left > 0 and last > total * 1e-18:
+            t = at + step * np.arange(min(STRIDE, left), dtype=np.float64)
+            up = (self.rows - t) * (self.cols - t) / ((t + 1) * (rest + t + 1)) if step > 0 else t * (rest + t) / ((self.rows - t + 1) * (self.cols - t + 1))
+            terms = last * np.cumprod(up)
+            total += float(terms.sum())
+            last, at, left = float(terms[-1]), at + step * len(t), left - len(t)
+        return total
+
+    def first_no_likelier(self, limit: float, near: int, far: int) -> int | None:
+        """Of the tables from ``near``, by the mode, to ``far`` the first whose log chance is at most ``limit``."""
+        if self.log_chance(far) > limit:
+            return None
+        step = 1 if far >= near else -1
+        a, b = 0, abs(far - near)
+        while a < b:
+            mid = (a + b) // 2
+            a, b = (a, mid) if self.log_chance(near + step * mid) <= limit else (mid + 1, b)
+        return near + step * a
+
+
 def fisher_two_sided(a, b, c, d):
-    """Sum of the probabilities of all tables, margins fixed, that are no likelier than this one."""
+    """Sum of the probabilities of all tables, margins fixed, that are no likelier than this one.
+
+    Chances rise to the mode and fall after it, so these tables are two tails: where they begin is found by bisection, and
+    each is summed outward from there by the ratios of neighbours. A table needs a few standard deviations of terms, however
+    large its margins are.
+    """
     if None in (a, b, c, d):
         return None
     a, b, c, d = int(a), int(b), int(c), int(d)
-    rows, cols, n = a + b, a + c, a + b + c + d
-    log_choose = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
-    chance = lambda x: math.exp(log_choose(rows, x) + log_choose(n - rows, cols - x) - log_choose(n, cols))
-    here = chance(a)
-    total = math.fsum(p for x in range(max(0, rows + cols - n), min(rows, cols) + 1) if (p := chance(x)) <= here * (1 + 1e-7))
+    t = Tables(a + b, a + c, a + b + c + d)
+    if t.low == t.high:
+        return 1.0
+    limit = t.log_chance(a) + math.log1p(SAME)
+    if t.log_chance(t.mode) <= limit:
+        return 1.0
+    total = 0.0
+    for far in (t.low, t.high):
+        if far != t.mode and (x := t.first_no_likelier(limit, t.mode, far)) is not None:
+            total += math.exp(t.log_chance(x)) * t.outward(x)
     return min(1.0, total)
 
 

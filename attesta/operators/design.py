@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import stable_key
+from attesta.operators.selection import quantiles
 
 
 def _with(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -56,8 +57,7 @@ def item_context(df: DataFrame, window: int = 4, student: str = "student_id", sk
 def tertiles(df: DataFrame, value: str, into: str = "tertile") -> DataFrame:
     """low, mid or high by the linearly interpolated third quantiles; rows without a value are left out."""
     known = df.filter(F.col(value).isNotNull())
-    cuts = known.agg(F.percentile(value, F.array(F.lit(1 / 3), F.lit(2 / 3)))).scalar()
-    marked = known.withColumn("_q", cuts)
+    marked = known.withColumn("_q", quantiles(known, [], value, [1 / 3, 2 / 3], "q").scalar())
     return marked.withColumn(into, F.when(F.col(value) <= F.col("_q")[0], "low").when(F.col(value) <= F.col("_q")[1], "mid").otherwise("high")).drop("_q")
 
 

@@ -207,9 +207,17 @@ def from_scores(scores: DataFrame, verifier: str, premise: str, threshold: float
 
 
 def score_profile(df: DataFrame, group: list[str], score: str = "score", mass: Column | None = None) -> DataFrame:
-    """n, missing, distinct scores at six decimals, median mass and pass share at 0.5."""
-    mass = F.lit(None).cast("double") if mass is None else mass
-    return df.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col(score).isNull()).alias("n_missing"), F.count_distinct(F.round(score, 6)).alias("n_distinct"),
-        F.percentile(mass, 0.5).alias("median_mass"), F.avg((F.col(score) >= 0.5).cast("double")).alias("pass_share"),
-    )
+    """n, missing, distinct scores at six decimals, median mass and pass share at 0.5.
+
+    Scores are counted by value before groups meet, and the median is an exact selection, so no task holds a group's values.
+    """
+    from attesta.operators.selection import quantiles
+
+    marked = df.select(*group, F.col(score).alias("_score"), F.round(score, 6).alias("_rounded"), (F.lit(None).cast("double") if mass is None else mass).alias("_mass"))
+    by_value = marked.groupBy(*group, "_rounded").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_score").isNull()).alias("_missing"), F.count_if(F.col("_score") >= 0.5).alias("_pass"), F.count("_score").alias("_known"))
+    out = by_value.groupBy(*group).agg(F.sum("_n").alias("n"), F.sum("_missing").alias("n_missing"), F.count("_rounded").alias("n_distinct"), ratio(F.sum("_pass"), F.sum("_known")).alias("pass_share"))
+    if mass is None:
+        return out.select(*group, "n", "n_missing", "n_distinct", F.lit(None).cast("double").alias("median_mass"), "pass_share")
+    middle = quantiles(marked, group, "_mass", [0.5]).select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("quantiles")[0].alias("median_mass"))
+    met = out.join(middle, [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], "left") if group else out.withColumn("median_mass", middle.scalar())
+    return met.select(*group, "n", "n_missing", "n_distinct", "median_mass", "pass_share")

@@ -110,9 +110,14 @@ def i9(spark, d):
     return r6(out, "cramers_v").withColumns({"chi2": F.round("chi2", 4), "min_expected": F.round("min_expected", 4)})
 
 
-@query("i10_fisher_exact", f"with {CODED}, c as (select verifier, premise, coding, {TWO} from (select *, score >= 0.5 as high from coded) group by 1, 2, 3) select *, round(n11::double * n00 / nullif(n10::double * n01, 0), 6) as odds_ratio from c")
+@query("i10_fisher_exact", f"""with {CODED}, c as (select verifier, premise, coding, {TWO} from (select *, score >= 0.5 as high from coded) group by 1, 2, 3),
+x as (select *, n11 + n10 as r, n11 + n01 as k, n11 + n10 + n01 + n00 as n, unnest(range(greatest(0, n11 - n00), n11 + least(n10, n01) + 1)) as x from c),
+h as (select *, lgamma(r + 1) - lgamma(x + 1) - lgamma(r - x + 1) + lgamma(n - r + 1) - lgamma(k - x + 1) - lgamma(n - r - k + x + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1) as w from x),
+a as (select verifier, premise, coding, w as here from h where x = n11),
+p as (select verifier, premise, coding, least(1.0::double, sum(exp(w)) filter (w <= here + 1e-7)) as p_value from h join a using (verifier, premise, coding) group by 1, 2, 3)
+select c.*, round(n11::double * n00 / nullif(n10::double * n01, 0), 6) as odds_ratio, round(p_value, 6) as p_value from c join p using (verifier, premise, coding)""")
 def i10(spark, d):
-    return r6(rk.fisher_exact(coded(spark, d).withColumn("high", F.col("score") >= 0.5), G, "label", "high").drop("p_value"), "odds_ratio")
+    return r6(rk.fisher_exact(coded(spark, d).withColumn("high", F.col("score") >= 0.5), G, "label", "high"), "odds_ratio", "p_value")
 
 
 PREDS = f"""{S}, preds as (select *, case when sentence_id % 6 = 0 then null when score > 0.6 then 'supported' when score > 0.4 then 'partial' else 'unsupported' end as pred_label, round(score * 100) as conf,

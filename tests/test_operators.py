@@ -7,7 +7,9 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -27,6 +29,7 @@ from attesta.operators import indicators as ind
 from attesta.operators import ranking as rk
 from attesta.operators import ratings as rt
 from attesta.operators import runlog as rl
+from attesta.operators import selection as sl
 from attesta.operators import text as tx
 from attesta.operators import verify as vf
 from attesta.sources import io
@@ -410,6 +413,59 @@ def test_majority_rules(spark):
     assert {r.item_id: r.majority_tag for r in rt.majority_first_seen(df).collect()} == {1: "unsupported", 2: "partial"}
 
 
+def full_fisher(a, b, c, d):
+    """The sum over all tables, in whole numbers."""
+    rows, cols, n = a + b, a + c, a + b + c + d
+    ways = {x: math.comb(rows, x) * math.comb(n - rows, cols - x) for x in range(max(0, rows + cols - n), min(rows, cols) + 1)}
+    return float(Fraction(sum(w for w in ways.values() if w <= ways[a] * (1 + Fraction(1, 10**7))), math.comb(n, cols)))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(0, 9).flatmap(lambda k: st.tuples(*[st.integers(0, 1 << k)] * 4)))
+def test_fisher_matches_the_full_sum(table):
+    assert stats.fisher_two_sided(*table) == pytest.approx(full_fisher(*table), rel=1e-12) or stats.fisher_two_sided(*table) < 1e-290
+
+
+def test_fisher_at_large_margins():
+    assert stats.fisher_two_sided(1010, 990, 970, 1030) == pytest.approx(full_fisher(1010, 990, 970, 1030), rel=1e-10)
+    start = time.perf_counter()
+    for off in (0, 1, 31622, 94868, 10**8):  # standard deviations of 2^-1/2 * 10^4.5: two-sided normal tails
+        got = stats.fisher_two_sided(10**9 + off, 10**9 - off, 10**9, 10**9)
+        assert got == pytest.approx(math.erfc(off / math.sqrt(2 * 10**9)), rel=1e-3, abs=1e-12)
+    assert time.perf_counter() - start < 0.5
+    assert stats.fisher_two_sided(0, 0, 5, 7) == 1.0 and stats.fisher_two_sided(0, 0, 0, 0) == 1.0 and stats.fisher_two_sided(1, None, 1, 1) is None
+
+
+@pytest.mark.parametrize("ranges, most", [(256, 1 << 16), (4, 6)])
+def test_quantiles_by_selection(spark, monkeypatch, ranges, most):
+    monkeypatch.setattr(sl, "RANGES", ranges)
+    monkeypatch.setattr(sl, "SORTED", most)
+    draw = random.Random(ranges)
+    groups = {"distinct": [draw.gauss(0, 1e6) for _ in range(300)], "hot": [0.5] + [5.0] * 200 + [draw.random() * 10 for _ in range(40)], "one": [3.5], "two": [1.0, 2.0], None: [float(i % 7) for i in range(90)], "none": [], "negative": [-0.0, 0.0, -1e300, 1e300]}
+    rows = [(g, v) for g, vs in groups.items() for v in vs] + [("none", None), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    at = [0.0, 1 / 3, 0.5, 2 / 3, 0.99, 1.0]
+    got = {r.g: r.q for r in sl.quantiles(df, ["g"], "v", at, "q").collect()}
+    assert set(got) == {g for g, vs in groups.items() if vs}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile(groups[g], at).tolist(), rel=1e-12, abs=1e-12), g
+    alone = sl.quantiles(df.filter("g = 'distinct'"), [], "v", at, "q").first().q
+    assert alone == pytest.approx(np.quantile(groups["distinct"], at).tolist(), rel=1e-12)
+    assert sl.quantiles(df.filter("g = 'none'"), ["g"], "v", [0.5]).count() == 0
+
+
+def test_selection_holds_no_more_than_a_range(spark, monkeypatch):
+    """All values distinct: the sorted rows are those of a range of the last round."""
+    monkeypatch.setattr(sl, "RANGES", 16)
+    monkeypatch.setattr(sl, "SORTED", 50)
+    df = spark.range(20_000).select(F.col("id").cast("double").alias("v")).repartition(8)
+    seen, real = [], sl.written
+    monkeypatch.setattr(sl, "written", lambda d, label: seen.append((label, real(d, label))) or seen[-1][1])
+    assert sl.quantiles(df, [], "v", [0.25, 0.5]).first().quantiles == pytest.approx([4999.75, 9999.5])
+    placed = [d.count() for label, d in seen if label == "placed"]
+    assert len(placed) >= 3 and placed[0] == 20_000 and all(b < a / 4 for a, b in zip(placed, placed[1:], strict=False)) and placed[-1] < 4 * 16 * 50
+
+
 def test_p_values():
     assert abs(stats.chi_square_tail(3.841458820694124) - 0.05) < 1e-9
     assert abs(stats.fisher_two_sided(8, 2, 1, 5) - 0.034965034965034975) < 1e-9
