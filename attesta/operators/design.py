@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from attesta.functions.hashing import stable_key
+from attesta.operators import scan
 from attesta.operators.selection import quantiles
 
 
@@ -48,10 +49,21 @@ def candidate_pool(df: DataFrame, pool_size: int, seed, category: str = "categor
 
 
 def item_context(df: DataFrame, window: int = 4, student: str = "student_id", skill: str = "skill", step: str = "step_idx") -> DataFrame:
-    """Each row with steps: its last attempts at the skill up to itself, oldest first, and the newest one's accuracy and hints."""
+    """Each row with steps: its last attempts at the skill up to itself, oldest first, and the newest one's accuracy and hints.
+
+    The segments of a long student get the last attempts of those before.
+    """
     fields = F.struct(F.col(step).alias("step"), (F.col("correct") == 1).alias("correct"), F.coalesce(F.round("hint_raw"), F.col("hint_scaled")).alias("hint_count"), "response_time_ratio")
-    over = Window.partitionBy(student, skill).orderBy(step).rowsBetween(-(window - 1), 0)
-    return df.withColumn("steps", F.collect_list(fields).over(over))
+    keys, order = [student, skill], [F.col(step).asc()]
+    cut = scan.segmented(df, student, order)
+    over = scan.inside(keys, order).rowsBetween(-(window - 1), 0)
+    out = cut.withColumn("_steps", F.collect_list(fields).over(over))
+    tails = scan.carried(out, keys, _tail=F.max_by("_steps", F.col(step)))
+    before = Window.partitionBy(*keys).orderBy(scan.SEGMENT).rowsBetween(-(window - 1), -1)  # each has a row at least
+    tails = tails.select(*keys, scan.SEGMENT, F.flatten(F.collect_list("_tail").over(before)).alias("_carry"))
+    both = F.concat(F.coalesce("_carry", F.array().cast(out.schema["_steps"].dataType)), "_steps")
+    last = F.when(F.size("_both") > window, F.slice("_both", F.size("_both") - window + 1, F.lit(window))).otherwise(F.col("_both"))
+    return scan.finish(scan.with_carry(out, tails, keys).withColumn("_both", both).withColumn("steps", last), df, "steps")
 
 
 def tertiles(df: DataFrame, value: str, into: str = "tertile") -> DataFrame:

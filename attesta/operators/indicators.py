@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from attesta.functions import lexicon as fixed
 from attesta.functions.columns import col, ratio
 from attesta.functions.hashing import stable_key
+from attesta.operators import scan
 
 
-def student_order(student: str = "student_id", start: str = "start_time", row: str = "row_id"):
+def student_order(start: str = "start_time", row: str = "row_id") -> list[Column]:
     """A student's rows by start, unknown starts last; the row id settles ties."""
-    return Window.partitionBy(student).orderBy(F.col(start).asc_nulls_last(), F.col(row))
+    return [F.col(start).asc_nulls_last(), F.col(row).asc()]
+
+
+def _place(start: str = "start_time", row: str = "row_id") -> Column:
+    """A value that grows in :func:`student_order`."""
+    return F.struct(F.col(start).isNull(), F.col(start), F.col(row))
 
 
 def clean_interactions(df: DataFrame, skill="skill", student="student_id", correct="correct", times=("start_time", "end_time")) -> DataFrame:
@@ -21,10 +27,16 @@ def clean_interactions(df: DataFrame, skill="skill", student="student_id", corre
     return out.withColumns({t: F.col(t).try_cast("double") for t in times})
 
 
-def lag_time(df: DataFrame, into="lag_time", start="start_time", end="end_time") -> DataFrame:
-    """Seconds since the student's previous end; 0 where unknown or negative."""
-    before = F.lag(end).over(student_order(start=start))
-    return df.withColumn(into, F.greatest(F.coalesce(F.col(start) - before, F.lit(0.0)), F.lit(0.0)))
+def lag_time(df: DataFrame, into="lag_time", start="start_time", end="end_time", student="student_id") -> DataFrame:
+    """Seconds since the student's previous end; 0 where unknown or negative. A long student's segments begin after the
+    last end of the one before."""
+    cut = scan.segmented(df, student, student_order(start))
+    over = scan.inside([student], student_order(start))
+    ends = scan.carried(cut, [student], _last=F.max_by(F.col(end), _place(start)))
+    ends = ends.withColumn("_carry", F.lag("_last").over(Window.partitionBy(student).orderBy(scan.SEGMENT))).drop("_last")
+    out = scan.with_carry(cut, ends, [student]).withColumn("_place", F.row_number().over(over))
+    before = F.when(F.col("_place") == 1, F.col("_carry")).otherwise(F.lag(end).over(over))
+    return scan.finish(out.withColumn(into, F.greatest(F.coalesce(F.col(start) - before, F.lit(0.0)), F.lit(0.0))), df, into)
 
 
 def elapsed_time(df: DataFrame, into="elapsed_time", taken="time_taken", most: float = 3600.0) -> DataFrame:
@@ -96,19 +108,35 @@ def indicators(df: DataFrame, correct="correct", hint="hint_scaled", sc="sc", co
     })
 
 
-def step_index(df: DataFrame, into="step_idx") -> DataFrame:
-    return df.withColumn(into, F.row_number().over(student_order()).cast("long") - 1)
+def step_index(df: DataFrame, into="step_idx", student="student_id") -> DataFrame:
+    """The row's number among its student's, from 0."""
+    cut = scan.segmented(df, student, student_order())
+    rows = scan.carried(cut, [student], _rows=F.count(F.lit(1)))
+    rows = rows.withColumn("_carry", F.sum("_rows").over(scan.earlier([student]))).drop("_rows")
+    number = F.row_number().over(scan.inside([student], student_order())).cast("long") - 1
+    return scan.finish(scan.with_carry(cut, rows, [student]).withColumn(into, number + F.coalesce("_carry", F.lit(0))), df, into)
 
 
 def response_time_ratio(df: DataFrame, into="response_time_ratio", elapsed="elapsed_time", student="student_id") -> DataFrame:
-    """Elapsed time over the student's mean; null where that is 0."""
-    return df.withColumn(into, ratio(elapsed, F.avg(elapsed).over(Window.partitionBy(student))))
+    """Elapsed time over the student's mean; null where that is 0. A long student's mean is a partial aggregate."""
+    cut = scan.segmented(df, student, student_order())
+    sums = scan.carried(cut, [student], _sum=F.sum(F.col(elapsed).cast("double")), _n=F.count(elapsed))
+    whole = Window.partitionBy(student)
+    sums = sums.select(student, scan.SEGMENT, (F.sum("_sum").over(whole) / F.sum("_n").over(whole)).alias("_carry"))
+    mean = F.coalesce("_carry", F.avg(elapsed).over(Window.partitionBy(student, scan.SEGMENT)))
+    return scan.finish(scan.with_carry(cut, sums, [student]).withColumn(into, ratio(elapsed, mean)), df, into)
 
 
 def skill_cum_accuracy(df: DataFrame, into="skill_cum_accuracy", student="student_id", skill="skill", correct="correct") -> DataFrame:
     """Mean correctness over strictly earlier rows of the student and skill; null at the first."""
-    earlier = Window.partitionBy(student, skill).orderBy(F.col("start_time").asc_nulls_last(), F.col("row_id")).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(into, F.avg(F.col(correct).cast("double")).over(earlier))
+    cut = scan.segmented(df, student, student_order())
+    keys, right = [student, skill], F.col(correct).cast("double")
+    sums = scan.carried(cut, keys, _sum=F.sum(right), _n=F.count(right))
+    sums = sums.select(*keys, scan.SEGMENT, F.sum("_sum").over(scan.earlier(keys)).alias("_right"), F.sum("_n").over(scan.earlier(keys)).alias("_tried"))
+    over = scan.inside(keys, student_order()).rowsBetween(Window.unboundedPreceding, -1)
+    out = scan.with_carry(cut, sums, keys).withColumns({"_s": F.sum(right).over(over), "_c": F.count(right).over(over)})
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return scan.finish(out.withColumn(into, ratio(zero("_right") + zero("_s"), zero("_tried") + zero("_c"))), df, into)
 
 
 def merge_splits(train: DataFrame, test: DataFrame, student="student_id", hint="hint_count") -> DataFrame:
@@ -153,9 +181,10 @@ def select_student(df: DataFrame, student_id, step=None, student="student_id", s
 
 def indicator_table(df: DataFrame) -> DataFrame:
     """All of the above over one table: cleaned rows with context columns, scaled hints, SC and the nine indicators."""
-    out = elapsed_time(lag_time(clean_interactions(df)))
+    cut = scan.segmented(clean_interactions(df), "student_id", student_order())
+    out = elapsed_time(lag_time(cut))
     out = fill_zero(out, ["confused", "concentrating", "bored", "frustrated"])
     out = minmax_scale(out.withColumn("hint_scaled", F.col("hint_count").cast("double")), ["hint_scaled"])
     out = out.withColumn("hint_raw", F.col("hint_count").cast("double"))
     out = indicators(self_confidence(out))
-    return skill_cum_accuracy(response_time_ratio(step_index(out)))
+    return skill_cum_accuracy(response_time_ratio(step_index(out))).drop(scan.SEGMENT)

@@ -29,6 +29,7 @@ from attesta.operators import indicators as ind
 from attesta.operators import ranking as rk
 from attesta.operators import ratings as rt
 from attesta.operators import runlog as rl
+from attesta.operators import scan
 from attesta.operators import selection as sl
 from attesta.operators import text as tx
 from attesta.operators import verify as vf
@@ -466,6 +467,45 @@ def test_selection_holds_no_more_than_a_range(spark, monkeypatch):
     assert len(placed) >= 3 and placed[0] == 20_000 and all(b < a / 4 for a, b in zip(placed, placed[1:], strict=False)) and placed[-1] < 4 * 16 * 50
 
 
+def test_long_students_are_scanned_in_segments(spark, monkeypatch):
+    """A student with a third of the rows is spread over ranges; carries give what one scan gives, by brute force."""
+    draw = random.Random(3)
+    rows = []
+    for i in range(600):
+        start = draw.choice([None, float(draw.randrange(40)), float(draw.randrange(1000))])
+        rows.append((i, 7 if i % 3 == 0 else draw.randrange(20), draw.choice("abc") if i % 6 else "rare", draw.randrange(2), start, None if start is None or i % 11 == 0 else start + draw.random(), draw.random() * (i % 13 > 0), i % 5, float(i % 4)))
+    cols = "row_id long, student_id long, skill string, correct int, start_time double, end_time double, elapsed_time double, hint_raw int, hint_scaled double"
+    df = spark.createDataFrame(rows, cols).repartition(5)
+
+    def result():
+        out = ind.skill_cum_accuracy(ind.response_time_ratio(ind.step_index(ind.lag_time(df))))
+        out = ds.item_context(out)
+        assert set(out.columns) == {*df.columns, "lag_time", "step_idx", "response_time_ratio", "skill_cum_accuracy", "steps"}
+        return {r.row_id: (r.lag_time, r.step_idx, r.response_time_ratio, r.skill_cum_accuracy, [s.step for s in r.steps]) for r in out.collect()}
+
+    order = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[4] is None, r[4] or 0.0, r[0])):
+        order.setdefault(r[1], []).append(r)
+    want = {}
+    for own in order.values():
+        mean = sum(r[6] for r in own) / len(own)
+        for i, r in enumerate(own):
+            end = own[i - 1][5] if i else None
+            past = [x for x in own[:i] if x[2] == r[2]]
+            steps = [j for j, x in enumerate(own[: i + 1]) if x[2] == r[2]][-4:]
+            want[r[0]] = (max(r[4] - end, 0.0) if r[4] is not None and end is not None else 0.0, i, r[6] / mean, sum(x[3] for x in past) / len(past) if past else None, steps)
+    plain = result()
+    monkeypatch.setattr(scan, "SEGMENT_ROWS", 25)
+    cut = scan.segmented(df, "student_id", ind.student_order())
+    seven = cut.filter("student_id = 7").groupBy("_seg").count().collect()
+    assert len(seven) > 4 and max(r["count"] for r in seven) < 100 and cut.count() == 600 and cut.filter("_seg is null").count() > 0
+    spread = result()
+    for found in (plain, spread):
+        assert set(found) == set(want)
+        for k, v in want.items():
+            assert found[k][:4] == pytest.approx(v[:4], nan_ok=True) and found[k][4] == v[4], (k, found[k], v)
+
+
 def test_p_values():
     assert abs(stats.chi_square_tail(3.841458820694124) - 0.05) < 1e-9
     assert abs(stats.fisher_two_sided(8, 2, 1, 5) - 0.034965034965034975) < 1e-9
