@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from attesta.functions import lexicon as fixed
 from attesta.functions.columns import col, is_true, mapped, no_nan
+from attesta.sources.json_arrays import array_elements, read_json_arrays  # noqa: F401
 
 LOG_SCHEMA = "ITEST_id long, skill string, correct int, startTime string, endTime string, timeTaken double, hintCount double, attemptCount double, `Ln-1` double, RES_GAMING double, RES_CONFUSED double, RES_CONCENTRATING double, RES_BORED double, RES_FRUSTRATED double, RES_OFFTASK double"
 LOG_NAMES = {
@@ -80,22 +84,36 @@ def fix_tag_typos(tag) -> Column:
     return F.coalesce(mapped(fixed.TYPOS, text), text)
 
 
-def _header(spark: SparkSession, path: str, encoding: str) -> list[str]:
-    first = spark.read.csv(path, header=True, encoding=encoding)
-    return [c.lstrip("﻿") for c in first.columns]
+RATING_COLUMNS = ("item_id", "rater_id", "level1_tags", "faithfulness", "actionability", "clarity")
 
 
-RATING_COLUMNS = ("item_id", "rater_id", "level1_tags", "faithfulness", "actionability", "clarity")
+def _headers(spark: SparkSession, paths: list[str], encoding: str) -> dict[str, list[str]]:
+    """The column names of each CSV file below ``paths``, from the first lines of all files, in one job."""
+    raw = spark.read.option("encoding", encoding).text(paths).select(F.input_file_name().alias("path"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("n"), "value")
+    first = raw.filter(F.col("at") == 0).groupBy("path").agg(F.min_by("value", "n").alias("line"))
+    known: dict[str, list[str]] = {}
+    out = {}
+    for r in first.collect():  # a line a file
+        if r.line not in known:
+            known[r.line] = [c.strip().lstrip("\ufeff") for c in next(csv.reader([r.line]), [])]
+        out[unquote(r.path)] = known[r.line]
+    return out
+
 
+def read_ratings(spark: SparkSession, paths: list[str], encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """Rating files that have the required columns, with typed scores and the file's name; others are skipped.
 
-def read_ratings(spark: SparkSession, paths: list[str], encoding: str = "UTF-8") -> DataFrame:
-    """Rating files that have the required columns, with typed scores and the file's name; others are skipped."""
+    Files are grouped by their header, and each group is one scan, so the plan grows with the number of different headers,
+    not of files. ``multi_line``: texts may hold line ends; without, large files are split.
+    """
+    groups: dict[tuple, list[str]] = {}
+    for path, names in _headers(spark, paths, encoding).items():
+        if set(RATING_COLUMNS) <= set(names):
+            groups.setdefault(tuple(names), []).append(path)
     out = None
-    for path in paths:
-        names = _header(spark, path, encoding)
-        if not set(RATING_COLUMNS) <= set(names):
-            continue
-        df = spark.read.csv(path, header=True, encoding=encoding, multiLine=True, escape='"').toDF(*names)
+    for names, files in sorted(groups.items()):
+        schema = ", ".join(f"`{n}` string" for n in names)
+        df = spark.read.csv(sorted(files), header=True, schema=schema, encoding=encoding, multiLine=multi_line, escape='"', enforceSchema=True)
         df = df.withColumn("source_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
@@ -104,8 +122,9 @@ def read_ratings(spark: SparkSession, paths: list[str], encoding: str = "UTF-8")
     return out.withColumns(typed).withColumn("row_id", F.monotonically_increasing_id())
 
 
-def read_answer_key(spark: SparkSession, path: str) -> DataFrame:
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_answer_key(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """``multi_line``: texts may hold line ends; without, large files are split."""
+    df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
     typed = {c: is_true(c) for c in ("is_negative_control", "in_core_set", "translation_ok") if c in df.columns}
     typed |= {c: no_nan(F.col(c).try_cast("double")) for c in ("mean_entailment", "faithfulness_rate", "auto_entailment") if c in df.columns}
@@ -138,15 +157,21 @@ def sentence_text(sentence: Column, lang: str = "en", fields=("en", "text", "sen
 
 
 def read_pipeline_log(spark: SparkSession, glob: str, pattern: str = r"([^/]+?)(?:_[0-9]+)?\.json$", lines: bool = False) -> DataFrame:
-    """Run logs with the model's name from the file name. A file is one JSON array, which one task reads whole, or with
-    ``lines`` has a run on each line, and is split."""
-    raw = spark.read.schema(RUN_SCHEMA).json(glob, multiLine=not lines)
+    """Run logs with the model's name from the file name. A file is one JSON array, or with ``lines`` has a run on each
+    line; both are read in blocks."""
+    if not lines:
+        raw = read_json_arrays(spark, glob, RUN_SCHEMA)
+        return raw.withColumn("model", F.regexp_extract("source_file", pattern, 1)).drop("source_file")
+    raw = spark.read.schema(RUN_SCHEMA).json(glob)
     return raw.withColumn("model", F.regexp_extract(F.input_file_name(), pattern, 1))
 
 
-def read_scores(spark: SparkSession, path: str) -> DataFrame:
-    """A score table, tags spelt right, only sentences that count: no control, with a premise, a score and a known tag."""
-    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, multiLine=True, escape='"')
+def read_scores(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """A score table, tags spelt right, only sentences that count: no control, with a premise, a score and a known tag.
+
+    ``multi_line``: CSV texts may hold line ends; without, large files are split.
+    """
+    df = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     require_columns(df, "majority_tag", "is_negative_control", "fact_premise", "score")
     return standard_scores(df)
 
@@ -171,9 +196,16 @@ def read_labels(df: DataFrame) -> DataFrame:
     return out
 
 
-def read_source(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """CSV or Parquet by its name, with the columns that must be there."""
-    df = spark.read.csv(path, header=True, inferSchema=True, multiLine=True, escape='"') if path.lower().endswith(".csv") else spark.read.parquet(path)
+def read_source(spark: SparkSession, path: str, *columns: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
+    """CSV or Parquet by its name, with the columns that must be there.
+
+    Without a ``schema`` the types of a CSV are inferred by a pass of its own. ``multi_line``: texts may hold line ends;
+    without, large files are split.
+    """
+    if path.lower().endswith(".csv"):
+        df = spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None, multiLine=multi_line, escape='"')
+    else:
+        df = spark.read.parquet(path)
     return require_columns(df, *columns)
 
 

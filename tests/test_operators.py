@@ -541,6 +541,46 @@ def test_spaced_order_is_a_permutation(spark, n, k):
     assert sorted(p.position for p in ds.spaced_order(rows, 1).collect()) == list(range(n))
 
 
+def test_json_arrays_are_read_in_blocks(spark, tmp_path):
+    draw = random.Random(2)
+    odd = ["{", "}", '"', "\\", "\\}", '\\"', "}]", "[{", "é字", "\n", ","]
+    runs = [{"condition": "".join(draw.choice(odd) for _ in range(draw.randrange(30))), "ITEST_id": i, "step_idx": i % 7, "sentences": [{"text": "}" * (i % 4) + '"', "cited": ["a{"]}] * (i % 3), "summary": {"n_sentences": i, "breakdown": {"PASS": i % 5}}} for i in range(400)]
+    (tmp_path / "run_a b_1.json").write_text(json.dumps(runs))
+    (tmp_path / "run_c_2.json").write_text(json.dumps(runs[:50], indent=2, ensure_ascii=False) + "\n")
+    (tmp_path / "run_d_3.json").write_text("[]")
+    (tmp_path / "run_e_4.json").write_text(json.dumps(runs[:5])[:-40])  # breaks off
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        blocks = spark.read.text(f"file://{tmp_path}/*.json", lineSep="}").select(F.spark_partition_id()).distinct().count()
+        assert blocks > 10
+        got = io.read_pipeline_log(spark, f"file://{tmp_path}/*.json")
+        found = {(r.model.replace("%20", " "), r.ITEST_id): r for r in got.collect()}
+        places = sorted((r.source_file[-9:], r.place) for r in io.array_elements(spark, f"file://{tmp_path}/run_c*.json").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(found) == sorted([("run_a b", i) for i in range(400)] + [("run_c", i) for i in range(50)] + [("run_e", i) for i in range(4)])
+    for (_, i), r in found.items():
+        assert r.condition == runs[i]["condition"] and [s.text for s in r.sentences] == [s["text"] for s in runs[i]["sentences"]] and r.summary.breakdown == {"PASS": i % 5}
+    assert [n for _, n in places] == list(range(50))
+
+
+def test_rating_files_take_a_scan_for_each_header(spark, tmp_path):
+    head = "item_id,rater_id,level1_tags,faithfulness,actionability,clarity"
+    for i in range(60):
+        more = ("", ",free text", ",free text,duration_sec")[i % 3]
+        (tmp_path / f"r {i}.csv").write_text(f"{head}{more}\nQ{i},R1,S1:supported,4,3,5" + ("", ",x", ",x,7")[i % 3] + "\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    df = io.read_ratings(spark, [f"file://{tmp_path}/*.csv"])
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 3
+    rows = {r.item_id: r for r in df.collect()}
+    assert len(rows) == 60 and rows["Q5"].duration_sec == 7 and rows["Q4"]["free text"] == "x" and rows["Q3"].duration_sec is None
+    with pytest.raises(ValueError):
+        io.read_ratings(spark, [f"file://{tmp_path}/other.csv"])
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "ratings_R1.csv").write_bytes('﻿item_id,rater_id,level1_tags,faithfulness,actionability,clarity,free_text,duration_sec\nQ1,R1,"S1:지지됨;S2:unsuppported",4,3,5,"two\nlines, ""quoted""",10\nQ2,R1,,x,3,5,,\n'.encode())
     (tmp_path / "other.csv").write_text("a,b\n1,2\n")
