@@ -52,7 +52,9 @@ def d3(spark, d):
     return b.documents(spark, d).select("doc_id", tx.strip_echoed_bullets(marked).alias("text"))
 
 
-@query("d4_strip_thinking", f"select doc_id, {STRIP('text')} as text, false as truncated_in_thinking from documents where doc_id % 2 = 0 union all select doc_id, '' as text, true as truncated_in_thinking from documents where doc_id % 2 = 1")
+@query("d4_strip_thinking", f"""with t as (select doc_id, case when doc_id % 2 = 0 then '<think>a' || chr(10) || 'b</think>' || text else text || '<think>never ends' end as t from documents),
+c as (select *, contains(t, '<think>') and not contains(t, '</think>') as cut from t)
+select doc_id, case when cut then '' else {STRIP("regexp_replace(t, '(?s)<think>.*?</think>', '', 'g')")} end as text, coalesce(cut, false) as truncated_in_thinking from c""")
 def d4(spark, d):
     t = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("<think>a\nb</think>"), F.col("text"))).otherwise(F.concat(F.col("text"), F.lit("<think>never ends")))
     return tx.strip_thinking(b.documents(spark, d).select("doc_id", t.alias("text")), "text")
@@ -117,7 +119,8 @@ def d10(spark, d):
     return b.documents(spark, d).select("doc_id", tx.hedge_violation(t).alias("violates"))
 
 
-@query("d11_translation_suspect", "select doc_id, doc_id % 3 <> 1 as suspect from documents")
+@query("d11_translation_suspect", f"""with t as (select doc_id, coalesce(case when doc_id % 3 = 0 then text when doc_id % 3 = 1 then '학생 ' || regexp_replace(text, '[A-Za-zÀ-ɏ]+', '가', 'g') else ' ' end, '') as t from documents)
+select doc_id, {STRIP("t")} = '' or not regexp_matches(t, {q(fixed.HANGUL)}) or regexp_matches(t, {q(fixed.LATIN)}) as suspect from t""")
 def d11(spark, d):
     t = F.when(F.col("doc_id") % 3 == 0, F.col("text")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("학생 "), F.regexp_replace("text", r"[A-Za-zÀ-ɏ]+", "가"))).otherwise(F.lit(" "))
     return b.documents(spark, d).select("doc_id", tx.translation_suspect(t).alias("suspect"))
@@ -126,7 +129,14 @@ def d11(spark, d):
 CITE_TEXT = "case doc_id % 5 when 0 then '[''slipping'', ''' || source || ''']' when 1 then 'slipping; not a tag | high' when 2 then 'nan' when 3 then 'a1,_b,2c' else '' end"
 
 
-@query("d12_parse_citation_field", "select doc_id, case doc_id % 5 when 0 then 'slipping;' || source when 1 then 'slipping' when 3 then 'a1;_b' else '' end as citations, case doc_id % 5 when 1 then 'not a tag' when 3 then '2c' else '' end as invalid_citations from documents")
+STRIP_QUOTES = f"""regexp_replace({STRIP("x")}, '^[''"]+|[''"]+$', '', 'g')"""
+WORDS = "(" + ", ".join(q(w) for w in fixed.STATUS_WORDS) + ")"
+
+
+@query("d12_parse_citation_field", f"""with t as (select doc_id, coalesce({STRIP(CITE_TEXT)}, '') as t from documents),
+p as (select doc_id, case when lower(t) in ('', 'nan', 'none', '[]') then []::varchar[] else regexp_split_to_array(t, '[,;|\\[\\]]') end as parts from t),
+c as (select doc_id, list_filter(list_transform(parts, lambda x: {STRIP(STRIP_QUOTES)}), lambda x: x <> '' and lower(x) not in {WORDS}) as parts from p)
+select doc_id, array_to_string(list_filter(parts, lambda x: regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*$')), ';') as citations, array_to_string(list_filter(parts, lambda x: not regexp_matches(x, '^[A-Za-z_][A-Za-z0-9_]*$')), ';') as invalid_citations from c""")
 def d12(spark, d):
     text = F.expr("case doc_id % 5 when 0 then concat('[\\'slipping\\', \\'', source, '\\']') when 1 then 'slipping; not a tag | high' when 2 then 'nan' when 3 then 'a1,_b,2c' else '' end")
     out = tx.parse_citation_field(b.documents(spark, d).select("doc_id", text.alias("t")), "t")
@@ -140,8 +150,17 @@ def d13(spark, d):
     return out.select("doc_id", F.array_join("cleaned", ";").alias("cleaned"), "n_messy")
 
 
-@query("d14_parse_judge_json", """select conv_id, turn, case (conv_id + turn) % 4 when 0 then 'partial' else null end as pred_label, case (conv_id + turn) % 4 when 0 then 70.0::double when 1 then null when 2 then null end as pred_confidence_supported,
- case (conv_id + turn) % 4 when 0 then text when 1 then text else null end as pred_reasoning, (conv_id + turn) % 4 >= 2 as parse_failed from conversations""")
+JUDGED = """case (conv_id + turn) % 4 when 0 then 'Sure:' || chr(10) || json_object('label', ' Partial', 'confidence_supported', '70', 'reasoning', text)::varchar || ' done'
+ when 1 then 'Sure:' || chr(10) || json_object('label', 'maybe', 'confidence_supported', 'high', 'reasoning', text)::varchar || ' done'
+ when 2 then '{ not json ' || regexp_replace(text, '[{}]', '', 'g') || '}' else regexp_replace(text, '[{}]', '', 'g') end"""
+
+
+@query("d14_parse_judge_json", f"""with t as (select conv_id, turn, regexp_extract(coalesce({JUDGED}, ''), '(?s)\\{{.*\\}}', 0) as span from conversations),
+j as (select *, span = '' or not json_valid(span) as parse_failed from t),
+f as (select *, case when not parse_failed then span::json end as j from j),
+l as (select *, lower({STRIP("json_extract_string(j, '$.label')")}) as label from f)
+select conv_id, turn, case when label in ({", ".join(q(t) for t in fixed.TAGS)}) then label end as pred_label, try_cast(json_extract_string(j, '$.confidence_supported') as double) as pred_confidence_supported,
+ case when not parse_failed then coalesce(json_extract_string(j, '$.reasoning'), '') end as pred_reasoning, parse_failed from l""")
 def d14(spark, d):
     c = b.table(spark, d, "conversations")
     body = lambda label, conf: F.concat(F.lit("Sure:\n"), F.to_json(F.struct(F.lit(label).alias("label"), F.lit(conf).alias("confidence_supported"), F.col("text").alias("reasoning"))), F.lit(" done"))
