@@ -8,6 +8,7 @@ import math
 import random
 import re
 import time
+import uuid
 from collections import Counter
 from fractions import Fraction
 
@@ -207,6 +208,27 @@ def test_verify_cited_cases(spark):
     assert vf.verify_cited(s.limit(0), facts).count() == 0 and vf.verify_best_match(s, facts.limit(0)).filter("status = 'PASS_NO_SIGNAL'").count() == 7
 
 
+def test_a_scorer_sees_each_distinct_pair_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    def scorer(premises, claims):
+        assert len(premises) == len(claims) <= 8
+        with open(f"{folder}/{uuid.uuid4().hex}", "w") as f:
+            json.dump(list(zip(premises, claims, strict=True)), f)
+        return [len(p or "") - 10 * len(c or "") + (1000 if p is None else 0) for p, c in zip(premises, claims, strict=True)]
+
+    draw = random.Random(6)
+    pairs = [(draw.choice(["", None, "a", "ab", "x" * 50, "fact"]), draw.choice(["", None, "a", "ab", "longer claim", "fact"])) for _ in range(300)] + [("hot", "pair")] * 200
+    df = spark.createDataFrame([(i, p, c, 0.5) for i, (p, c) in enumerate(pairs)], "id int, premise string, text string, score double").repartition(6)
+    got = {r.id: r for r in vf.score_pairs(df, scorer, partitions=3, rows=8).collect()}
+    assert len(got) == 500 and all(got[i].score == len(p or "") - 10 * len(c or "") + (1000 if p is None else 0) for i, (p, c) in enumerate(pairs))
+    seen = [json.loads(f.read_text()) for f in tmp_path.iterdir()]
+    assert sorted(map(str, (tuple(x) for batch in seen for x in batch))) == sorted(map(str, set(pairs)))
+    lengths = [[len(p or "") + len(c or "") for p, c in batch] for batch in seen]
+    assert all(x == sorted(x) for x in lengths)
+    assert vf.score_pairs(df.limit(0), scorer).count() == 0
+
+
 def test_run_log_edges(spark, tmp_path):
     runs = [
         {"condition": "full", "ITEST_id": 1, "step_idx": 0, "citation_required": True, "ground_truth_facts": ["[a] HIGH: x"], "sentences": [{"text": "t", "cited": []}], "verification": [{"text": "t", "status": "FAIL_NO_CITATION"}], "summary": {"n_sentences": 1, "faithfulness_rate": 0.0}},
