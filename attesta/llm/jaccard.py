@@ -1,7 +1,9 @@
-"""Near copies by the exact Jaccard similarity of five-word shingles, with candidates from MinHash bands.
+"""Near copies by the exact Jaccard similarity of five-word shingles, among the groups of their SimHash fingerprints.
 
-Texts that share a band of minima are candidates; each key compares its texts by their whole shingle sets and gives
-only links at 0.8 or more, so a link is never a guess. A pair at 0.8 misses all bands with a chance of 7e-5.
+The generalised pigeonhole search of ``simhash`` links fingerprints of the shingle sets at ``RADIUS`` bits or less; texts
+whose fingerprints hang together are candidates. Pairs at 0.8 can lie further apart than any radius that it can search,
+so texts that share a band of minima are candidates too: a pair at 0.8 misses all bands with a chance of 7e-5. Each group
+and band compares its texts by their whole shingle sets and gives only links at 0.8 or more, so a link is never a guess.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attesta.llm import simhash
 from attesta.llm.common import MIX, STEP, finish, lean, marked, need, numbered_rows, of_marked, texts_of, written
 from attesta.llm.components import components
 
 SEED = 42
 SHINGLE = 5
+#: Bits by which linked fingerprints differ at most; 64 keys of each then do for 12 million texts, 11 bits take 480.
+RADIUS = 7
 BANDS, ROWS = 24, 5
 #: Texts and bytes of shingle sets that are compared in one go; larger keys are cut into pairs of blocks.
 BLOCK, BLOCK_BYTES = 2048, 8 << 20
@@ -86,13 +91,15 @@ def local_links(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int
 def _signatures(shingle: int):
     def run(batches):
         for batch in batches:
-            hashes, sizes, keys = [], [], []
+            hashes, sizes, prints, keys = [], [], [], []
             for text in texts_of(batch.column(2)):
                 values = shingles(text, shingle)
                 hashes.append(xxhash.xxh128_digest(values.astype("<u8").tobytes()))
                 sizes.append(len(values))
+                prints.append(simhash.majority(values))
                 keys.append(bands(values) if len(values) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["row", "id", "hash", "size", "keys"])
+            cols = [pa.array(hashes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(np.array(prints, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *cols], ["row", "id", "hash", "size", "fp", "keys"])
 
     return run
 
@@ -127,12 +134,20 @@ def _compare(batches):
     yield emit(local_links(nodes, sets) if len(nodes) > 1 else [])
 
 
+def alike(signed: DataFrame, bits: int = RADIUS) -> DataFrame:
+    """(node, size, key) of the rows of ``signed`` with words: a key for each group of fingerprints linked at ``bits`` or less."""
+    of = signed.filter("size > 0").select(F.col("row").alias("node"), "size", "fp")
+    prints = written(of.select("fp").distinct(), "prints")
+    groups = written(components(simhash.links(prints, bits)), "alike").toDF("fp", "root")
+    return of.join(groups, "fp", "left").select("node", "size", F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")).alias("key"))
+
+
 def links(rows: DataFrame, signed: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(a, b): links at 0.8 or more among the rows of ``signed``, whose texts are in ``rows`` (row, text)."""
-    keyed = signed.select(F.col("row").alias("node"), "size", F.explode("keys").alias("key"))
+    keyed = written(alike(signed), "candidates").union(signed.select(F.col("row").alias("node"), "size", F.explode("keys").alias("key")))
     mark = F.xxhash64("node")
     keys = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("total"), F.bit_xor(mark).alias("x"), F.sum(F.shiftright(mark, 24)).alias("s"))
-    # near copies share many bands: of keys with the same texts one is enough. Two keys of different texts are taken for
+    # near copies share their group and many bands: of keys with the same texts one is enough. Two keys of different texts are taken for
     # one another where count, total, xor and sum of 64-bit hashes all agree, a chance of about 2^-100 for a pair of keys
     keys = written(keys.filter("n > 1").groupBy("n", "total", "x", "s").agg(F.min("key").alias("key")), "keys")
     parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") * 8 / BLOCK_BYTES), F.lit(1)).cast("int")
@@ -155,14 +170,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     and null ids don't matter to the groups; very long texts are compared whole; other columns pass through, whatever
     their names; an empty table gives no rows.
 
-    Texts of the same shingles are one node. A key with more than ``BLOCK`` nodes or ``BLOCK_BYTES`` of shingles is
+    Texts of the same shingles are one node. A group or band with more than ``BLOCK`` nodes or ``BLOCK_BYTES`` of shingles is
     compared in pairs of blocks, a task each: n nodes that share a band take about n^2 / 2 comparisons in all.
     """
     need(docs, id_col, text_col)
     rows = numbered_rows(docs)
     named = rows.select("row", F.col(f"doc.`{id_col}`").alias("id"), F.col(f"doc.`{text_col}`").alias("text"))
     kind = named.schema["id"].dataType.simpleString()
-    signed = written(named.mapInArrow(lean(_signatures(shingle)), f"row long, id {kind}, hash binary, size long, keys array<long>"), "signatures")
+    signed = written(named.mapInArrow(lean(_signatures(shingle)), f"row long, id {kind}, hash binary, size long, fp long, keys array<long>"), "signatures")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     nodes = written(signed.groupBy("hash").agg(F.min(rank).alias("first")).select("first.*"), "nodes")
     found = written(components(links(named, of_marked(signed, marked(nodes)), shingle)), "groups")

@@ -41,6 +41,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
         parts = zip(*(words[i:] for i in range(shingle)), strict=False)
         n = len(words) - shingle + 1
         values = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, parts), repeat(SEED)), np.uint64, n)
+    return majority(values)
+
+
+def majority(values: np.ndarray) -> int:
+    """The bits set in more than half of the 64-bit values; 0 without any."""
     counts = np.zeros(64, np.int64)
     octets = values.astype("<u8").view(np.uint8).reshape(-1, 8)
     for i in range(0, len(octets), COUNT_ROWS):
@@ -261,7 +266,7 @@ def links(prints: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
     """
     rows = prints.count()
     sample = np.array([r.fp for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(LAYOUT_SAMPLE).collect()], np.int64).view(np.uint64)
-    masks = [int(np.array(m, np.uint64).view(np.int64)) for m in layout(sample, rows, bits)]
+    masks = [int(np.array(m, np.uint64).view(np.int64)) for m in layout(sample, max(rows, 1), bits)]  # without rows any number of keys is free
     keyed = prints.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("part", "mask"))
     keyed = keyed.select("part", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     dealt = keyed.repartition("part", "key").sortWithinPartitions("part", "key", "fp")

@@ -19,7 +19,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id (nulls last) of each group of texts that share 0.8 or more of their five-word shingles.
+    """The document of smallest doc_id (nulls last) of each group of texts that share 0.8 or more of their five-word shingles,
+    as compared among texts that the search over fingerprints (or a band of minima) brings together.
 
     Null, empty and blank texts are one group; of equal rows one stays; rows with a null or repeated id are compared by
     their texts as any others; very long texts are compared whole; further columns pass through, whatever their names;

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from attesta.llm import jaccard
+from attesta.llm import jaccard, simhash
 from tests.llm.cases import ODD, documents
 
 
@@ -58,6 +58,36 @@ def test_edited_copies_are_found(spark, sf_dir):
     assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, docs, sf_dir).collect()} == roots
 
 
+def edits(n, most):
+    """Texts of 300 words and copies with 1 to ``most`` words changed."""
+    draw, texts = random.Random(5), []
+    for k in range(n):
+        base = [f"w{draw.randrange(3000)}" for _ in range(300)]
+        copy = list(base)
+        for i in draw.sample(range(300), 1 + k % most):
+            copy[i] = "changed"
+        texts += [" ".join(base), " ".join(copy)]
+    return texts
+
+
+def test_fingerprints_are_searched_within_the_radius(spark):
+    texts = edits(40, 12)
+    sets = [jaccard.shingles(t) for t in texts]
+    prints = [simhash.majority(s) for s in sets]
+    near = {(i, j) for j in range(len(texts)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= jaccard.RADIUS}
+    signed = spark.createDataFrame([(i, len(s), p - (1 << 64) if p >> 63 else p) for i, (s, p) in enumerate(zip(sets, prints, strict=True))], "row long, size long, fp long")
+    keys = {r.node: r.key for r in jaccard.alike(signed).collect()}
+    assert len(near) >= 10 and {(i, j) for j in keys for i in range(j) if keys[i] == keys[j]} == near
+
+
+def test_fingerprints_alone_find_near_copies(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jaccard, "bands", lambda values: [])
+    texts = [*edits(12, 1), *(f"a text of few words {i % 3}" for i in range(6))]
+    roots = set(brute_roots(texts))
+    assert len(roots) == 15
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, documents(spark, texts), sf_dir).collect()} == roots
+
+
 @pytest.mark.parametrize("block", [2, 2048])
 def test_large_groups_in_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
