@@ -1,7 +1,8 @@
 """Token ids of many texts: texts are cut where a tokenizer cuts anyway, and each distinct piece is encoded once.
 
-Cuts are made between ASCII characters only, at places that no pre-token of the two tokenizers can span; the rest
-stays in one piece, so the ids are those of the whole text. Literals that the tokenizer file adds (as the end of text)
+Cuts are made between ASCII characters and the letters U+00C0 to U+00FF only, at places that no pre-token of the two
+tokenizers can span; the rest stays in one piece, so the ids are those of the whole text. New words are encoded many at a
+time, as a text of words; the bytes that each id stands for say where a word ends. Literals that the tokenizer file adds (as the end of text)
 part a text first and become their own ids, as in the library. A worker keeps the ids of the pieces it has met, up to
 ``MAX_PIECES`` and ``MAX_POOL``; what it forgets is encoded again. Pieces are found by hash and held byte for byte
 against the one whose ids they take.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 
@@ -21,6 +23,8 @@ MAX_PIECES = 300_000
 MAX_POOL = 4 << 20
 #: Text that is held as arrays at once; these take about 40 bytes for each of text.
 CHUNK_BYTES = 1 << 20
+#: New words that are encoded as one text.
+WORDS = 4096
 
 LETTER, DIGIT, MARK, SPACE, BLANK, OTHER = range(6)
 _CLASS = np.full(256, OTHER, np.uint8)
@@ -30,6 +34,8 @@ _CLASS[0x30:0x3A] = DIGIT
 _CLASS[0x20] = SPACE
 _CLASS[0x09:0x0E] = BLANK
 _CLASS[0x27] = OTHER  # an apostrophe may begin a contraction
+#: A piece that is one pre-token of letters, and maybe the space before it.
+_WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
@@ -44,8 +50,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.drops_space = drops_space
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None) or ""
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        #: Bytes of each id: a character of a token stands for one.
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.width[i] = len(token.removesuffix(suffix))
         added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         if odd := [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.normalized or t.lstrip or t.rstrip or t.single_word]:
             raise ValueError(f"added tokens that aren't plain literals: {', '.join(odd)}")
@@ -65,6 +76,9 @@ class Encoder:
     def cuts(self, units: np.ndarray, size: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces; ``first``: where texts begin, each ending one before the next."""
         kind = _CLASS[units[:size]]
+        lead = np.flatnonzero(units[:size] == 0xC3)  # U+00C0 to U+00FF are letters but for the signs of multiplication and division
+        lead = lead[(units[lead + 1] != 0x97) & (units[lead + 1] != 0xB7)]
+        kind[lead] = kind[lead + 1] = LETTER
         word = kind <= MARK
         white = (kind == SPACE) | (kind == BLANK)
         begin = np.zeros(size + 1, bool)
@@ -145,7 +159,7 @@ class Encoder:
                 new = np.arange(len(keys))
             ids = self._encode(_texts(units, starts[new], ends[new]))
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for one in ids for x in one), np.uint32, int(length.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
             size = ends[new] - starts[new]
             self.pool, offset, self.used = _kept(self.pool, self.used, flat, length)
             self.octets, begin, self.filled = _kept(self.octets, self.filled, units[ragged(starts[new], size)], size)
@@ -157,20 +171,36 @@ class Encoder:
 
     def _encode(self, pieces: list[str]) -> list[list[int]]:
         out: list = [None] * len(pieces)
-        rest = []
+        words, rest = [], []
         for i, piece in enumerate(pieces):
-            word = piece[1:] if piece[0] == " " else piece
-            if word.isalpha() and word.isascii():  # a single pre-token: only the merges are left
-                out[i] = [t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))]
-            else:
-                rest.append(i)
+            (words if _WORD.fullmatch(piece) and (self.drops_space or piece[0] == " ") else rest).append(i)
+        for k in range(0, len(words), WORDS):
+            some = words[k : k + WORDS]
+            found = self._words([pieces[i] for i in some])
+            if found is None:
+                rest += some
+                continue
+            for i, ids in zip(some, found, strict=True):
+                out[i] = ids
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
         return out
 
+    def _words(self, words: list[str]) -> list[list[int]] | None:
+        """Ids of each of several words, encoded as one text; None if the bytes of the ids don't end where the words do."""
+        ids = self.tokenizer.encode_batch_fast([(" " if self.drops_space else "").join(words)], add_special_tokens=False)[0].ids
+        size = np.cumsum(self.width[ids])
+        ends = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(size, ends)
+        if not len(size) or size[-1] != ends[-1] or (size[last] != ends).any():
+            return None
+        last = (last + 1).tolist()
+        return [ids[a:b] for a, b in zip([0, *last[:-1]], last, strict=True)]
+
 
 def _texts(units: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    return [bytes(units[s:e]).decode("utf-8", "surrogatepass") for s, e in zip(starts, ends, strict=True)]
+    raw = units.tobytes()
+    return [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
 def _kept(pool: np.ndarray, used: int, flat: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:

@@ -153,3 +153,16 @@ def test_balance_evens_cost():
         fill[q] += m
     assert fill.sum() == lengths.sum() and (fill[:-1] == 1024).all() and fill[-1] == lengths.sum() - 1024 * (n - 1)
     assert load[:-1].std() / load[:-1].mean() < 0.2
+
+
+@pytest.mark.parametrize("name,drops", FILES)
+def test_words_with_accents_are_cut_and_encoded_together(name, drops):
+    path = public_tokenizers.path(name)
+    library, enc, calls = Tokenizer.from_file(path), tokens.Encoder(path, drops), []
+    texts = [" élan où ÀÉ ñandú ßtraße", " où élan", " a×b ÷ é÷é", " é e\u0301 é\u0301 éЖ é\u2003 é", " é1 é. l'été's"]
+    encode = enc._encode
+    enc._encode = lambda pieces: calls.append(pieces) or encode(pieces)
+    ids, n = enc.encode(texts)
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [len(w) for w in want] == n.tolist() and sum(want, []) == ids.tolist()
+    assert sum("élan" in p for p in calls[0]) == 1  # one piece for both texts
