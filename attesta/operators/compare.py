@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attesta.functions.columns import each_of
-from attesta.operators.bootstrap import Resamples, cluster_auroc_ci, cluster_paired_diff, holm
-from attesta.operators.ranking import auroc, binary_coding
+from attesta.operators.bootstrap import Resamples, View, cluster_auroc_ci, cluster_paired_diff, each_view, holm
+from attesta.operators.ranking import CODINGS, auroc
 from attesta.operators.ratings import is_tied
 from attesta.sources.io import fix_tag_typos
 
@@ -55,17 +55,27 @@ def scoped(df: DataFrame, core: str = "is_core") -> DataFrame:
     return each_of(df, ["all", "core"], "scope").filter((F.col("scope") == "all") | F.col(core).eqNullSafe(True))
 
 
+def scopes(core: str = "is_core") -> list[View]:
+    """The views of :func:`scoped`, for which no row is repeated."""
+    return [View({"scope": "all"}, F.lit(True), None), View({"scope": "core"}, F.col(core).eqNullSafe(True), None)]
+
+
+def codings(tag: str = "majority_tag", tags: dict | None = None) -> list[View]:
+    """The views of ``binary_coding``, for which no row is repeated."""
+    known = F.col(tag).isNotNull() & (F.col(tag) != "unknown")
+    return [View({"coding": name}, known, F.col(tag).isin(yes)) for name, yes in (tags or CODINGS).items()]
+
+
 def auroc_table(df: DataFrame, reps: int = 10_000, seed=42, cluster: str = "item_id") -> DataFrame:
     """AUROC with its interval by verifier, premise, scope and coding: one job over all of them, on the same resamples."""
-    long = binary_coding(scoped(analysis_set(df)))
-    return cluster_auroc_ci(long, ["verifier", "premise", "scope", "coding"], cluster, "label", "score", reps, seed)
+    return cluster_auroc_ci(analysis_set(df), ["verifier", "premise"], cluster, "label", "score", reps, seed, views=each_view(scopes(), codings()))
 
 
 def paired_premise(df: DataFrame, a: str = "record", b: str = "fact", reps: int = 10_000, seed=42, cluster: str = "item_id", family: list[str] | None = None) -> DataFrame:
     """Score on premise a minus on b, on sentences that have both, by verifier, scope and coding, with Holm's p over ``family``."""
     keys = [*dict.fromkeys([*KEYS, cluster]), "verifier", "majority_tag", "is_core"]
     wide = analysis_set(df).groupBy(*keys).pivot("premise", [a, b]).agg(F.min("score"))
-    out = cluster_paired_diff(binary_coding(scoped(wide)), ["verifier", "scope", "coding"], cluster, "label", a, b, reps, seed)
+    out = cluster_paired_diff(wide, ["verifier"], cluster, "label", a, b, reps, seed, views=each_view(scopes(), codings()))
     return holm(out, family or [], "p_value")
 
 
@@ -75,7 +85,7 @@ def paired_vs_baseline(df: DataFrame, baseline: str, reps: int = 10_000, seed=42
     kept = analysis_set(df)
     base = kept.filter(F.col("verifier") == baseline).groupBy(*keys).agg(F.min("score").alias("base"))
     rest = kept.filter(F.col("verifier") != baseline).join(base, keys)
-    out = cluster_paired_diff(binary_coding(scoped(rest)), ["verifier", "premise", "scope", "coding"], cluster, "label", "score", "base", reps, seed)
+    out = cluster_paired_diff(rest, ["verifier", "premise"], cluster, "label", "score", "base", reps, seed, views=each_view(scopes(), codings()))
     return holm(out, family or [], "p_value")
 
 
@@ -100,9 +110,9 @@ def within_indicator(df: DataFrame, indicator: str = "indicator", single_only: b
 
 def nli_subsets(df: DataFrame, exclude: str, cited: str = "cited_indicators", reps: int = 10_000, seed=42, cluster: str = "item_id") -> DataFrame:
     """AUROC of all sentences and of those whose citations don't contain ``exclude``, by verifier, premise and coding."""
-    rest = F.array_compact(F.array(F.lit("all"), F.when(~F.coalesce(F.contains(F.col(cited), F.lit(exclude)), F.lit(False)), F.lit(f"without_{exclude}"))))
-    long = binary_coding(analysis_set(df).withColumn("subset", F.explode(rest)))
-    return cluster_auroc_ci(long, ["verifier", "premise", "subset", "coding"], cluster, "label", "score", reps, seed)
+    rest = ~F.coalesce(F.contains(F.col(cited), F.lit(exclude)), F.lit(False))
+    subsets = [View({"subset": "all"}, F.lit(True), None), View({"subset": f"without_{exclude}"}, rest, None)]
+    return cluster_auroc_ci(analysis_set(df), ["verifier", "premise"], cluster, "label", "score", reps, seed, views=each_view(subsets, codings()))
 
 
 def reproduction_check(summary: DataFrame, expected: DataFrame, keys: list[str], tolerance: float = 0.005) -> DataFrame:
