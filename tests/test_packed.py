@@ -64,7 +64,7 @@ def _each(seq):
 
 
 #: Names of queries that resample, and bytes that each may shuffle for a row of lineitem at eight resamples.
-SHUFFLED = {"j11_interpretation_flags": 60, "j4_auroc_table": 60, "j5_paired_premise": 120, "k2_k4_cluster_auroc_ci": 60}
+SHUFFLED = {"j11_interpretation_flags": 60, "j4_auroc_table": 60, "j5_paired_premise": 120, "k2_k4_cluster_auroc_ci": 60, "l1_nonaffective_auroc": 60}
 
 
 @pytest.mark.parametrize("name", sorted(SHUFFLED))
