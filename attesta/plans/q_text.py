@@ -11,6 +11,7 @@ from attesta.operators import verify as vf
 from attesta.plans import bindings as b
 from attesta.plans.q_indicators import FACTS, PREMISE, TABLE, fact_rows
 from attesta.plans.registry import query
+from attesta.sources.scratch import written
 
 r6 = lambda df, *cols: df.withColumns({c: F.round(c, 6) for c in cols})
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -227,8 +228,13 @@ sg as (select row_id, bool_or(status in ('HIGH', 'AMBIGUOUS')) as signal from nu
 HV = "pos = 0"  # the first sentence is definitive, the second hedges
 
 
+def written_facts(spark, d):
+    """(row_id, facts), computed once: queries that join them several times would plan all of the indicators each time."""
+    return written(fact_rows(spark, d).select("row_id", "facts"), "facts")
+
+
 def scene(spark, d):
-    base = fact_rows(spark, d)
+    base = written_facts(spark, d)
     s = F.array(
         F.struct(F.lit(0).alias("pos"), F.lit("The student showed signs of boredom and it was a guess.").alias("text"), F.expr("case row_id % 4 when 0 then cast(array() as array<string>) when 1 then array('confidence_triad') when 2 then array('no_such') else array('strategic_help', 'cognitive_avoidance') end").alias("cited")),
         F.struct(F.lit(1).alias("pos"), F.lit("The student may have used hints.").alias("text"), F.array(F.lit("cognitive_avoidance")).alias("cited")),
@@ -344,7 +350,7 @@ cs as (select ca.item_id, n_raters, array_to_string(cites, ';') as citations, ca
 
 
 def cases(spark, d):
-    base = fact_rows(spark, d)
+    base = written_facts(spark, d)
     summary = base.select(F.col("row_id").alias("item_id"), F.lit("S1").alias("sentence_id"), F.lit("partial").alias("majority_tag"), F.lit("partial:1").alias("tag_distribution"), (F.col("row_id") % 7).alias("n_raters"))
     key = base.select(F.col("row_id").alias("item_id"), F.lit("S1").alias("sentence_id"), F.expr("case row_id % 4 when 0 then '' when 1 then 'cognitive_avoidance' when 2 then 'strategic_help; cognitive_avoidance' else '[no_such]' end").alias("cited_indicators"))
     texts = base.select(F.col("row_id").alias("item_id"), F.lit("S1").alias("sentence_id"), F.lit("t").alias("sentence_text"))
