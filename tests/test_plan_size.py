@@ -5,7 +5,7 @@ import pytest
 from attesta.plans import QUERIES
 
 #: Windows in the plan of a query, of which the indicators alone have several.
-WINDOWS = {"e11_build_cases": 0, "e12_validate_cases": 0}
+WINDOWS = {"e11_build_cases": 0, "e12_validate_cases": 0, "e7_verify_conditions": 0}
 
 
 @pytest.mark.parametrize("name", sorted(WINDOWS))
