@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -76,3 +77,21 @@ def test_resampled_rows_are_shuffled_in_few_bytes(spark, monkeypatch, name):
     before = shuffled(spark)
     QUERIES[name](spark, sf).collect()
     assert (shuffled(spark) - before) / n < SHUFFLED[name]
+
+
+def test_more_clusters_than_a_range_are_drawn_as_in_sql(spark):
+    # 2^18 were the clusters beyond which draws were split, and differed from the SQL
+    n = (1 << 18) + 9000
+    df = spark.range(n).select(F.col("id").alias("cluster"), (F.col("id") % 3 == 0).alias("y"), (F.pmod(F.xxhash64("id"), F.lit(50)) / 50).alias("s"))
+    con = duckdb.connect()
+    con.execute(f"create view src as select range as cluster from range({n})")
+    want = con.sql(f"with {q_ranking.weights_sql('src', reps=2, seed=3)} select rep, sum(w * w), sum(w * (cluster % 1009)) from wts group by 1 order by 1").fetchall()
+    got = boot.cluster_weights(df, "cluster", 2, 3)
+    found = got.groupBy("rep").agg(F.sum(F.col("w") * F.col("w")).alias("a"), F.sum(F.col("w") * (F.col("cluster") % 1009)).alias("b")).orderBy("rep").collect()
+    assert [tuple(map(int, x)) for x in found] == [tuple(map(int, x)) for x in want]
+    r = boot.Resamples(df, "cluster", 2, 3)
+    sums = boot.resampled_sums(df.withColumn("v", F.col("cluster") % 1009), [], r, ["v"]).orderBy("rep").collect()
+    assert [int(x.v) for x in sums] == [int(x[2]) for x in want]
+    weighted = df.join(got, "cluster").groupBy("rep", "y", "s").agg(F.sum("w").alias("w")).collect()
+    for x in boot._replicates(df, [], r, "y", "s").collect():
+        assert x.auroc == pytest.approx(brute_weighted([(0, w.y, w.s, w.w) for w in weighted if w.rep == x.rep]))
