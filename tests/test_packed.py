@@ -65,7 +65,7 @@ def _each(seq):
 
 
 #: Names of queries that resample, and bytes that each may shuffle for a row of lineitem at eight resamples.
-SHUFFLED = {"j11_interpretation_flags": 60, "j4_auroc_table": 60, "j5_paired_premise": 120, "k2_k4_cluster_auroc_ci": 60, "l1_nonaffective_auroc": 60, "l6_fidelity_auroc": 120, "k2_cluster_auroc_ci_published": 60, "k3_paired_diff_published": 120, "j6_paired_vs_baseline": 120, "l3_fact_controls_auroc": 160}
+SHUFFLED = {"j11_interpretation_flags": 60, "j4_auroc_table": 60, "j5_paired_premise": 120, "k2_k4_cluster_auroc_ci": 60, "l1_nonaffective_auroc": 60, "l6_fidelity_auroc": 120, "k2_cluster_auroc_ci_published": 60, "k3_paired_diff_published": 120, "j6_paired_vs_baseline": 120, "l3_fact_controls_auroc": 160, "k3_k5_paired_diff": 120}
 
 
 @pytest.mark.parametrize("name", sorted(SHUFFLED))
